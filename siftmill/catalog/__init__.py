@@ -1,0 +1,14 @@
+"""Registered queries over the given tables, each with the SQL it is checked by."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    """name → (function of session and table folder, SQL text or None)."""
+    import importlib
+
+    found = {}
+    for part in ("reducing", "filtering"):
+        module = importlib.import_module(f"siftmill.catalog.{part}")
+        found.update(module.QUERIES)
+    return found

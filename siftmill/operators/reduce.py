@@ -23,6 +23,7 @@ MIN_AMOUNT_TYPES_TO_DROP = 2
 IGNORED_BASE_MODULES = ["abc"]
 
 UNION_CHUNK_ROWS = 100_000
+EXPAND_COPIES = 10_000
 
 
 def compact(df: DataFrame, keys: Sequence[str] = (*SITE7, *TYPE2), order: str = ORD) -> DataFrame:
@@ -35,10 +36,20 @@ def compact(df: DataFrame, keys: Sequence[str] = (*SITE7, *TYPE2), order: str =
     return df.groupBy(*keys).agg(weight.alias(WEIGHT), F.min(order).alias(order))
 
 
-def expand(df: DataFrame) -> DataFrame:
-    """Repeat compacted rows by their multiplicity; copies share the order."""
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT)))
-    return df.withColumn("__copy", copies).drop("__copy", WEIGHT)
+def expand(df: DataFrame, copies_per_row: int = EXPAND_COPIES) -> DataFrame:
+    """Repeat compacted rows by their multiplicity; copies share the order.
+
+    A row with many copies is first cut into pieces of ``copies_per_row`` which
+    are dealt out to the tasks, so that no task emits them all.
+    """
+    count, size = F.col(WEIGHT), F.lit(int(copies_per_row)).cast("long")
+    last = F.floor((count - 1) / size)
+    pieces = df.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    spread = pieces.hint("rebalance")
+    here = F.least(size, count - F.col("__piece") * size)
+    return spread.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), here))).drop(
+        "__copy", "__piece", WEIGHT
+    )
 
 
 def dedup(df: DataFrame, keys: Sequence[str] = (*SITE7, *TYPE2), order: str = ORD) -> DataFrame:
