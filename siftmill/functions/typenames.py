@@ -76,15 +76,15 @@ def normalize_text(text: str) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _normalize_bracketed(names: pd.Series) -> pd.Series:
-    different = names.dropna().unique()
-    return names.map({name: normalize_text(name) for name in different})
+    return pd.Series([None if name is None else normalize_text(name) for name in names], dtype=object)
 
 
 def normalize_type(name: Column) -> Column:
     """Normal form of a type name.
 
     Plain names and unions without brackets stay with built-in functions; only
-    bracketed names are handed to Python, every batch's different names once.
+    bracketed names are worked on in Python, where names seen before are looked
+    up.
     """
     bracketed = name.contains("[") | name.contains("]")
     flat = F.array_join(F.array_sort(F.array_distinct(F.split(F.replace(name, F.lit(" ")), r"\|"))), " | ")
@@ -108,6 +108,6 @@ def split_top_level(text: Column, mark: str) -> Column:
             except ValueError:
                 return None
 
-        return texts.map(one)
+        return pd.Series([one(value) for value in texts], dtype=object)
 
     return split(text)

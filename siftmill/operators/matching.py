@@ -13,11 +13,11 @@ from siftmill.schemas import HINT6, METRICS, ORD
 
 _OCC = "__occurrence"
 _OCC2 = "__occurrence2"
+_AT = "__at"
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], label: str, side: str, order: str, chunk_rows: int) -> DataFrame:
-    narrow = df.select(*keys, label, F.col(order).alias(f"_ord_{side}"))
-    return occurrence_number(narrow, [*keys, label], _OCC, f"_ord_{side}", chunk_rows)
+def _of_side(side: str, value: Column) -> Column:
+    return F.max(F.when(F.col("side") == side, value))
 
 
 def match_exact(
@@ -30,13 +30,20 @@ def match_exact(
 ) -> DataFrame:
     """Pair equal rows one to one; unpaired rows of both sides stay.
 
-    The n-th copy of a row on one side meets the n-th copy on the other, so
-    copies never multiply and their number does not skew the join. ``side`` is
-    ``both``, ``original`` or ``generated``.
+    The n-th copy of a row on one side meets the n-th copy on the other. Row
+    and number together are unique per side, so copies never multiply and a
+    row with many copies spreads over all tasks. The join is a grouping of both
+    sides' rows. ``side`` tells: ``both``, ``original`` or ``generated``.
     """
-    left = _numbered(original, keys, label, "original", order, chunk_rows)
-    right = _numbered(generated, keys, label, "generated", order, chunk_rows)
-    paired = null_equal_join(left, right, [*keys, label, _OCC], "full_outer")
+    def tagged(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*keys, label, F.col(order).alias(_AT), F.lit(side).alias("side"))
+
+    rows = tagged(original, "original").unionByName(tagged(generated, "generated"))
+    numbered = occurrence_number(rows, [*keys, label, "side"], _OCC, _AT, chunk_rows)
+    paired = numbered.groupBy(*keys, label, _OCC).agg(
+        _of_side("original", F.col(_AT)).alias("_ord_original"),
+        _of_side("generated", F.col(_AT)).alias("_ord_generated"),
+    )
     side = (
         F.when(F.col("_ord_original").isNull(), "generated")
         .when(F.col("_ord_generated").isNull(), "original")
@@ -45,6 +52,38 @@ def match_exact(
     return paired.withColumn("side", side)
 
 
+def match_by_key(
+    rows: DataFrame,
+    keys: Sequence[str] = HINT6,
+    label: str = "Type",
+    nested_occurrence: bool = False,
+    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+) -> DataFrame:
+    """Pair what ``match_exact`` left over by key alone, the n-th with the n-th."""
+    single = rows.withColumn(_AT, F.coalesce("_ord_original", "_ord_generated"))
+    if nested_occurrence:
+        numbered = occurrence_number(single, [*keys, "side", _OCC], _OCC2, _AT, chunk_rows)
+        sides = [
+            numbered.where(F.col("side") == side).select(
+                *keys, _OCC2, F.col(label).alias(name), F.col(_AT).alias(f"_ord_{side}")
+            )
+            for side, name in (("original", "OriginalType"), ("generated", "GeneratedType"))
+        ]
+        return null_equal_join(*sides, [*keys, _OCC2], "full_outer").drop(_OCC2)
+    numbered = occurrence_number(single, [*keys, "side"], _OCC2, _AT, chunk_rows)
+    hint = F.struct(F.col(_AT).alias("at"), F.col(label).alias("label"))
+    paired = numbered.groupBy(*keys, _OCC2).agg(
+        _of_side("original", hint).alias("__original"), _of_side("generated", hint).alias("__generated")
+    )
+    return paired.select(
+        *keys,
+        F.col("__original.label").alias("OriginalType"),
+        F.col("__generated.label").alias("GeneratedType"),
+        F.col("__original.at").alias("_ord_original"),
+        F.col("__generated.at").alias("_ord_generated"),
+    )
+
+
 def match_hints(
     original: DataFrame,
     generated: DataFrame,
@@ -81,21 +120,9 @@ def match_hints(
         "_ord_original",
         "_ord_generated",
     )
-
-    def leftovers(side: str, name: str) -> DataFrame:
-        rows = paired.where(F.col("side") == side)
-        rows = rows.select(*keys, _OCC, F.col(label).alias(name), f"_ord_{side}")
-        numbered = [*keys, _OCC] if nested_occurrence else list(keys)
-        return occurrence_number(rows, numbered, _OCC2, f"_ord_{side}", chunk_rows).drop(_OCC)
-
-    rest = null_equal_join(
-        leftovers("original", "OriginalType"),
-        leftovers("generated", "GeneratedType"),
-        [*keys, _OCC2],
-        "full_outer",
-    )
+    rest = match_by_key(paired.where(F.col("side") != "both"), keys, label, nested_occurrence, chunk_rows)
     has_type = F.col("OriginalType").isNotNull()
-    rest = rest.select(
+    scored = rest.select(
         *keys,
         "OriginalType",
         "GeneratedType",
@@ -104,7 +131,7 @@ def match_hints(
         "_ord_original",
         "_ord_generated",
     )
-    return both.unionByName(rest)
+    return both.unionByName(scored)
 
 
 def in_report_order(metrics: DataFrame) -> DataFrame:

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from siftmill.operators.keys import null_equal_join
 from siftmill.schemas import ORD
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 
-_CHUNK = "__chunk"
+_KEY = "__key"
 
 
 def order_chunk(df: DataFrame, order: str = ORD, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Column:
@@ -37,6 +36,29 @@ def order_chunk(df: DataFrame, order: str = ORD, chunk_rows: int = DEFAULT_CHUNK
     raise TypeError(f"{order} must be a whole number or a struct ending in one, not {dtype.simpleString()}")
 
 
+def _chunked(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int) -> DataFrame:
+    """Move the key columns into one struct, together with the row's chunk.
+
+    Windows, aggregates and the join below all use this one column as key, so
+    the rows are shuffled once, and without a second copy of their key. Structs
+    with equal nulls are equal.
+    """
+    chunk = order_chunk(df, order, chunk_rows).alias("chunk")
+    packed = F.struct(F.struct(F.lit(0).alias("any"), *keys).alias("key"), chunk).alias(_KEY)
+    return df.select(packed, *[c for c in df.columns if c not in keys or c == order])
+
+
+def _restored(df: DataFrame, columns: Sequence[str], keys: Sequence[str], out: str, value: Column) -> DataFrame:
+    """The columns as they were before ``_chunked``, and the result."""
+    here = set(df.columns)
+    kept = [F.col(c) if c in here else F.col(_KEY)["key"][c].alias(c) for c in columns if c != out]
+    return df.select(*kept, value.alias(out))
+
+
+def _over_chunks() -> WindowSpec:
+    return Window.partitionBy(F.col(_KEY)["key"]).orderBy(F.col(_KEY)["chunk"])
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,23 +68,19 @@ def running_sum(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the same key up to this one."""
-    keys = list(keys)
-    chunked = df.withColumn(_CHUNK, order_chunk(df, order, chunk_rows)).withColumn("__value", value.cast("long"))
-    within = Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    chunked = _chunked(df.withColumn("__value", value.cast("long")), keys, order, chunk_rows)
+    within = Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = _over_chunks().rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        chunked.groupBy(*keys, _CHUNK)
+        chunked.groupBy(_KEY)
         .agg(F.sum("__value").alias("__sum"))
         .withColumn("__offset", F.sum("__sum").over(earlier))
         .where(F.col("__offset") != 0)
         .drop("__sum")
     )
     local = chunked.withColumn(out, F.sum("__value").over(within)).drop("__value")
-    return (
-        null_equal_join(local, offsets, [*keys, _CHUNK], "left")
-        .withColumn(out, F.col(out) + F.coalesce(F.col("__offset"), F.lit(0)))
-        .drop(_CHUNK, "__offset")
-    )
+    total = F.col(out) + F.coalesce(F.col("__offset"), F.lit(0))
+    return _restored(local.join(offsets, _KEY, "left"), df.columns, keys, out, total)
 
 
 def occurrence_number(
@@ -89,18 +107,14 @@ def previous(
     The struct is null for the first row of a key, so that a missing row and a
     preceding null value stay apart.
     """
-    keys = list(keys)
-    chunked = df.withColumn(_CHUNK, order_chunk(df, order, chunk_rows))
+    chunked = _chunked(df, keys, order, chunk_rows)
     packed = F.struct(*[F.col(v).alias(v) for v in values])
-    tails = chunked.groupBy(*keys, _CHUNK).agg(F.max_by(packed, F.col(order)).alias("__tail"))
+    tails = chunked.groupBy(_KEY).agg(F.max_by(packed, F.col(order)).alias("__tail"))
     carried = (
-        tails.withColumn("__carried", F.lag("__tail").over(Window.partitionBy(*keys).orderBy(_CHUNK)))
+        tails.withColumn("__carried", F.lag("__tail").over(_over_chunks()))
         .where(F.col("__carried").isNotNull())
         .drop("__tail")
     )
-    local = chunked.withColumn(out, F.lag(packed).over(Window.partitionBy(*keys, _CHUNK).orderBy(order)))
-    return (
-        null_equal_join(local, carried, [*keys, _CHUNK], "left")
-        .withColumn(out, F.coalesce(F.col(out), F.col("__carried")))
-        .drop(_CHUNK, "__carried")
-    )
+    local = chunked.withColumn(out, F.lag(packed).over(Window.partitionBy(_KEY).orderBy(order)))
+    before = F.coalesce(F.col(out), F.col("__carried"))
+    return _restored(local.join(carried, _KEY, "left"), df.columns, keys, out, before)

@@ -1,4 +1,4 @@
-"""The three jobs: observe, unify, evaluate. Each gives lazy tables."""
+"""The jobs: observe, unify, place, evaluate."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from siftmill.operators import changes, filters, hints, matching, placement
 from siftmill.operators.reduce import dedup
 from siftmill.plans.pipeline import Chain
 from siftmill.schemas import OBS9, ORD
+from siftmill.session import written
 from siftmill.sources.files import changed_files
 from siftmill.sources.python_code import fact_errors, source_facts
 
@@ -67,25 +68,29 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """Compare the hints of two source trees.
 
-    Only observed files whose content differs are read. Gives ``metrics``,
-    ``totals``, ``files``, ``errors`` and, if handed in, ``timings``.
+    Only observed files whose content differs are read, both sides in one pass.
+    The facts of the files and the hints from them are written tables. Gives
+    ``metrics``, ``totals``, ``files``, ``errors`` and, if handed in,
+    ``timings``.
     """
     observed = observations.groupBy(F.col("Filename").alias("path")).agg(F.lit(1).alias("__one")).drop("__one")
     before = original.join(observed, "path", "left_semi")
     after = generated.join(observed, "path", "left_semi")
     paths = changed_files(before, after, strict).select("path")
-    facts_before = source_facts(original.join(paths, "path", "left_semi").withColumn("project", F.lit(None).cast("string")))
-    facts_after = source_facts(generated.join(paths, "path", "left_semi").withColumn("project", F.lit(None).cast("string")))
+
+    def side(sources: DataFrame, name: str) -> DataFrame:
+        return sources.join(paths, "path", "left_semi").select(F.lit(name).alias("project"), "path", "content")
+
+    facts = written(source_facts(side(original, "original").unionByName(side(generated, "generated"))), "facts")
+    found = written(hints.source_hints(facts), "hints")
     metrics = matching.match_hints(
-        hints.source_hints(facts_before), hints.source_hints(facts_after), filenames=filenames
+        found.where(F.col("project") == "original"), found.where(F.col("project") == "generated"), filenames=filenames
     )
     results = {
         "metrics": metrics,
         "totals": matching.total_scores(metrics),
         "files": matching.file_rates(metrics),
-        "errors": fact_errors(facts_before)
-        .withColumn("side", F.lit("original"))
-        .unionByName(fact_errors(facts_after).withColumn("side", F.lit("generated"))),
+        "errors": fact_errors(facts).withColumnRenamed("project", "side"),
     }
     if timings is not None:
         results["timings"] = timings

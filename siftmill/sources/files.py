@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -25,16 +26,18 @@ def _reader(spark: SparkSession, schema: T.StructType | None, glob: str | None,
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
-def with_order(df: DataFrame, scan: DataFrame | None = None, max_ranked_files: int = MAX_RANKED_FILES) -> DataFrame:
+def with_order(df: DataFrame, max_ranked_files: int = MAX_RANKED_FILES) -> DataFrame:
     """Add ``_ord``: files in path order, rows in file order.
 
     ``df`` is a Parquet scan with its ``_metadata`` still reachable. A number is
     cheaper than a path in every later shuffle, and aggregates on it stay in
     hash aggregation, so the path is ranked while the listing is small.
     """
-    columns = [c for c in df.columns]
-    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    files = sorted((scan or df).inputFiles())
+    columns = df.columns
+    # local paths come with one or three slashes
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    row = F.col("_metadata.row_index")
+    files = sorted(re.sub("^file:/+", "file:/", name) for name in df.inputFiles())
     if not files or len(files) > max_ranked_files:
         return df.select(*columns, F.struct(path.alias("file"), row.alias("row")).alias(ORD))
     if len(files) == 1:
@@ -61,7 +64,7 @@ def scan_parquet(
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
         return empty(spark, T.StructType([*schema.fields, T.StructField(ORD, T.LongType())]))
-    return with_order(_reader(spark, schema, glob, recursive).parquet(*paths), None, max_ranked_files)
+    return with_order(_reader(spark, schema, glob, recursive).parquet(*paths), max_ranked_files)
 
 
 def scan_text_rows(
@@ -88,7 +91,9 @@ def scan_text_rows(
     )
     rows = reader.format(file_format).load(path).select(*[f.name for f in wide.fields], order.alias(ORD))
     accepted = rows.where(F.col(broken).isNull()).drop(broken)
-    rejected = rows.where(F.col(broken).isNotNull()).select(
+    # Spark refuses to read the broken records alone: the always true test asks for the other columns
+    others = F.pmod(F.xxhash64(*[f.name for f in schema.fields]), F.lit(2)) < 2
+    rejected = rows.where(F.col(broken).isNotNull() & others).select(
         F.col(f"{ORD}.file").alias("file"), F.col(broken).alias("record")
     )
     return accepted, rejected
@@ -179,7 +184,7 @@ def scan_sources(
             return empty(spark, SOURCES)
     else:
         paths = [folder or root]
-    scan = _reader(spark, None, glob, recursive).option("wholetext", "true").text(paths)
+    scan = _reader(spark, None, glob, recursive).text(paths, wholetext=True)
     full = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     prefix = root.removeprefix("file://").rstrip("/") + "/"
     outside = F.raise_error(F.concat(full, F.lit(f" is not under {root}"))).cast("string")
