@@ -8,7 +8,7 @@ def all_queries() -> dict:
     import importlib
 
     found = {}
-    for part in ("reducing", "filtering", "scoring", "code"):
+    for part in ("reducing", "filtering", "scoring", "code", "streams"):
         module = importlib.import_module(f"siftmill.catalog.{part}")
         found.update(module.QUERIES)
     return found

@@ -58,7 +58,11 @@ def text(column: F.Column) -> F.Column:
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OBSERVED_SQL with the DataFrame API."""
+    return observed_rows(table(spark, sf_dir, "events"))
+
+
+def observed_rows(events: DataFrame) -> DataFrame:
+    """OBSERVED_SQL with the DataFrame API, for tables and streams."""
     user, event, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
     file = F.concat(F.lit("m"), text(user % 3))
     ownerless = (user % 5 == 4) | (user % 3 == 0)
@@ -69,7 +73,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(pick == 2, F.when(kind == "view", "int").otherwise("str"))
         .otherwise("Purchase")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         event.alias("_ord"),
         F.concat(F.lit("pkg/"), file, F.lit(".py")).alias("Filename"),
         F.when(~ownerless, F.concat(F.lit("pkg."), file)).alias("ClassModule"),
