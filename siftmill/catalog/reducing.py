@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siftmill.catalog.views import HIERARCHY_EDGES_SQL, OBSERVED_SQL, hierarchy, observed
-from siftmill.operators import filters, reduce as reducers
+from siftmill.catalog.views import HIERARCHY_EDGES_SQL, OBSERVED_SQL, hierarchy, observed, table
+from siftmill.operators import reduce as reducers
+from siftmill.operators.hierarchy import hierarchy_from_edges
 from siftmill.operators.keys import null_equal_join
 from siftmill.plans.pipeline import Chain, Configuration
 from siftmill.schemas import OBS9, ORD, SITE6, SITE7, TYPE2
@@ -198,7 +199,30 @@ def expanded(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy(*OBS9).agg(F.count(F.lit(1)).alias("n"))
 
 
+def inheritance(spark, sf_dir: str) -> DataFrame:
+    """Parts as types, each inheriting from the part with a third of its number."""
+    key = F.col("p_partkey")
+    edges = table(spark, sf_dir, "part").select(
+        F.lit("parts").alias("module"),
+        F.concat(F.lit("P"), key.cast("string")).alias("type"),
+        F.when(key > 0, "parts").alias("base_module"),
+        F.when(key > 0, F.concat(F.lit("P"), F.expr("p_partkey div 3").cast("string"))).alias("base_type"),
+        F.lit(0).alias("position"),
+    )
+    bases, _ = hierarchy_from_edges(edges)
+    return bases.where(F.col("module") == "parts").select("type", F.posexplode("bases").alias("place", "base")).select(
+        "type", F.col("place").cast("long").alias("place"), F.col("base.type").alias("base_type")
+    )
+
+
+INHERITANCE_SQL = """WITH RECURSIVE up AS (
+   SELECT p_partkey, p_partkey AS base, 0::BIGINT AS place FROM part
+   UNION ALL SELECT p_partkey, base // 3, place + 1 FROM up WHERE base > 0)
+ SELECT 'P' || p_partkey AS type, place, 'P' || base AS base_type FROM up
+ UNION ALL SELECT 'P' || p_partkey, max(place) + 1, 'object' FROM up GROUP BY p_partkey"""
+
 QUERIES = {
+    "hierarchy_from_edges": (inheritance, INHERITANCE_SQL),
     "unify_dedup": (_over_view(reducers.dedup), f"{WITH_V} {DEDUP_SQL.format('v')}"),
     "unify_min_threshold": (
         _over_view(lambda df: reducers.drop_min_threshold(df, 0.3)),

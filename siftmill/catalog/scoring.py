@@ -127,7 +127,8 @@ def _loop_rows(spark, sf_dir: str) -> DataFrame:
 
 def gated(spark, sf_dir: str) -> DataFrame:
     rows = _loop_rows(spark, sf_dir)
-    return changes.until_stable_loops(rows, ["loop"], ["user_id", "event_type"], chunk_rows=50).drop("is_head")
+    found = changes.until_stable_loops(rows, ["loop"], ["user_id", "event_type"], is_head="is_head", chunk_rows=50)
+    return found.drop("is_head")
 
 
 LOOPS_SQL = """WITH e AS (SELECT event_id AS _ord, user_id % 10 AS loop, user_id, event_type FROM events),
@@ -141,7 +142,8 @@ GATED_SQL = f"""{LOOPS_SQL},
  quiet AS (SELECT loop, iteration, iteration - 1 - coalesce(max(news) OVER (PARTITION BY loop ORDER BY iteration
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS without_news FROM its),
  ends AS (SELECT loop, min(iteration) AS last FROM quiet WHERE without_news >= 5 GROUP BY loop)
- SELECT r.* FROM r LEFT JOIN ends USING (loop) WHERE r.iteration IS NULL OR last IS NULL OR r.iteration < last"""
+ SELECT r.* FROM r LEFT JOIN ends USING (loop) WHERE r.iteration IS NULL OR last IS NULL OR r.iteration < last
+   OR (r.iteration = last AND event_type = 'view')"""
 
 
 def updates(spark, sf_dir: str) -> DataFrame:

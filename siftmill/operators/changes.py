@@ -96,18 +96,23 @@ def until_stable_loops(
     loop: Sequence[str],
     observation: Sequence[str],
     iteration: str = "iteration",
+    is_head: str | None = None,
     until_stable: int = ITERATIONS_UNTIL_STABLE,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Drop the rows of a loop from the point on where it has become stable.
 
-    Later changes in such a loop are missed on purpose. Rows outside loops have
-    a null iteration and stay.
+    Later changes in such a loop are missed on purpose. With ``is_head`` the
+    event at the loop's head that finds it stable is still kept. Rows outside
+    loops have a null iteration and stay.
     """
     inside = df.where(F.col(iteration).isNotNull())
     ends = stable_loop_ends(inside, loop, observation, iteration, until_stable, chunk_rows)
     joined = null_equal_join(df, ends, loop, "left")
-    return joined.where(F.col(iteration).isNull() | (F.col(iteration) < F.col("__end"))).drop("__end")
+    kept = F.col(iteration).isNull() | (F.col(iteration) < F.col("__end"))
+    if is_head is not None:
+        kept = kept | ((F.col(iteration) == F.col("__end")) & F.col(is_head))
+    return joined.where(kept).drop("__end")
 
 
 def flatten_updates(updates: DataFrame, order: str | None = ORD) -> DataFrame:

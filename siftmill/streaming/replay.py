@@ -143,9 +143,11 @@ class _StableLoops(_Replay):
             iteration += 1
         if iteration < 0:
             return (iteration, news), (None,)
-        if iteration - 1 - news >= self.until_stable:
-            # once stable, a loop stays so: nothing is added to what it has shown
-            return (iteration, news), None
+        quiet = iteration - 1 - news
+        if quiet >= self.until_stable:
+            # once stable, a loop stays so; the event at its head that finds that out still passes
+            passes = row[self.is_head] and quiet == self.until_stable
+            return (iteration, news), ((iteration,) if passes else None)
         shown = (repr([row[name] for name in self.observation]),)
         if not self.seen.containsKey(shown):
             self.seen.updateValue(shown, (1,))
