@@ -150,20 +150,20 @@ _HINT_COLUMNS = "Filename, Class, FunctionName, ColumnOffset, Category, VarName,
 
 
 def extracted(spark, sf_dir: str) -> DataFrame:
-    facts = written(source_facts(sources(spark, sf_dir)), "facts")
+    facts = written(source_facts(sources(spark, sf_dir), spread=True), "facts")
     return hints.source_hints(facts).drop("project", ORD)
 
 
 def unparsed(spark, sf_dir: str) -> DataFrame:
     """Errors of source files, written next to the data and read back."""
     store = shared_folder(spark, "errors")
-    sinks.write_errors(fact_errors(source_facts(sources(spark, sf_dir))), store)
+    sinks.write_errors(fact_errors(source_facts(sources(spark, sf_dir), spread=True)), store)
     found = spark.read.parquet(f"{store}/data/errors")
     return found.select("Filename", F.substring_index("error", ":", 1).alias("error"))
 
 
 def sites(spark, sf_dir: str) -> DataFrame:
-    found = hints.source_sites(source_facts(sources(spark, sf_dir)))
+    found = hints.source_sites(source_facts(sources(spark, sf_dir), spread=True))
     names = F.concat_ws(",", "EnclosingClasses").alias("EnclosingClasses")
     return found.select(
         "Filename", "Kind", "Target", "Scope", "FunctionName", names, "LineNo", "VarName", "DeclaredGlobal", "HasHint",

@@ -10,6 +10,7 @@ from siftmill.schemas import HINT7, ORD, Category
 
 _FILE = ["project", "path"]
 _NAME = r"(?U)[^\W\d]\w*(?:\.[^\W\d]\w*)*"
+_STARTS_NAME = r"(?U)^[^\W\d]"
 
 
 def definitions(facts: DataFrame) -> DataFrame:
@@ -66,11 +67,11 @@ def _resolve(name: Column, names: Column, seq: Column) -> Column:
 
 def qualify(hints: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """Put full names into the hint text. One join per file, the rest stays in the row."""
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"{_NAME}|(?s:.)"), F.lit(0))
+    parts = F.regexp_extract_all(F.col(text), F.lit(rf"{_NAME}|[\W\d]+"), F.lit(0))
     joined = null_equal_join(hints, names, _FILE, "left")
     known = F.coalesce(F.col("names"), F.create_map().cast(joined.schema["names"].dataType))
     full = F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(f"^{_NAME}$"), _resolve(p, known, F.col("seq"))).otherwise(p)), ""
+        F.transform(parts, lambda p: F.when(p.rlike(_STARTS_NAME), _resolve(p, known, F.col("seq"))).otherwise(p)), ""
     )
     return joined.withColumn(text, full).drop("names")
 

@@ -49,7 +49,7 @@ def place(
 ) -> dict[str, DataFrame]:
     """What to write where: ``sites`` with hint and action, ``imports``, ``errors``."""
     applicable = placement.hintable(unified)
-    facts = source_facts(sources.where(filters.is_hintable_file(F.col("path"))))
+    facts = source_facts(sources.where(filters.is_hintable_file(F.col("path"))), spread=True)
     assigned = placement.assign_hints(hints.source_sites(facts), applicable, strict)
     return {
         "sites": placement.with_action(assigned, strategy),
@@ -81,7 +81,8 @@ def evaluate(
     def side(sources: DataFrame, name: str) -> DataFrame:
         return sources.join(paths, "path", "left_semi").select(F.lit(name).alias("project"), "path", "content")
 
-    facts = written(source_facts(side(original, "original").unionByName(side(generated, "generated"))), "facts")
+    sources = side(original, "original").unionByName(side(generated, "generated"))
+    facts = written(source_facts(sources, spread=True), "facts")
     found = written(hints.source_hints(facts), "hints")
     metrics = matching.match_hints(
         found.where(F.col("project") == "original"), found.where(F.col("project") == "generated"), filenames=filenames

@@ -79,30 +79,38 @@ class _Walk(ast.NodeVisitor):
         self.scopes: list[ast.AST] = []
         self.globals: dict[ast.AST, set[str]] = {}
         self.statements = 0
+        self._describe_scope()
         self.lines = re.split(r"\r\n|\r|\n", content)
         self.visit(ast.parse(content))
 
-    def _scope_names(self, *kinds: type) -> list[str]:
-        return [s.name for s in reversed(self.scopes) if isinstance(s, kinds)]
+    def generic_visit(self, node: ast.AST) -> None:
+        """Go through the statements of a block; expressions hold no facts."""
+        for block in ("body", "handlers", "orelse", "finalbody", "cases"):
+            for statement in getattr(node, block, ()):
+                self.visit(statement)
 
-    def add(self, kind: str, node: ast.AST | None = None, **fields) -> None:
-        classes = self._scope_names(ast.ClassDef)
-        functions = self._scope_names(ast.FunctionDef, ast.AsyncFunctionDef)
-        inside = "module"
-        if self.scopes:
-            inside = "class" if isinstance(self.scopes[-1], ast.ClassDef) else "function"
-        self.facts.append(
-            {
-                "seq": len(self.facts),
-                "kind": kind,
-                "line": getattr(node, "lineno", None),
-                "class": classes[0] if classes else None,
-                "function": functions[0] if functions else None,
-                "scope": inside,
-                "enclosing": classes,
-                **fields,
-            }
-        )
+    def _enter(self, node: ast.AST) -> None:
+        self.scopes.append(node)
+        self._describe_scope()
+
+    def _leave(self) -> None:
+        self.scopes.pop()
+        self._describe_scope()
+
+    def _describe_scope(self) -> None:
+        inner = list(reversed(self.scopes))
+        classes = [s.name for s in inner if isinstance(s, ast.ClassDef)]
+        functions = [s.name for s in inner if not isinstance(s, ast.ClassDef)]
+        kind = "module" if not inner else "class" if isinstance(inner[0], ast.ClassDef) else "function"
+        self.place = {
+            "class": classes[0] if classes else None,
+            "function": functions[0] if functions else None,
+            "scope": kind,
+            "enclosing": classes,
+        }
+
+    def add(self, kind: str, node: ast.AST, **fields) -> None:
+        self.facts.append({"seq": len(self.facts), "kind": kind, "line": node.lineno, **self.place, **fields})
 
     def hint(self, node: ast.AST, annotation: ast.expr | None, **fields) -> None:
         try:
@@ -130,12 +138,12 @@ class _Walk(ast.NodeVisitor):
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         self.add("class", node, name=node.name)
-        self.scopes.append(node)
+        self._enter(node)
         self.generic_visit(node)
-        self.scopes.pop()
+        self._leave()
 
     def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        self.scopes.append(node)
+        self._enter(node)
         given = node.args
         parameters = [*given.posonlyargs, *given.args, given.vararg, *given.kwonlyargs, given.kwarg]
         for parameter in filter(None, parameters):
@@ -146,9 +154,8 @@ class _Walk(ast.NodeVisitor):
         here = {"name": node.name, "category": int(Category.FUNCTION_RETURN)}
         self.hint(node, node.returns, **here)
         self._site("return", node, has_hint=node.returns is not None, **here)
-        for statement in node.body:
-            self.visit(statement)
-        self.scopes.pop()
+        self.generic_visit(node)
+        self._leave()
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
@@ -165,16 +172,12 @@ class _Walk(ast.NodeVisitor):
         self.hint(node, node.annotation, name=name, category=category, col=len(before.decode()))
         if name is not None:
             self._assignment("annassign", node, [target], node.value is not None)
-        if node.value is not None:
-            self.visit(node.value)
 
     def visit_Assign(self, node: ast.Assign) -> None:
         self._assignment("assign", node, node.targets, True)
-        self.visit(node.value)
 
     def visit_AugAssign(self, node: ast.AugAssign) -> None:
         self._assignment("augassign", node, [node.target], True)
-        self.visit(node.value)
 
     def _assignment(self, kind: str, node: ast.AST, targets: list[ast.expr], has_value: bool) -> None:
         names, attributes, pending = [], [], list(reversed(targets))
@@ -229,9 +232,17 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=FACTS.fieldNames(), dtype=object)
 
 
-def source_facts(sources: DataFrame) -> DataFrame:
-    """Facts of a source table (project, path, content), one file per row."""
-    return sources.select("project", "path", "content").mapInPandas(_rows, FACTS)
+def source_facts(sources: DataFrame, spread: bool = False) -> DataFrame:
+    """Facts of a source table (project, path, content), one file per row.
+
+    Parsing is slow next to reading. ``spread`` deals the files out to as many
+    tasks as the session uses for shuffles, for tables whose few partitions are
+    small in bytes but not in work.
+    """
+    files = sources.select("project", "path", "content")
+    if spread:
+        files = files.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project", "path")
+    return files.mapInPandas(_rows, FACTS)
 
 
 def fact_errors(facts: DataFrame) -> DataFrame:
