@@ -11,7 +11,7 @@ from siftmill.catalog.views import observed_rows
 from siftmill.operators import reduce as reducers
 from siftmill.schemas import OBS9, ORD
 from siftmill.session import shared_folder
-from siftmill.streaming import replay, stream as streams
+from siftmill.streaming import batches, replay, stream as streams
 
 _OBS9 = ", ".join(OBS9)
 
@@ -47,6 +47,16 @@ def lines(spark, sf_dir: str) -> DataFrame:
     return streams.run_to_end(replay.attributed_lines_stream(rows, ["user_id"], "LineNo", ORD, "ts", delay="0 seconds"))
 
 
+def changed_by_batch(spark, sf_dir: str) -> DataFrame:
+    rows = _timed(spark, sf_dir).drop("ts").withColumn("variable", F.col(ORD) % 3)
+    return batches.changed_values_by_batch(rows, ["user_id", "variable"], "event_type")
+
+
+def lines_by_batch(spark, sf_dir: str) -> DataFrame:
+    rows = _timed(spark, sf_dir).select(ORD, "user_id", (F.col(ORD) % 40).alias("LineNo"))
+    return batches.attributed_lines_by_batch(rows, ["user_id"])
+
+
 def gated(spark, sf_dir: str) -> DataFrame:
     rows = _timed(spark, sf_dir).withColumn("loop", F.col("user_id") % 10)
     rows = rows.withColumn("is_head", F.col("event_type") == "view")
@@ -67,6 +77,16 @@ def incremental_first(spark, sf_dir: str) -> DataFrame:
     return reducers.keep_only_first(reducers.drop_min_threshold(_summary(spark, sf_dir), 0.3)).select(*OBS9, ORD)
 
 
+CHANGED_SQL = """SELECT user_id, variable, _ord, event_type FROM (
+          SELECT event_id AS _ord, user_id, event_type, event_id % 3 AS variable,
+            row_number() OVER w AS rn, lag(event_type) OVER w AS before FROM events
+          WINDOW w AS (PARTITION BY user_id, event_id % 3 ORDER BY event_id))
+        WHERE rn = 1 OR before <> event_type"""
+
+LINES_SQL = """SELECT event_id AS _ord, user_id, event_id % 40 AS LineNo,
+          coalesce(lag(event_id % 40) OVER (PARTITION BY user_id ORDER BY event_id), event_id % 40) AS AttributedLine
+        FROM events"""
+
 QUERIES = {
     "stream_dedup": (deduplicated, f"{WITH_V} SELECT DISTINCT {_OBS9} FROM v"),
     "stream_dedup_within_watermark": (
@@ -75,18 +95,14 @@ QUERIES = {
     ),
     "stream_changed": (
         changed,
-        """SELECT user_id, variable, _ord, event_type FROM (
-          SELECT event_id AS _ord, user_id, event_type, event_id % 3 AS variable,
-            row_number() OVER w AS rn, lag(event_type) OVER w AS before FROM events
-          WINDOW w AS (PARTITION BY user_id, event_id % 3 ORDER BY event_id))
-        WHERE rn = 1 OR before <> event_type""",
+        CHANGED_SQL,
     ),
+    "stream_changed_by_batch": (changed_by_batch, CHANGED_SQL),
     "stream_attributed_lines": (
         lines,
-        """SELECT event_id AS _ord, user_id, event_id % 40 AS LineNo,
-          coalesce(lag(event_id % 40) OVER (PARTITION BY user_id ORDER BY event_id), event_id % 40) AS AttributedLine
-        FROM events""",
+        LINES_SQL,
     ),
+    "stream_attributed_lines_by_batch": (lines_by_batch, LINES_SQL),
     "stream_until_stable": (gated, GATED_SQL),
     "stream_summary": (
         lambda spark, sf_dir: _summary(spark, sf_dir),

@@ -8,25 +8,27 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-OBSERVED_SQL = """
-SELECT event_id AS _ord,
- 'pkg/m' || CAST(user_id % 3 AS STRING) || '.py' AS Filename,
- CASE WHEN user_id % 5 = 4 OR user_id % 3 = 0 THEN NULL ELSE 'pkg.m' || CAST(user_id % 3 AS STRING) END AS ClassModule,
- CASE WHEN user_id % 5 = 4 OR user_id % 3 = 0 THEN NULL ELSE 'C' || CAST(user_id % 7 AS STRING) END AS Class,
- CASE WHEN user_id % 5 >= 3 THEN NULL WHEN user_id % 11 = 0 THEN 'test_f'
-      ELSE 'f' || CAST(user_id % 20 AS STRING) END AS FunctionName,
- CASE WHEN user_id % 5 >= 2 THEN 0 ELSE 10 + user_id % 50 END AS LineNo,
- 1 + user_id % 5 AS Category,
- 'v' || CAST(user_id % 100 AS STRING) AS VarName,
- CASE WHEN user_id % 4 = 2 THEN NULL ELSE 'shop.model' END AS TypeModule,
- CASE WHEN user_id % 4 = 0 THEN CASE WHEN event_id % 4 = 0 THEN 'View' ELSE 'Click' END
-      WHEN user_id % 4 = 1 THEN CASE WHEN event_type = 'view' THEN 'Interaction' ELSE 'Click' END
-      WHEN user_id % 4 = 2 THEN CASE WHEN event_type = 'view' THEN 'int' ELSE 'str' END
-      ELSE 'Purchase' END AS Type
-FROM events
-"""
+from pyspark.sql import DataFrame, SparkSession
+
+from siftmill.schemas import HIERARCHY
+
+OBSERVED_COLUMNS = [
+    "event_id AS _ord",
+    "'pkg/m' || CAST(user_id % 3 AS STRING) || '.py' AS Filename",
+    "CASE WHEN user_id % 5 = 4 OR user_id % 3 = 0 THEN NULL "
+    "ELSE 'pkg.m' || CAST(user_id % 3 AS STRING) END AS ClassModule",
+    "CASE WHEN user_id % 5 = 4 OR user_id % 3 = 0 THEN NULL ELSE 'C' || CAST(user_id % 7 AS STRING) END AS Class",
+    "CASE WHEN user_id % 5 >= 3 THEN NULL WHEN user_id % 11 = 0 THEN 'test_f' "
+    "ELSE 'f' || CAST(user_id % 20 AS STRING) END AS FunctionName",
+    "CASE WHEN user_id % 5 >= 2 THEN 0 ELSE 10 + user_id % 50 END AS LineNo",
+    "1 + user_id % 5 AS Category",
+    "'v' || CAST(user_id % 100 AS STRING) AS VarName",
+    "CASE WHEN user_id % 4 = 2 THEN NULL ELSE 'shop.model' END AS TypeModule",
+    "CASE user_id % 4 WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN 'View' ELSE 'Click' END "
+    "WHEN 1 THEN CASE WHEN event_type = 'view' THEN 'Interaction' ELSE 'Click' END "
+    "WHEN 2 THEN CASE WHEN event_type = 'view' THEN 'int' ELSE 'str' END ELSE 'Purchase' END AS Type",
+]
+OBSERVED_SQL = f"SELECT {', '.join(OBSERVED_COLUMNS)} FROM events"
 
 # (module, type, bases as (module, type) from itself to the root)
 HIERARCHY_ROWS = [
@@ -49,12 +51,19 @@ SELECT * FROM (VALUES
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# Schemas of the tables the queries read, so that no file is opened to infer them.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
 
 
-def text(column: F.Column) -> F.Column:
-    return column.cast("string")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,34 +71,9 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed_rows(events: DataFrame) -> DataFrame:
-    """OBSERVED_SQL with the DataFrame API, for tables and streams."""
-    user, event, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
-    file = F.concat(F.lit("m"), text(user % 3))
-    ownerless = (user % 5 == 4) | (user % 3 == 0)
-    pick = user % 4
-    label = (
-        F.when(pick == 0, F.when(event % 4 == 0, "View").otherwise("Click"))
-        .when(pick == 1, F.when(kind == "view", "Interaction").otherwise("Click"))
-        .when(pick == 2, F.when(kind == "view", "int").otherwise("str"))
-        .otherwise("Purchase")
-    )
-    return events.select(
-        event.alias("_ord"),
-        F.concat(F.lit("pkg/"), file, F.lit(".py")).alias("Filename"),
-        F.when(~ownerless, F.concat(F.lit("pkg."), file)).alias("ClassModule"),
-        F.when(~ownerless, F.concat(F.lit("C"), text(user % 7))).alias("Class"),
-        F.when(user % 5 < 3, F.when(user % 11 == 0, "test_f").otherwise(F.concat(F.lit("f"), text(user % 20)))).alias(
-            "FunctionName"
-        ),
-        F.when(user % 5 >= 2, 0).otherwise(10 + user % 50).alias("LineNo"),
-        (1 + user % 5).alias("Category"),
-        F.concat(F.lit("v"), text(user % 100)).alias("VarName"),
-        F.when(pick != 2, "shop.model").alias("TypeModule"),
-        label.alias("Type"),
-    )
+    """The view over a table or a stream of events."""
+    return events.selectExpr(*OBSERVED_COLUMNS)
 
 
 def hierarchy(spark: SparkSession) -> DataFrame:
-    from siftmill.schemas import HIERARCHY
-
     return spark.createDataFrame(HIERARCHY_ROWS, HIERARCHY)

@@ -13,6 +13,17 @@ from siftmill.schemas import OBS9, ORD, SITE7, TYPE2, Category
 # Fixed value: iterations without a new observation after which a loop counts as stable.
 ITERATIONS_UNTIL_STABLE = 5
 
+PREVIOUS = "__previous"
+
+
+def only_changes(seen: DataFrame, value: str, snapshot: str | None = None) -> DataFrame:
+    """Rows that are new or differ from ``__previous``, the struct ``previous`` gives."""
+    before = F.col(PREVIOUS)
+    changed = before.isNull() | ~F.col(value).eqNullSafe(before[value])
+    if snapshot is not None:
+        changed = changed | (before[snapshot] < F.col(snapshot) - 1)
+    return seen.where(changed).drop(PREVIOUS)
+
 
 def changed_values(
     df: DataFrame,
@@ -29,12 +40,13 @@ def changed_values(
     to, a variable missing from the snapshot before counts as new again.
     """
     carried = [value] if snapshot is None else [value, snapshot]
-    seen = previous(df, [*scope, name], carried, "__previous", order, chunk_rows)
-    before = F.col("__previous")
-    changed = before.isNull() | ~F.col(value).eqNullSafe(before[value])
-    if snapshot is not None:
-        changed = changed | (before[snapshot] < F.col(snapshot) - 1)
-    return seen.where(changed).drop("__previous")
+    return only_changes(previous(df, [*scope, name], carried, PREVIOUS, order, chunk_rows), value, snapshot)
+
+
+def with_attributed_line(seen: DataFrame, line: str = "LineNo", out: str = "AttributedLine") -> DataFrame:
+    """The line of ``__previous``, or the row's own where there is none."""
+    before = F.col(PREVIOUS)
+    return seen.withColumn(out, F.when(before.isNull(), F.col(line)).otherwise(before[line])).drop(PREVIOUS)
 
 
 def attributed_lines(
@@ -49,10 +61,7 @@ def attributed_lines(
 
     The first event of a call keeps its own line.
     """
-    seen = previous(df, call, [line], "__previous", order, chunk_rows)
-    return seen.withColumn(
-        out, F.when(F.col("__previous").isNull(), F.col(line)).otherwise(F.col("__previous")[line])
-    ).drop("__previous")
+    return with_attributed_line(previous(df, call, [line], PREVIOUS, order, chunk_rows), line, out)
 
 
 def numbered_iterations(

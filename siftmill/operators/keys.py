@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 _RIGHT = "__right_"
 
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def null_equal_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,12 +20,15 @@ def null_equal_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: s
     a side whose measured size allows it) broadcast equi-join. Columns other
     than the keys must have different names on both sides.
     """
-    renamed = right.select(*[F.col(c).alias(_RIGHT + c) if c in on else F.col(c) for c in right.columns])
-    joined = left.join(renamed, all_of([F.col(c).eqNullSafe(F.col(_RIGHT + c)) for c in on]), how)
+    others = [quoted(c) for c in right.columns if c not in on]
+    renamed = right.selectExpr(*[f"{quoted(c)} AS {quoted(_RIGHT + c)}" for c in on], *others)
+    condition = " AND ".join(f"{quoted(c)} <=> {quoted(_RIGHT + c)}" for c in on)
+    joined = left.join(renamed, F.expr(condition), how)
     if how in ("left_semi", "left_anti"):
         return joined
+    kept = [quoted(c) for c in left.columns]
     if how in ("full", "full_outer", "outer", "right", "right_outer"):
-        columns = [F.coalesce(F.col(c), F.col(_RIGHT + c)).alias(c) if c in on else F.col(c) for c in left.columns]
-    else:
-        columns = [F.col(c) for c in left.columns]
-    return joined.select(*columns, *[F.col(c) for c in right.columns if c not in on])
+        kept = [
+            f"coalesce({quoted(c)}, {quoted(_RIGHT + c)}) AS {quoted(c)}" if c in on else quoted(c) for c in left.columns
+        ]
+    return joined.selectExpr(*kept, *others)

@@ -7,7 +7,7 @@ import golden as g
 from siftmill.operators import changes, reduce as r
 from siftmill.schemas import OBS9, ORD, WEIGHT
 from siftmill.session import shared_folder
-from siftmill.streaming import replay, stream as s
+from siftmill.streaming import batches, replay, stream as s
 
 SCHEMA = T.StructType(
     [
@@ -58,3 +58,18 @@ def test_summary_equals_compaction(spark, tmp_path):
     merged = s.summary(spark, folder)
     assert g.values(merged, [*OBS9, ORD, WEIGHT]) == g.values(r.compact(rows), [*OBS9, ORD, WEIGHT])
     assert g.orders(r.keep_only_first(merged)) == [0, 3, 5, 7, 10]
+
+
+def test_batches_carry_the_last_row_of_a_key(spark, tmp_path):
+    rows = [(i, None, "s" + str(i % 2), "v" + str(i % 3), "abc"[i // 7 % 3]) for i in range(60)]
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    whole = spark.createDataFrame(rows, SCHEMA)
+    stream = s.read_stream(spark, str(tmp_path), SCHEMA, files_per_batch=1).drop("ts")
+    found = batches.changed_values_by_batch(stream, ["scope", "name"], "value")
+    assert g.orders(found) == g.orders(changes.changed_values(whole, ["scope"], "name", "value"))
+    numbered = stream.withColumn("LineNo", F.col(ORD) * 2)
+    lines = batches.attributed_lines_by_batch(numbered, ["scope"])
+    wanted = changes.attributed_lines(whole.withColumn("LineNo", F.col(ORD) * 2), ["scope"])
+    columns = [ORD, "AttributedLine"]
+    assert g.values(lines, columns) == g.values(wanted, columns)
