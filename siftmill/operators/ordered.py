@@ -18,6 +18,8 @@ from siftmill.schemas import ORD
 DEFAULT_CHUNK_ROWS = 1_000_000
 
 _KEY = "__key"
+# sorting by a number first is much faster than by a struct
+_HASH = "__hash"
 
 
 def order_chunk(df: DataFrame, order: str = ORD, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Column:
@@ -39,13 +41,14 @@ def order_chunk(df: DataFrame, order: str = ORD, chunk_rows: int = DEFAULT_CHUNK
 def _chunked(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int) -> DataFrame:
     """Move the key columns into one struct, together with the row's chunk.
 
-    Windows, aggregates and the join below all use this one column as key, so
-    the rows are shuffled once, and without a second copy of their key. Structs
-    with equal nulls are equal.
+    Windows, aggregates and the join below all use this column and its hash as
+    key, so the rows are shuffled once, and without a second copy of their key.
+    Structs with equal nulls are equal.
     """
     chunk = order_chunk(df, order, chunk_rows).alias("chunk")
     packed = F.struct(F.struct(F.lit(0).alias("any"), *keys).alias("key"), chunk).alias(_KEY)
-    return df.select(packed, *[c for c in df.columns if c not in keys or c == order])
+    rest = [c for c in df.columns if c not in keys or c == order]
+    return df.select(packed, *rest).withColumn(_HASH, F.xxhash64(_KEY))
 
 
 def _restored(df: DataFrame, columns: Sequence[str], keys: Sequence[str], out: str, value: Column) -> DataFrame:
@@ -69,10 +72,10 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the same key up to this one."""
     chunked = _chunked(df.withColumn("__value", value.cast("long")), keys, order, chunk_rows)
-    within = Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(_HASH, _KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = _over_chunks().rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        chunked.groupBy(_KEY)
+        chunked.groupBy(_HASH, _KEY)
         .agg(F.sum("__value").alias("__sum"))
         .withColumn("__offset", F.sum("__sum").over(earlier))
         .where(F.col("__offset") != 0)
@@ -80,7 +83,7 @@ def running_sum(
     )
     local = chunked.withColumn(out, F.sum("__value").over(within)).drop("__value")
     total = F.col(out) + F.coalesce(F.col("__offset"), F.lit(0))
-    return _restored(local.join(offsets, _KEY, "left"), df.columns, keys, out, total)
+    return _restored(local.join(offsets, [_HASH, _KEY], "left"), df.columns, keys, out, total)
 
 
 def occurrence_number(
@@ -109,12 +112,12 @@ def previous(
     """
     chunked = _chunked(df, keys, order, chunk_rows)
     packed = F.struct(*[F.col(v).alias(v) for v in values])
-    tails = chunked.groupBy(_KEY).agg(F.max_by(packed, F.col(order)).alias("__tail"))
+    tails = chunked.groupBy(_HASH, _KEY).agg(F.max_by(packed, F.col(order)).alias("__tail"))
     carried = (
         tails.withColumn("__carried", F.lag("__tail").over(_over_chunks()))
         .where(F.col("__carried").isNotNull())
         .drop("__tail")
     )
-    local = chunked.withColumn(out, F.lag(packed).over(Window.partitionBy(_KEY).orderBy(order)))
+    local = chunked.withColumn(out, F.lag(packed).over(Window.partitionBy(_HASH, _KEY).orderBy(order)))
     before = F.coalesce(F.col(out), F.col("__carried"))
-    return _restored(local.join(carried, _KEY, "left"), df.columns, keys, out, before)
+    return _restored(local.join(carried, [_HASH, _KEY], "left"), df.columns, keys, out, before)
