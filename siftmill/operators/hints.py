@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmill.functions.typenames import normalize_type
-from siftmill.operators.keys import null_equal_join
-from siftmill.schemas import HINT7, ORD, Category
+from siftmill.schemas import ORD, Category
 
 _FILE = ["project", "path"]
 _NAME = r"(?U)[^\W\d]\w*(?:\.[^\W\d]\w*)*"
@@ -68,7 +67,7 @@ def _resolve(name: Column, names: Column, seq: Column) -> Column:
 def qualify(hints: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """Put full names into the hint text. One join per file, the rest stays in the row."""
     parts = F.regexp_extract_all(F.col(text), F.lit(rf"{_NAME}|[\W\d]+"), F.lit(0))
-    joined = null_equal_join(hints, names, _FILE, "left")
+    joined = hints.join(names, _FILE, "left")
     known = F.coalesce(F.col("names"), F.create_map().cast(joined.schema["names"].dataType))
     full = F.array_join(
         F.transform(parts, lambda p: F.when(p.rlike(_STARTS_NAME), _resolve(p, known, F.col("seq"))).otherwise(p)), ""
@@ -87,28 +86,35 @@ def line_offsets(hints: DataFrame) -> DataFrame:
     return hints.withColumn("ColumnOffset", offset.cast("long"))
 
 
-def merge_globals(hints: DataFrame) -> DataFrame:
-    """One row per global of a file, its hints united; other rows pass through."""
-    is_global = F.col("Category") == int(Category.GLOBAL_VARIABLE)
-    types = F.array_join(F.collect_set("Type"), " | ")
-    merged = (
-        hints.where(is_global)
-        .groupBy("project", *HINT7[:-1])
-        .agg(types.alias("Type"), F.min(ORD).alias(ORD))
-        .withColumn("Type", normalize_type(F.col("Type")))
+def merge_globals(hints: DataFrame, text: str = "text") -> DataFrame:
+    """One row per global of a file with all its hints as members; other rows stay single."""
+    is_global = F.col("category") == int(Category.GLOBAL_VARIABLE)
+    single = F.when(~is_global, F.col("seq"))
+    united = F.array_join(F.sort_array(F.collect_set(text)), " | ")
+    return (
+        hints.withColumn("__single", single)
+        .groupBy(*_FILE, "class", "function", "ColumnOffset", "category", "name", "__single")
+        .agg(F.when(F.count(text) > 0, united).alias(text), F.min("seq").alias("seq"))
+        .drop("__single")
     )
-    return hints.where(~is_global).unionByName(merged)
 
 
 def source_hints(facts: DataFrame) -> DataFrame:
-    """Hint rows of all files: project, the seven hint columns, and the order (file, place)."""
+    """Hint rows of all files: project, the seven hint columns, and the order (file, place).
+
+    The facts are shuffled once, by file. All that follows works within a file
+    and is planned without another shuffle. The number of partitions is given,
+    as they are small in bytes but not in work and would be merged.
+    """
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_file = facts.withColumn("project", F.coalesce("project", F.lit(""))).repartition(partitions, *_FILE)
     # a hint that cannot be read still takes part in the offsets of its line
     read = F.col("kind") == "hint"
     unread = (F.col("kind") == "error") & F.col("col").isNotNull()
-    offsets = line_offsets(facts.where(read | unread)).where(read & F.col("category").isNotNull())
-    full = qualify(offsets, definitions(facts))
-    hints = full.select(
-        "project",
+    offsets = line_offsets(by_file.where(read | unread)).where(read & F.col("category").isNotNull())
+    merged = merge_globals(qualify(offsets, definitions(by_file)))
+    return merged.select(
+        F.nullif("project", F.lit("")).alias("project"),
         F.col("path").alias("Filename"),
         F.col("class").alias("Class"),
         F.col("function").alias("FunctionName"),
@@ -118,7 +124,6 @@ def source_hints(facts: DataFrame) -> DataFrame:
         normalize_type(F.col("text")).alias("Type"),
         F.struct(F.col("path").alias("file"), F.col("seq").alias("place")).alias(ORD),
     )
-    return merge_globals(hints)
 
 
 def source_sites(facts: DataFrame) -> DataFrame:

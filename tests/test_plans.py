@@ -103,3 +103,16 @@ def test_no_python_in_built_in_queries(spark):
 @pytest.mark.parametrize("name", sorted(n for n in all_queries() if n.startswith("unify_")))
 def test_no_windows_over_rows(spark, name):
     assert "Window" not in plan(all_queries()[name][0](spark, SF))
+
+
+def test_hints_shuffle_facts_once(spark, tmp_path):
+    from siftmill.operators.hints import source_hints
+    from siftmill.schemas import SOURCES
+    from siftmill.sources.python_code import source_facts
+
+    sources = spark.createDataFrame([("p", "a.py", "x: int = 1\n")], SOURCES)
+    source_facts(sources).write.parquet(f"{tmp_path}/facts")
+    text = plan(source_hints(spark.read.parquet(f"{tmp_path}/facts")))
+    exchanges = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text))
+    assert all(re.fullmatch(r"project#\d+, path#\d+, 8", e) for e in exchanges)
+    assert text.count("REPARTITION_BY_NUM") <= 2
