@@ -1,4 +1,10 @@
-"""Registered queries over the given tables, each with the SQL it is checked by."""
+"""Registered queries over the given tables, each with the SQL it is checked by.
+
+The tables hold no observations or source files, so these are derived from
+their rows. Remainders of ids shape what is derived (which side a hint is on,
+what kind a site is, which file is broken); no query leaves rows out to be
+cheaper.
+"""
 
 from __future__ import annotations
 

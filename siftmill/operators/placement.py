@@ -8,8 +8,6 @@ sides.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftmill.functions.names import outermost, path_to_module, union_members
@@ -194,7 +192,3 @@ def import_statements(plan: DataFrame) -> DataFrame:
 def hintable(observations: DataFrame, file: str = "Filename") -> DataFrame:
     """Observations of files that may be annotated."""
     return observations.where(is_hintable_file(F.col(file)))
-
-
-def sites_of_kind(sites: DataFrame, categories: Sequence[int]) -> DataFrame:
-    return sites.where(site_category(sites).isin(list(categories)))

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from siftmill.schemas import OBSERVATIONS, ORD, SOURCES, TIMINGS, conform, empty
+from siftmill.schemas import OBSERVATIONS, ORD, SOURCES, TIMINGS, empty
 
 # Up to this many files the order is one number per row, file rank and row
 # index together; the table of ranks (path, number) is then a few dozen MB and
@@ -209,7 +209,3 @@ def changed_files(original: DataFrame, other: DataFrame, strict: bool = True) ->
         missing = F.raise_error(F.concat(F.lit("file is missing in the other tree: "), F.col("path"))).cast("string")
         other_digest = F.coalesce(other_digest, missing)
     return joined.where(F.col("__a") != other_digest).select(F.nullif("project", F.lit("")).alias("project"), "path")
-
-
-def select_observations(df: DataFrame) -> DataFrame:
-    return conform(df, OBSERVATIONS)
