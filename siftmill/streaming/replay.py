@@ -7,9 +7,11 @@ it has shown. A key that has been idle long enough is forgotten.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -20,6 +22,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 _TIME = "__time_ms"
 
+# The driver starts a processor in a process of its own, which shipped files do
+# not reach, so the processors travel as code and not by name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _Replay(StatefulProcessor):
     """Buffers rows until the watermark passes them, then steps through them in order."""
