@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import exact, langid, packing, quality, simhash, token_count, word_bpe
+from siftmill.llm import chat, exact, langid, packing, quality, simhash, token_count, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"  # the conversation that the contract adds
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(added)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -74,5 +81,6 @@ QUERIES = {
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op7_word_bpe": (op7_word_bpe, None),
     "op8_token_count": (op8_token_count, None),
+    "op9_chat_format": (op9_chat_format, None),
     "op10_simhash": (op10_simhash, None),
 }
