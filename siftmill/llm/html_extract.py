@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siftmill.llm import boosted_trees
 from siftmill.llm.boosted_trees import BoostedTrees
-from siftmill.llm.html_dom import INLINE, RAW, Dom
+from siftmill.llm.html_dom import RAW, Dom
 
-SAMPLE_PAGES = 300  # pages the trees are fitted on
+SAMPLE_PAGES = 150  # pages the trees are fitted on
 SAMPLE_CHARS = 100_000  # longer pages are not used for fitting
 PAGES_AT_ONCE = 64
 
@@ -40,60 +38,76 @@ HASHED = 16
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
-def features(dom: Dom) -> np.ndarray:
-    """One row per node: tag and attributes, own and above; depth; siblings; text of the subtree."""
-    n = len(dom.tags)
-    parents = np.array(dom.parents)
-    is_text = np.array([tag == "#text" for tag in dom.tags])
-    shown = ["" if not t else " ".join(t.split()) for t in dom.texts]
-    raw = np.array([tag in RAW or tag == "head" for tag in dom.tags])
-    chars = np.array([len(t) for t in shown], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for t in shown], float)
-    words = np.array([t.count(" ") + 1 if t else 0 for t in shown], float)
-    linked, leaves = np.zeros(n), (chars > 0).astype(float)
-    total_chars, total_marks, total_words, nodes = chars.copy(), marks.copy(), words.copy(), np.ones(n)
-    depth, children, place = np.zeros(n), np.zeros(n), np.zeros(n)
-    around, inside = np.zeros(n), np.zeros(n)
-    above_around, above_inside = np.zeros(n), np.zeros(n)
-    above = {tag: np.zeros(n) for tag in ABOVE}
-    under_link, under_raw = np.zeros(n, bool), raw.copy()
-    hashed = np.zeros((n, HASHED))
-    same_tag: dict[tuple[int, str], int] = {}
-    for i in range(1, n):
-        p, tag = dom.parents[i], dom.tags[i]
-        depth[i] = depth[p] + 1
-        place[i] = children[p]
-        children[p] += 1
-        same_tag[p, tag] = same_tag.get((p, tag), 0) + 1
-        under_link[i] = under_link[p] or tag == "a"
-        under_raw[i] |= under_raw[p]
-        for token in dom.tokens[i]:
-            around[i] += token in AROUND
-            inside[i] += token in INSIDE
-            hashed[i, sum(token.encode()) % HASHED] += 1
-        above_around[i], above_inside[i] = above_around[p] + around[i], above_inside[p] + inside[i]
-        for name, column in above.items():
-            column[i] = column[p] or tag == name
-    linked[:] = np.where(under_link, chars, 0)
-    for i in range(n - 1, 0, -1):
-        p = dom.parents[i]
-        for column in (total_chars, total_marks, total_words, linked, nodes, leaves):
-            column[p] += column[i]
-    up = np.maximum(parents, 0)
-    same = np.array([same_tag.get((p, tag), 1) for p, tag in zip(dom.parents, dom.tags)], float)
-    tags = np.array([[tag == name for name in TAGS] for tag in dom.tags], float)
-    parent_tags = tags[up]
+_TAG_NUMBER = {tag: i for i, tag in enumerate(TAGS)}
+_ABOVE_BIT = {tag: 1 << i for i, tag in enumerate(ABOVE)}
+_SUMS = 6  # characters, punctuation, words, linked characters, nodes, texts
+
+
+def features(doms: list[Dom]) -> np.ndarray:
+    """One row per node: tag and attributes, own and above; depth; siblings; text of the subtree.
+
+    The nodes of several pages follow each other.
+    """
+    up, root, tags, depth, place, ties, above, around, inside, above_around, above_inside, raw = ([] for _ in range(12))
+    sums: list[list[float]] = []
+    hashed: list[tuple[int, int]] = []
+    children: list[int] = []
+    for dom in doms:
+        first = len(up)
+        same_tag: dict[tuple[int, str], int] = {}
+        for i, (tag, p, tokens, text) in enumerate(zip(dom.tags, dom.parents, dom.tokens, dom.texts)):
+            p += first
+            if not i:
+                p = first
+                depth.append(0), place.append(0), above.append(0), above_around.append(0), above_inside.append(0), raw.append(False)
+            else:
+                depth.append(depth[p] + 1), place.append(children[p])
+                children[p] += 1
+                same_tag[p, tag] = same_tag.get((p, tag), 0) + 1
+                above.append(above[p] | _ABOVE_BIT.get(tag, 0))
+                above_around.append(above_around[p]), above_inside.append(above_inside[p])
+                raw.append(raw[p] or tag in RAW or tag == "head")
+            up.append(p), root.append(first), children.append(0), tags.append(_TAG_NUMBER.get(tag, len(TAGS)))
+            own_around = own_inside = 0
+            for token in tokens:
+                own_around += token in AROUND
+                own_inside += token in INSIDE
+                hashed.append((first + i, sum(token.encode()) % HASHED))
+            around.append(own_around), inside.append(own_inside)
+            above_around[-1] += own_around
+            above_inside[-1] += own_inside
+            words = text.split()
+            if words:
+                chars = sum(map(len, words)) + len(words) - 1
+                sums.append([chars, len(_PUNCTUATION.findall(text)), len(words), chars if above[-1] & _ABOVE_BIT["a"] else 0, 1, 1])
+            else:
+                sums.append([0, 0, 0, 0, 1, 0])
+        for i in range(len(dom.tags) - 1, 0, -1):
+            low, high = sums[first + i], sums[up[first + i]]
+            for k in range(_SUMS):
+                high[k] += low[k]
+        ties += [same_tag.get((p + first, tag), 1) for p, tag in zip(dom.parents, dom.tags)]
+    up, root = np.array(up), np.array(root)
+    chars, marks, words, linked, nodes, texts = np.array(sums, np.float32).T
+    children, place, ties = (np.array(x, np.float32) for x in (children, place, ties))
+    around, inside, above_around, above_inside = (np.array(x, np.float32) for x in (around, inside, above_around, above_inside))
+    one_of = np.eye(len(TAGS) + 1, dtype=np.float32)[:, :-1]
+    own_tag = one_of[np.array(tags)]
+    siblings = np.maximum(children[up], 1)
+    tokens = np.zeros((len(up), HASHED), np.float32)
+    if hashed:
+        np.add.at(tokens, tuple(np.array(hashed).T), 1)
     columns = [
-        depth, np.log1p(total_chars), total_chars / nodes, linked / (total_chars + 1), total_marks / (total_words + 1),
-        total_words / (leaves + 1e-9), total_chars / (total_chars[up] + 1), total_chars / (total_chars[0] + 1),
-        children, place, place / np.maximum(children[up], 1), same, same / np.maximum(children[up], 1),
-        np.log1p(total_chars[up]), linked[up] / (total_chars[up] + 1), total_words[up] / (leaves[up] + 1e-9),
-        around, inside, around[up], inside[up], above_around, above_inside, under_raw.astype(float), is_text.astype(float),
+        np.array(depth), np.log1p(chars), chars / nodes, linked / (chars + 1), marks / (words + 1), words / np.maximum(texts, 1),
+        chars / (chars[up] + 1), chars / (chars[root] + 1), children, place, place / siblings, ties, ties / siblings,
+        np.log1p(chars[up]), linked[up] / (chars[up] + 1), words[up] / np.maximum(texts[up], 1),
+        around, inside, around[up], inside[up], above_around, above_inside, np.array(raw),
     ]
-    return np.column_stack([*columns, tags, parent_tags, *above.values(), hashed]).astype(np.float32)
+    passed = (np.array(above)[:, None] >> np.arange(len(ABOVE))) & 1
+    return np.column_stack([*columns, own_tag, own_tag[up], passed, tokens]).astype(np.float32)
 
 
-def decode(parents: list[int], scores: np.ndarray) -> np.ndarray:
+def decode(parents: list[int], scores: np.ndarray) -> list[bool]:
     """The best choice of main nodes under one rule: below a node that is not main, none is.
 
     ``scores`` are log odds of being main. From the leaves up, a subtree is
@@ -101,18 +115,17 @@ def decode(parents: list[int], scores: np.ndarray) -> np.ndarray:
     child) or not main at all (0); from the root down the choices are read off.
     """
     n = len(parents)
-    best = scores.copy()
+    best = scores.tolist()
     for i in range(n - 1, 0, -1):
         if best[i] > 0:
             best[parents[i]] += best[i]
-    chosen = np.zeros(n, bool)
-    chosen[0] = True
+    chosen = [True] * n
     for i in range(1, n):
         chosen[i] = chosen[parents[i]] and best[i] > 0
     return chosen
 
 
-def gathered(dom: Dom, chosen: np.ndarray) -> str:
+def gathered(dom: Dom, chosen: list[bool]) -> str:
     """Text of the chosen nodes: one space for white space in a block and between blocks."""
     blocks: dict[int, list[str]] = {}
     for i, tag in enumerate(dom.tags):
@@ -122,22 +135,31 @@ def gathered(dom: Dom, chosen: np.ndarray) -> str:
     return " ".join(text for text in joined if text)
 
 
-def _scores(dom: Dom, model: BoostedTrees, table: np.ndarray | None = None) -> np.ndarray:
-    table = features(dom) if table is None else table
-    scores = model.scores(table)
-    below = np.array([len(t.strip()) for t in dom.texts])
-    for i in range(len(dom.parents) - 1, 0, -1):
-        below[dom.parents[i]] += below[i]
-    # nodes without text have no say; white space goes with its surroundings
-    return np.where(below > 0, scores, np.where(np.array([t != "" for t in dom.texts]), 1e-9, 0.0))
+def _textful(dom: Dom) -> np.ndarray:
+    """Nodes with more than white space in their subtree."""
+    below = [bool(text) and not text.isspace() for text in dom.texts]
+    for i in range(len(below) - 1, 0, -1):
+        below[dom.parents[i]] |= below[i]
+    return np.array(below)
+
+
+def choose(doms: list[Dom], model: BoostedTrees) -> list[list[bool]]:
+    """The main nodes of each page."""
+    scores = model.scores(features(doms))
+    chosen, at = [], 0
+    for dom in doms:
+        own = scores[at : at + len(dom.tags)]
+        at += len(dom.tags)
+        # nodes without text have no say; white space goes with its surroundings
+        own = np.where(_textful(dom), own, np.where([text != "" for text in dom.texts], 1e-9, 0.0))
+        chosen.append(decode(dom.parents, own))
+    return chosen
 
 
-def extract(source: str | None, model: BoostedTrees) -> str:
-    """Main text of one page; empty for null, empty and textless pages."""
-    if not source:
-        return ""
-    dom = Dom(source)
-    return gathered(dom, decode(dom.parents, _scores(dom, model)))
+def extract(sources: list[str | None], model: BoostedTrees) -> list[str]:
+    """Main text of pages; empty for null, empty and textless pages."""
+    doms = [Dom(source or "") for source in sources]
+    return [gathered(dom, chosen) for dom, chosen in zip(doms, choose(doms, model))]
 
 
 # Training pages
@@ -265,10 +287,8 @@ def fit_pages(sources: list[str]) -> BoostedTrees:
     for seed, source in enumerate(sources):
         for page in variants(source, sources[seed - 1], seed):
             dom = Dom(page, keep=_MARK)
-            has_text = np.array([bool(t.strip()) for t in dom.texts])
-            for i in range(len(dom.parents) - 1, 0, -1):
-                has_text[dom.parents[i]] |= has_text[i]
-            tables.append(features(dom)[has_text])
+            has_text = _textful(dom)
+            tables.append(features([dom])[has_text])
             labels.append(truth(dom)[has_text])
     return boosted_trees.fit(np.concatenate(tables), np.concatenate(labels).astype(float))
 
@@ -287,7 +307,10 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     @F.pandas_udf(StringType())
     def main_text(sources: pd.Series) -> pd.Series:
-        trees = shared.value
-        return pd.Series([extract(source, trees) if trees is not None else "" for source in sources], dtype=object)
+        trees, found = shared.value, []
+        for at in range(0, len(sources), PAGES_AT_ONCE):
+            part = list(sources[at : at + PAGES_AT_ONCE])
+            found += extract(part, trees) if trees is not None else [""] * len(part)
+        return pd.Series(found, dtype=object)
 
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), main_text(F.col(html_col)).alias("text"))

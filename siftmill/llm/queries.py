@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chat, exact, langid, packing, quality, simhash, token_count, word_bpe
+from siftmill.llm import chat, exact, html_extract, langid, license_scan, packing, quality, simhash, token_count, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,16 @@ FROM rows WINDOW same AS (PARTITION BY norm)
 """
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("differences", F.array_join("differences", " "))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = word_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select(
@@ -79,6 +89,8 @@ QUERIES = {
     "op2_language_id": (op2_language_id, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op5_html_extraction": (op5_html_extraction, None),
+    "op6_license_scan": (op6_license_scan, None),
     "op7_word_bpe": (op7_word_bpe, None),
     "op8_token_count": (op8_token_count, None),
     "op9_chat_format": (op9_chat_format, None),
