@@ -161,17 +161,17 @@ def thresholds(scored: DataFrame, labels: DataFrame, *, risk: float = RISK, conf
     level = (1 - confidence) / (n_strata * len(rules))
     own = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     holdout = scored.filter(~F.col("base_failed")).join(own, "doc_id")
-    # how many limits of its rule a score is above; one row per rule and document, counted at once
-    above = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), _limits_below(F.col(r), limits).alias("above")) for r, limits in rules.items()]))
-    counts = holdout.select("stratum", "quality", above).groupBy("stratum", "rule", "above").agg(
+    # from which of its rule's limits on a score is rejected; one row per rule and document, counted at once
+    first = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), _first_exceeded(F.col(r), limits).alias("first")) for r, limits in rules.items()]))
+    counts = holdout.select("stratum", "quality", first).groupBy("stratum", "rule", "first").agg(
         F.sum("quality").cast("bigint").alias("good"), F.sum(1 - F.col("quality")).cast("bigint").alias("bad")
     )
-    listed = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("above", "good", "bad")).alias("c"), F.sum("good").alias("n"))
+    listed = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("first", "good", "bad")).alias("c"), F.sum("good").alias("n"))
     limits = F.create_map(*[x for r, limits in rules.items() for x in (F.lit(r), F.array(*map(F.lit, limits)))])
     tried = listed.select("stratum", "rule", "n", "c", F.posexplode(F.element_at(limits, F.col("rule"))).alias("at", "cutoff")).select(
         "stratum", "rule", "n", "at", "cutoff",
-        F.expr("aggregate(filter(c, x -> x.above > at), 0L, (a, x) -> a + x.good)").alias("good"),
-        F.expr("aggregate(filter(c, x -> x.above > at), 0L, (a, x) -> a + x.bad)").alias("bad"),
+        F.expr("aggregate(filter(c, x -> x.first <= at), 0L, (a, x) -> a + x.good)").alias("good"),
+        F.expr("aggregate(filter(c, x -> x.first <= at), 0L, (a, x) -> a + x.bad)").alias("bad"),
     )
     tested = tried.withColumn("certified", (F.col("n") > 0) & (binomial_tail(F.col("good"), F.col("n"), risk / len(rules)) <= level))
     stopped = F.coalesce(F.expr("min(at) FILTER (WHERE NOT certified)"), F.lit(1 << 30))
@@ -184,10 +184,11 @@ def thresholds(scored: DataFrame, labels: DataFrame, *, risk: float = RISK, conf
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_limit") for r in rules])
 
 
-def _limits_below(score: Column, limits: tuple) -> Column:
+def _first_exceeded(score: Column, limits: tuple) -> Column:
+    """How many limits, from the loosest on, a score does not exceed."""
     total = F.lit(0)
     for limit in limits:
-        total = total + (score > limit).cast("int")
+        total = total + (score <= limit).cast("int")
     return total
 
 
