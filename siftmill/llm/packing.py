@@ -143,10 +143,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             nonlocal kind
             for batch in batches:
                 kind = batch.schema.field("doc_id").type
-                texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-                for first, end in slices(texts):
-                    ids, bounds = codec.encode(texts[first:end])
-                    for doc, a, b in zip(names[first:end], bounds[:-1].tolist(), bounds[1:].tolist()):
+                for part, texts in slices(batch):
+                    ids, bounds = codec.encode(texts)
+                    for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                         yield doc, np.append(ids[a:b], np.int32(separator))
 
         number = TaskContext.get().partitionId() << 32

@@ -8,23 +8,34 @@ their ids, into a minimal acyclic transducer; unseen ones are merged exactly.
 from __future__ import annotations
 
 import io
+import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.session import shared_folder
 
-LEXICON_WORDS = 1 << 16
-MEMO_WORDS = 400_000  # words a task remembers; the memory is emptied beyond
-SLICE_CHARS = 1 << 21  # text encoded at once
+LEXICON_SHARE = 1 << 19  # a word is frequent if it is found once in so many bytes
+MEMO_WORDS = 200_000  # words a task remembers; the memory is emptied beyond
+MERGED_AT_ONCE = 1 << 14  # unseen words merged together
+LONGEST_MERGED = 64  # bytes; longer words need too many rounds and go to the library
+SLICE_BYTES = 1 << 20  # text encoded at once
 # Python splits at these, the vocabulary's white space does not contain them.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
+# Marks what only the library may encode; white space, so no part begins with it.
+_WHOLE = "\n"
+_SIGNS = frozenset('.,;:!?()"*#$%&|<>-')
+# Fixed value: the vocabulary's own rule for words, matched by the same Unicode classes.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def normalise(word: str) -> str:
@@ -136,17 +147,149 @@ class Transducer:
         return cls(**parts)
 
 
+class _Numbers(dict):
+    """Numbers words as they come; the new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+class _Pool:
+    """Lists of ids one after the other, by number."""
+
+    def __init__(self):
+        self.ids, self.starts = array("i"), array("q", [0])
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        ends = np.cumsum(sizes, dtype=np.int64) + self.starts[-1]
+        self.ids.frombytes(np.ascontiguousarray(ids, np.int32).tobytes())
+        self.starts.frombytes(ends.tobytes())
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the lists of these numbers, and where each list ends."""
+        starts, pool = np.array(self.starts), np.array(self.ids)
+        return _spread(pool, starts[numbers], starts[numbers + 1])
+
+
+def _spread(pool: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of a pool one after the other, and where each ends then."""
+    sizes = ends - starts
+    after = np.cumsum(sizes)
+    total = int(after[-1]) if len(after) else 0
+    return pool[np.repeat(starts - (after - sizes), sizes) + np.arange(total)], after
+
+
+class PairMerges:
+    """Byte-pair merging of many words at once, with the vocabulary's merges."""
+
+    def __init__(self, model: dict):
+        ids = model["vocab"]
+        suffix = model["end_of_word_suffix"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.size = max(ids.values()) + 1
+        keys = np.array([ids[a] * self.size + ids[b] for a, b in pairs])
+        made = np.array([ids[a + b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        names = _byte_names()
+        self.inner = np.array([ids[name] for name in names], np.int64)
+        self.last = np.array([ids[name + suffix] for name in names], np.int64)
+        self.none = len(made)  # rank of a pair that is never merged
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.ranks[at], self.none)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has.
+
+        In every round each word merges its pair of the lowest rank, the
+        leftmost of equals; words without such a pair are done.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.inner[letters]
+        ends = np.cumsum(sizes)
+        symbols[ends - 1] = self.last[letters[ends - 1]]
+        numbers = np.arange(len(words))
+        ranks = np.full(len(symbols), self.none)
+        ranks[:-1] = self._rank(symbols[:-1], symbols[1:])
+        ranks[ends - 1] = self.none
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(numbers):
+            starts = np.cumsum(sizes) - sizes
+            best = np.minimum.reduceat((ranks << 32) | np.arange(len(ranks)), starts)
+            open_ = best >> 32 < self.none
+            if not open_.all():
+                stays = np.repeat(open_, sizes)
+                done.append((numbers[~open_], sizes[~open_], symbols[~stays]))
+                before = np.cumsum(~stays)  # what is dropped up to each place
+                best = best[open_]
+                best -= before[best & 0xFFFFFFFF]
+                symbols, ranks = symbols[stays], ranks[stays]
+                numbers, sizes = numbers[open_], sizes[open_]
+                if not len(numbers):
+                    break
+            at = best & 0xFFFFFFFF
+            symbols[at] = self.made[best >> 32]
+            ranks[at] = ranks[at + 1]
+            kept = np.ones(len(symbols), bool)
+            kept[at + 1] = False
+            symbols, ranks = symbols[kept], ranks[kept]
+            sizes = sizes - 1
+            at = at - np.arange(len(at))  # every word before has lost one symbol
+            ends = np.cumsum(sizes)
+            right = at[at + 1 < ends]
+            ranks[right] = self._rank(symbols[right], symbols[right + 1])
+            left = at[at > ends - sizes] - 1
+            ranks[left] = self._rank(symbols[left], symbols[left + 1])
+            ranks[ends - 1] = self.none
+        numbers, sizes, symbols = (np.concatenate(parts) for parts in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
+        back = np.argsort(numbers, kind="stable")
+        after = np.cumsum(sizes)
+        return _spread(symbols, (after - sizes)[back], after[back])[0], sizes[back]
+
+
+def _byte_names() -> list[str]:
+    """The character that stands for each byte in the vocabulary's tokens.
+
+    Printable bytes stand for themselves, the others for the characters from
+    256 on, in order.
+    """
+    printable = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(byte if byte in printable else next(rest)) for byte in range(256)]
+
+
 class WordCodec:
-    """Encodes texts as the tokenizers library does with a word BPE file, and decodes."""
+    """Encodes texts as the tokenizers library does with a word BPE file, and decodes.
+
+    Text is cut at white space; the parts' words (letters, one digit, or other
+    signs in a row) are looked up in the lexicon and merged if unseen. Very long
+    words and parts with special tokens or unassigned characters are left to the
+    library. A task
+    remembers parts and words it has seen, up to a bound.
+    """
 
     def __init__(self, vocabulary: str, lexicon: Transducer | None = None):
+        # a task has one core; the library's own threads would take those of other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
-        added = self.library.get_added_tokens_decoder()
-        self.special = [token.content for token in added.values()]
+        with open(vocabulary, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.merges = PairMerges(rules["model"])
+        self.special = [token["content"] for token in rules["added_tokens"]]
         names = self.library.get_vocab(with_added_tokens=True)
         self.tokens = [""] * (max(names.values()) + 1)
         for name, i in names.items():
@@ -155,94 +298,116 @@ class WordCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.pool, self.starts = array("i"), array("q", [0])
-
-    def _learn(self, words: list[str]) -> None:
+        self.parts, self.part_ids = _Numbers(), _Pool()
+        self.words, self.word_ids = _Numbers(), _Pool()
+
+    def _split(self, part: str) -> list[str]:
+        """Words of what stands between white space."""
+        plain = normalise(part)
+        if plain.isalpha():
+            return [plain]
+        if plain[-1] in _SIGNS and plain[:-1].isalpha():
+            return [plain[:-1], plain[-1]]
+        # characters that Python's Unicode tables don't have yet may be letters elsewhere
+        strange = not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part)
+        if strange or any(s in part for s in self.special):
+            return [_WHOLE + part]  # for the library, as it is
+        return _WORD.findall(plain)
+
+    def _learn_parts(self) -> None:
+        number = self.words.__getitem__
+        split = [list(map(number, self._split(part))) for part in self.parts.new]
+        self.parts.new = []
+        if self.words.new:
+            self._learn_words()
+        flat = np.fromiter((n for row in split for n in row), np.int64)
+        ids, ends = self.word_ids.gather(flat)
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(row) for row in split])))]
+        self.part_ids.add(ids, np.diff(bounds))
+
+    def _learn_words(self) -> None:
         """Ids of new words: from the lexicon where it has them, else merged."""
-        known = np.full(len(words), -1)
-        if self.lexicon is not None:
-            plain = [b"" if any(s in w for s in self.special) else normalise(w).encode("utf-8", "surrogatepass") for w in words]
-            known = self.lexicon.numbers(plain)
+        words, self.words.new = self.words.new, []
+        raw = [word.encode("utf-8", "surrogatepass") for word in words]
+        known = np.full(len(words), -1) if self.lexicon is None else self.lexicon.numbers(raw)
         unseen = np.flatnonzero(known < 0)
-        merged = iter(self.library.encode_batch_fast([words[i] for i in unseen], add_special_tokens=False))
-        pool, starts = self.pool, self.starts
-        for number in known.tolist():
-            if number < 0:
-                pool.extend(next(merged).ids)
-            else:
-                pool.frombytes(self.lexicon.ids[self.lexicon.starts[number] : self.lexicon.starts[number + 1]].tobytes())
-            starts.append(len(pool))
+        foreign = np.array([i for i in unseen if words[i][0] == _WHOLE or len(raw[i]) > LONGEST_MERGED], int)
+        own = np.setdiff1d(unseen, foreign)
+        sizes = np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, ids, sizes
+        seen = np.flatnonzero(known >= 0)
+        if len(seen):
+            starts, ends = self.lexicon.starts[known[seen]], self.lexicon.starts[known[seen] + 1]
+            found.append((seen, _spread(self.lexicon.ids, starts, ends)[0], ends - starts))
+        for at in range(0, len(own), MERGED_AT_ONCE):
+            part = own[at : at + MERGED_AT_ONCE]
+            found.append((part, *self.merges.merge([raw[i] for i in part])))
+        for i in foreign:
+            ids = self.library.encode(words[i].removeprefix(_WHOLE), add_special_tokens=False).ids
+            found.append((np.array([i]), np.array(ids, np.int64), np.array([len(ids)])))
+        numbers, ids, sizes = (np.concatenate(x) for x in zip(*found))
+        back, after = np.argsort(numbers, kind="stable"), np.cumsum(sizes)
+        self.word_ids.add(_spread(ids, (after - sizes)[back], after[back])[0], sizes[back])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (and the last's end)."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.parts) > MEMO_WORDS:
             self._forget()
-        memo, new, rows = self.memo, [], []
+        number, rows = self.parts.__getitem__, []
         for text in texts:
-            row = _words(text or "")
-            try:
-                rows.append(np.fromiter(map(memo.__getitem__, row), np.int64, len(row)))
-            except KeyError:
-                for word in row:
-                    if word not in memo:
-                        memo[word] = len(memo)
-                        new.append(word)
-                rows.append(np.fromiter(map(memo.__getitem__, row), np.int64, len(row)))
-        if new:
-            self._learn(new)
-        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        starts = np.frombuffer(self.starts, np.int64)
-        pool = np.frombuffer(self.pool, np.int32) if len(self.pool) else np.zeros(0, np.int32)
-        sizes = (starts[1:] - starts[:-1])[at]
-        ends = np.cumsum(sizes)
-        ids = pool[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        words = np.concatenate(([0], np.cumsum([len(row) for row in rows]))).astype(np.int64)
-        bounds = np.concatenate(([0], ends))[words]
-        del starts, pool  # views hold the buffers, which may have to grow
-        return ids, bounds
+            row = _parts(text or "")
+            rows.append(np.fromiter(map(number, row), np.int64, len(row)))
+        if self.parts.new:
+            self._learn_parts()
+        ids, ends = self.part_ids.gather(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        after = np.concatenate(([0], np.cumsum([len(row) for row in rows]))).astype(np.int64)
+        return ids, np.concatenate(([0], ends))[after]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, special tokens included: this kind of vocabulary joins its tokens by spaces."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def _words(text: str) -> list[str]:
-    words = text.split()
+def _parts(text: str) -> list[str]:
+    parts = text.split()
     if any(c in text for c in _NO_SPACE):
         hidden = text.translate({ord(c): 0xE000 + ord(c) for c in _NO_SPACE})
         back = {0xE000 + ord(c): c for c in _NO_SPACE}
         if not any(chr(c) in text for c in back):
-            return [word.translate(back) for word in hidden.split()]
-        return [text]  # one long word: slower, and as exact
-    return words
+            return [part.translate(back) for part in hidden.split()]
+        return [_WHOLE + text]  # for the library: slower, and as exact
+    return parts
+
 
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch with about as much text each, and their texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // size
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+        own = batch.slice(int(start), int(end - start))
+        yield own, own.column(column).to_pylist()
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts with about as many characters each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
 
+def frequent_words(docs: DataFrame, *, text_col: str = "text", share: int = LEXICON_SHARE) -> DataFrame:
+    """Words, in lower case, that make up at least one in ``share`` bytes' worth of all texts.
 
-def frequent_words(docs: DataFrame, *, text_col: str = "text", limit: int = LEXICON_WORDS) -> DataFrame:
-    """The ``limit`` most frequent words of all texts, in lower case."""
+    A word and the white space after it have two bytes at least, so there are
+    ``share`` / 2 such words at most, however large the table.
+    """
+    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, size / share)).select("word")
 
 
-def compile_lexicon(words: list[str], vocabulary: str) -> Transducer:
+def compile_lexicon(texts: list[str], vocabulary: str) -> Transducer:
+    """Transducer of the words of the given texts."""
     codec = WordCodec(vocabulary)
-    # words that white space or special tokens would split further are left out
-    plain = sorted({normalise(w) for w in words if w.split() == [w] and not any(c in w for c in _NO_SPACE)})
-    plain = [w for w in plain if not any(s in w for s in codec.special) and normalise(w) == w]
-    ids, bounds = codec.encode([w for w in plain])
-    return Transducer.compile((w.encode(), ids[a:b].tolist()) for w, a, b in zip(plain, bounds[:-1], bounds[1:]))
+    codec.encode(texts)
+    words = [word for word in codec.words if word[0] != _WHOLE]
+    ids, ends = codec.word_ids.gather(np.array([codec.words[word] for word in words], np.int64))
+    starts = np.concatenate(([0], ends))
+    return Transducer.compile((w.encode("utf-8", "surrogatepass"), ids[a:b].tolist()) for w, a, b in zip(words, starts[:-1], starts[1:]))
 
 
 def publish(spark: SparkSession, data: bytes, name: str) -> str:
@@ -261,32 +426,30 @@ def publish(spark: SparkSession, data: bytes, name: str) -> str:
     return name
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", share: int = LEXICON_SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, decoded.
 
     ``ids`` are those of the tokenizers library without added special tokens,
     ``decoded`` is the text it gives back for them, special tokens included.
     Whole texts are encoded; special tokens inside them count as such, as by the
     library's default. Null and empty texts have no ids. The lexicon holds the
-    most frequent words of all documents (``lexicon_words`` bounds the file);
-    which words it has changes no result. Nulls and repeats in other columns
+    frequent words of all documents, ``share`` / 2 at most; which words it has
+    changes no result. Nulls and repeats in other columns
     play no part, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    frequent = frequent_words(docs, text_col=text_col, limit=lexicon_words)
-    words = [row["word"] for row in frequent.select("word").collect()]
+    words = [row["word"] for row in frequent_words(docs, text_col=text_col, share=share).collect()]
     name = publish(spark, compile_lexicon(words, vocabulary).to_bytes(), "words.fst")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordCodec(vocabulary, Transducer.mapped(SparkFiles.get(name)))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in slices(texts):
-                ids, bounds = codec.encode(texts[start:end])
+            for part, texts in slices(batch):
+                ids, bounds = codec.encode(texts)
                 flat = ids.tolist()
                 decoded = [codec.decode(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), listed, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
