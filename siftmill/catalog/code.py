@@ -9,7 +9,7 @@ from siftmill.catalog.scoring import PAIRS_SQL, SIDES, metrics, vectors
 from siftmill.catalog.views import observed, table
 from siftmill.operators import hints, placement, reduce as reducers
 from siftmill.plans import jobs
-from siftmill.schemas import METRICS, OBS9, ORD
+from siftmill.schemas import METRICS, OBS9, ORD, SITE6
 from siftmill.session import shared_folder, written
 from siftmill.sources import files, sinks
 from siftmill.sources.python_code import fact_errors, source_facts
@@ -31,7 +31,7 @@ _OBS9 = ", ".join(OBS9)
 
 def scanned(spark, sf_dir: str) -> DataFrame:
     rows = files.scan_parquet(spark, sf_dir, EVENTS, "events.parquet", recursive=False)
-    return rows.select(*_PLAIN, ORD)
+    return rows.select(*_PLAIN, F.col(f"{ORD}.row").alias(ORD))
 
 
 def scanned_checked(spark, sf_dir: str) -> DataFrame:
@@ -57,6 +57,19 @@ def scanned_in_order(spark, sf_dir: str) -> DataFrame:
     return order
 
 
+def united_scans(spark, sf_dir: str) -> DataFrame:
+    """A scan of one file and one of several, united; the first row of every site by the files' order."""
+    folder = shared_folder(spark, "united")
+    rows = observed(spark, sf_dir)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != ORD])
+    first, others = F.col(ORD) % 5 == 0, F.col(ORD) % 4
+    rows.where(first).coalesce(1).sortWithinPartitions(ORD).drop(ORD).write.parquet(f"{folder}/a")
+    parts = rows.where(~first).withColumn("part", others).repartition(4, "part").sortWithinPartitions(ORD)
+    parts.drop(ORD).write.partitionBy("part").parquet(f"{folder}/b")
+    united = files.scan_parquet(spark, f"{folder}/a", schema).unionByName(files.scan_parquet(spark, f"{folder}/b", schema))
+    return reducers.keep_only_first(united).select(*OBS9)
+
+
 def text_rows(spark, sf_dir: str) -> DataFrame:
     """Records of JSON files that fit the schema; one in ten does not."""
     folder = shared_folder(spark, "json")
@@ -310,6 +323,17 @@ def imports(spark, sf_dir: str) -> DataFrame:
     return placement.import_plan(reducers.union(reducers.dedup(observed(spark, sf_dir))))
 
 
+def module_imports(spark, sf_dir: str) -> DataFrame:
+    """Imports of types of several modules, some with letters beyond ASCII, nested, or of the file's own module."""
+    rows = observed(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in ("shop.model", "módulo.größe", "9lives", None)])
+    module = F.when(F.col(ORD) % 5 == 4, F.regexp_replace(F.regexp_replace("Filename", r"\.py$", ""), "/", ".")).otherwise(
+        F.get(names, (F.col(ORD) % 5).cast("int"))
+    )
+    nested = F.when(F.col(ORD) % 2 == 0, F.concat("Type", F.lit(".Inner"))).otherwise(F.col("Type"))
+    return placement.import_plan(rows.withColumn("TypeModule", module).withColumn("Type", nested))
+
+
 def import_lines(spark, sf_dir: str) -> DataFrame:
     return placement.import_statements(imports(spark, sf_dir))
 
@@ -341,6 +365,19 @@ def evaluated(spark, sf_dir: str) -> DataFrame:
     return result["metrics"].select(*[f.name for f in METRICS.fields])
 
 
+def two_projects(spark, sf_dir: str) -> DataFrame:
+    """Two projects with files of the same names: in the second no file of a part divisible by seven changes."""
+    before, after = sources(spark, sf_dir), with_changes(spark, sf_dir)
+    still = F.col("p_partkey") % 7 == 0
+
+    def both(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.withColumn("project", F.lit("p")).unionByName(second.withColumn("project", F.lit("q")))
+
+    changed = both(after, before.where(still).unionByName(after.where(~still)))
+    result = jobs.evaluate(both(before, before), changed, part_observations(spark, sf_dir))
+    return result["metrics"].select("project", *[f.name for f in METRICS.fields])
+
+
 def evaluated_totals(spark, sf_dir: str) -> DataFrame:
     result = jobs.evaluate(sources(spark, sf_dir), with_changes(spark, sf_dir), part_observations(spark, sf_dir))
     return result["totals"].select(F.round("completeness", 6).alias("completeness"), F.round("correctness", 6).alias("correctness"))
@@ -357,6 +394,10 @@ EVALUATED_SQL = f"""WITH o AS (SELECT * FROM ({hints_sql()}) WHERE p_partkey % 2
   FROM o FULL OUTER JOIN g ON o.p_partkey = g.p_partkey AND o.k = g.k)"""
 
 
+TWO_PROJECTS_SQL = f"""{EVALUATED_SQL} SELECT project, m.* FROM m, (VALUES ('p'), ('q')) AS t(project)
+  WHERE project = 'p' OR CAST(regexp_extract(Filename, '[0-9]+') AS BIGINT) % 7 <> 0"""
+
+
 def placed_sites(spark, sf_dir: str) -> DataFrame:
     """Sites of the part files with what is done there, for some observed variables."""
     parts = table(spark, sf_dir, "part")
@@ -458,6 +499,11 @@ OBSERVED_JOB_SQL = """WITH e AS (SELECT event_id AS _ord, user_id % 10 AS call,
 
 QUERIES = {
     "scan_observations": (scanned, f"SELECT {', '.join(_PLAIN)}, event_id AS _ord FROM events"),
+    "scan_united_folders": (
+        united_scans,
+        f"""{WITH_V} SELECT {_OBS9} FROM (SELECT *, row_number() OVER (PARTITION BY Filename, {', '.join(SITE6)}
+          ORDER BY CASE WHEN _ord % 5 = 0 THEN -1 ELSE _ord % 4 END, _ord) AS rn FROM v) WHERE rn = 1""",
+    ),
     "scan_checked_files": (scanned_checked, f"SELECT {', '.join(_PLAIN)} FROM events"),
     "scan_rejected_files": (
         rejected_files,
@@ -495,6 +541,7 @@ QUERIES = {
         "SELECT 'parts/p' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 2 = 1",
     ),
     "evaluate_metrics": (evaluated, f"{EVALUATED_SQL} SELECT * FROM m"),
+    "evaluate_two_projects": (two_projects, TWO_PROJECTS_SQL),
     "evaluate_totals": (
         evaluated_totals,
         f"""{EVALUATED_SQL} SELECT round(count(*) FILTER (Completeness) / count(Completeness)::DOUBLE, 6) AS completeness,
@@ -523,6 +570,11 @@ QUERIES = {
         f"SELECT Filename, LineNo, Kind, VarName, {_PLACED_HINTS} AS Hint, {_ACTIONS} AS Action FROM ({SITES_SQL})",
     ),
     "import_plan": (imports, f"{_IMPORTS} SELECT * FROM i"),
+    "import_plan_modules": (
+        module_imports,
+        f"""{WITH_V} SELECT DISTINCT Filename, CASE _ord % 5 WHEN 0 THEN 'shop.model' ELSE 'módulo.größe' END AS Module, Type AS Name
+          FROM v WHERE _ord % 5 IN (0, 1)""",
+    ),
     "import_statements": (
         import_lines,
         f"""{_IMPORTS} SELECT Filename, Module, 'from ' || Module || ' import ' || string_agg(Name, ', ' ORDER BY Name) AS Statement

@@ -6,6 +6,7 @@ depth. The normal form has bars only, members once and in order.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -32,35 +33,64 @@ def split_outside_brackets(text: str, mark: str) -> list[str]:
     return [*parts, text[start:]]
 
 
-def _one_argument_list(rest: str) -> bool:
-    """Does the bracket opened before ``rest`` close at its very end?"""
-    depth = 1
-    for place, char in enumerate(rest):
-        depth += (char == "[") - (char == "]")
-        if depth == 0:
-            return place == len(rest) - 1
-    return False
-
-
-def _members(text: str) -> frozenset[str]:
-    """Members of the union that ``text`` (without blanks) stands for, each in normal form."""
-    alternatives = split_outside_brackets(text, "|")
-    if len(alternatives) > 1:
-        return frozenset().union(*map(_members, alternatives))
-    head, _, rest = text.partition("[")
-    is_union, is_optional = head in UNION_NAMES, head in OPTIONAL_NAMES
-    if not _one_argument_list(rest):
-        if rest and (is_union or is_optional):
-            raise ValueError(f"brackets do not match: {text}")
-        return frozenset([text])
-    arguments = split_outside_brackets(rest[:-1], ",")
-    if is_union or is_optional:
-        return frozenset(["None"] if is_optional else []).union(*map(_members, arguments))
-    return frozenset([f"{head}[{', '.join(map(_render, arguments))}]"])
+_TOKEN = re.compile(r"[\[\],|]|[^\[\],|]+")
+
+
+class _Level:
+    """An open bracket: whose it is, its finished arguments, and the members of the one being read."""
+
+    def __init__(self, head: str):
+        self.head = head
+        self.arguments: list[frozenset[str]] = []
+        self.members: set[str] = set()
+        self.name = ""  # the member being read
+        self.closed: frozenset[str] | None = None  # its members, once it had brackets
+
+    def end_member(self) -> None:
+        self.members |= frozenset([self.name]) if self.closed is None else self.closed
+        self.name, self.closed = "", None
+
+    def end_argument(self) -> None:
+        self.end_member()
+        self.arguments.append(frozenset(self.members))
+        self.members = set()
 
 
 def _render(text: str) -> str:
-    return " | ".join(sorted(_members(text)))
+    """Normal form of a name without blanks, read once from left to right."""
+    levels = [_Level("")]
+    for token in _TOKEN.findall(text):
+        level = levels[-1]
+        if token == "[":
+            if level.closed is not None:
+                raise ValueError(f"two bracket lists in a row: {text}")
+            levels.append(_Level(level.name))
+        elif token == "|":
+            level.end_member()
+        elif token == "," and len(levels) > 1:
+            level.end_argument()
+        elif token == "]":
+            if len(levels) == 1:
+                raise ValueError(f"brackets do not match: {text}")
+            level.end_argument()
+            levels.pop()
+            if level.head in UNION_NAMES or level.head in OPTIONAL_NAMES:
+                found = frozenset(["None"] if level.head in OPTIONAL_NAMES else []).union(*level.arguments)
+            else:
+                inner = ", ".join(" | ".join(sorted(members)) for members in level.arguments)
+                found = frozenset([f"{level.head}[{inner}]"])
+            levels[-1].closed = found
+        elif level.closed is not None:
+            # what follows a bracket belongs to the name: a[b].c
+            if len(level.closed) > 1:
+                raise ValueError(f"a union is no part of a name: {text}")
+            level.name, level.closed = next(iter(level.closed)) + token, None
+        else:
+            level.name += token
+    if len(levels) > 1:
+        raise ValueError(f"brackets do not match: {text}")
+    levels[0].end_member()
+    return " | ".join(sorted(levels[0].members))
 
 
 @lru_cache(maxsize=65536)

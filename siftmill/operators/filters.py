@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import tomllib
+import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftmill.functions.names import path_to_module
 from siftmill.schemas import Category
@@ -17,22 +20,54 @@ TEST_FUNCTION_PREFIX = "test_"
 TEST_FOLDERS = ["tests", "test", "testing"]
 
 
-def starts_with_match(column: Column, pattern: str) -> Column:
-    """True where a regular expression matches at the start of the text, else false.
+def java_pattern(pattern: str) -> str:
+    """A regular expression of Python's, in the spelling that means the same in Java.
 
-    The pattern follows Python's syntax as far as Java agrees with it. What the
-    two read differently is refused. A pattern without special characters turns
-    into a prefix test, which reaches the file scan.
+    Translated: ``\\Z``, ``{,n}``, and ``[`` and ``&&`` in character classes.
+    Line ends are ``\\n`` only and classes know all of Unicode. What Java has no
+    counterpart for is refused.
     """
     if pattern is None:
         raise ValueError("a pattern is needed")
-    re.compile(pattern)
-    if re.search(r"\(\?P|\(\?[a-z]*[aLu]", pattern):
-        raise ValueError(f"named groups and the flags a, L, u are not supported: {pattern}")
+    with warnings.catch_warnings():
+        # signs that Python may read differently one day mean today what is translated here
+        warnings.simplefilter("ignore", FutureWarning)
+        re.compile(pattern)
+    refused = re.search(r"\(\?(?:P|\(|[a-zA-Z]*[aLux])|\\(?:0|U|N)", re.sub(r"\\\\", "", pattern))
+    if refused:
+        raise ValueError(f"{refused[0]} is not supported: {pattern}")
+    out, place, in_class = [], 0, False
+    while place < len(pattern):
+        part = pattern[place : place + 2] if pattern[place] == "\\" else pattern[place]
+        if in_class:
+            if part == "]":
+                in_class = False
+            out.append("\\" + part if part in ("[", "&") else part)
+        elif part == "[":
+            in_class = True
+            # a bracket right after the opening one is a member
+            first = re.match(r"\[\^?\]?", pattern[place:])[0]
+            out.append(first.replace("]", "\\]"))
+            part = first
+        elif part == "{" and pattern.startswith("{,", place) and re.match(r"\{,\d+\}", pattern[place:]):
+            out.append("{0")
+        else:
+            out.append("\\z" if part == "\\Z" else part)
+        place += len(part)
+    return "(?Ud)" + "".join(out)
+
+
+def starts_with_match(column: Column, pattern: str) -> Column:
+    """True where a regular expression of Python's matches at the start of the text, else false.
+
+    A pattern without special characters turns into a prefix test, which
+    reaches the file scan.
+    """
+    java = java_pattern(pattern)
     if re.escape(pattern) == pattern:
         found = column.startswith(pattern)
     else:
-        found = column.rlike(r"(?U)\A(?:" + pattern + ")")
+        found = column.rlike(java.replace("(?Ud)", r"(?Ud)\A(?:", 1) + ")")
     return F.coalesce(found, F.lit(False))
 
 
@@ -74,7 +109,7 @@ def is_inside(path: Column, root: str) -> Column:
 def relative_to(df: DataFrame, path: str, root: str) -> DataFrame:
     """Keep rows whose path lies under ``root`` and make the path relative."""
     prefix = root.rstrip("/") + "/"
-    return df.where(F.col(path).startswith(prefix)).withColumn(path, F.substring(F.col(path), len(prefix) + 1, 1 << 20))
+    return df.where(F.col(path).startswith(prefix)).withColumn(path, F.substr(F.col(path), F.lit(len(prefix) + 1)))
 
 
 def is_test_function(name: Column) -> Column:
@@ -129,7 +164,7 @@ def origin_of_type(module: Column, file: Column, roots: Sequence[tuple[str, str]
     result = pair(F.lit(None), F.lit(None))
     for origin, folder in reversed(list(roots)):
         prefix = folder.rstrip("/") + "/"
-        below = F.substring(file, len(prefix) + 1, 1 << 20)
+        below = F.substr(file, F.lit(len(prefix) + 1))
         result = F.when(file.startswith(prefix), pair(F.lit(origin), path_to_module(below))).otherwise(result)
     result = F.when(file.isNull(), pair(F.lit("fileless"), module)).otherwise(result)
     return F.when(module == "builtins", pair(F.lit("builtin"), F.lit(None))).otherwise(result)
@@ -164,29 +199,38 @@ def test_folders(files: DataFrame) -> DataFrame:
     )
 
 
+def _toml_has_pytest(text: str | None) -> bool:
+    """Does a project file have a ``tool.pytest`` table or a ``pytest`` dev-dependency?"""
+    try:
+        tool = tomllib.loads(text or "").get("tool")
+    except tomllib.TOMLDecodeError:
+        return False
+    if not isinstance(tool, dict):
+        return False
+    poetry = tool.get("poetry")
+    dev = poetry.get("dev-dependencies") if isinstance(poetry, dict) else None
+    return "pytest" in tool or (isinstance(dev, dict) and "pytest" in dev)
+
+
+@F.pandas_udf(T.BooleanType())
+def _toml_signs(texts: pd.Series) -> pd.Series:
+    return texts.map(_toml_has_pytest)
+
+
 def projects_using_pytest(files: DataFrame) -> DataFrame:
     """Per project of a source table (project, path, content): does it use pytest?
 
-    Signs are a ``pytest.ini``, a ``[tool.pytest…]`` section or a ``pytest``
+    Signs are a ``pytest.ini``, a ``tool.pytest`` table or a ``pytest``
     dev-dependency in ``pyproject.toml``, or a requirements line starting with
-    ``pytest``, all in the project's root.
+    ``pytest``, all in the project's root. Only ``pyproject.toml`` files are
+    parsed in Python; one that does not parse shows nothing.
     """
-    content = F.coalesce(F.col("content"), F.lit(""))
-    section = F.regexp_extract(
-        content, r"(?ms)^\s*\[\s*tool\.poetry\.dev-dependencies\s*\](.*?)(?=^\s*\[[^\],]*\]\s*(?:#[^\n]*)?$|\z)", 1
-    )
-    sign = (
-        (F.col("path") == "pytest.ini")
-        | (
-            (F.col("path") == "pyproject.toml")
-            & (
-                content.rlike(r"(?m)^\s*\[\s*tool\s*\.\s*\"?pytest\"?\s*[.\]]")
-                | section.rlike(r"(?m)^\s*\"?pytest\"?\s*[=.]")
-            )
-        )
-        | (F.col("path").isin("requirements.txt", "requirements-dev.txt") & content.rlike(r"(?m)^pytest"))
-    )
-    return files.groupBy("project").agg(F.bool_or(sign).alias("uses_pytest"))
+    path, content = F.col("path"), F.coalesce(F.col("content"), F.lit(""))
+    plain = (path == "pytest.ini") | (path.isin("requirements.txt", "requirements-dev.txt") & content.rlike(r"(?m)^pytest"))
+    is_toml = path == "pyproject.toml"
+    signs = files.where(~is_toml).select("project", plain.alias("sign"))
+    parsed = files.where(is_toml).select("project", _toml_signs("content").alias("sign"))
+    return signs.unionByName(parsed).groupBy("project").agg(F.bool_or("sign").alias("uses_pytest"))
 
 
 def of_category(df: DataFrame, category: Category) -> DataFrame:

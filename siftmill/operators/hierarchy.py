@@ -7,6 +7,8 @@ the hierarchy. The state between rounds is a written table.
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -17,8 +19,6 @@ from siftmill.session import shared_folder
 ROOT = "object"
 _ROOT_ID = f":{ROOT}"
 
-MAX_ROUNDS = 200
-
 
 def _type_id(module: Column, name: Column) -> Column:
     return F.concat(F.coalesce(module, F.lit("")), F.lit(":"), name)
@@ -63,7 +63,8 @@ def hierarchy_from_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", T.ArrayType(T.StringType()))])
     spark.createDataFrame([(_ROOT_ID, [_ROOT_ID])], schema).write.parquet(f"{folder}/known/round=0")
 
-    for number in range(1, MAX_ROUNDS + 1):
+    # a round that adds nothing is the last: each one before settles a type at least
+    for number in itertools.count(1):
         known = spark.read.schema(schema).parquet(f"{folder}/known")
         open_links = links.join(known.select("id"), "id", "left_anti")
         with_lines = open_links.join(known.withColumnRenamed("id", "base"), "base", "left")
@@ -86,8 +87,6 @@ def hierarchy_from_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         lines.write.parquet(f"{folder}/known/round={number}")
         if spark.read.schema(schema).parquet(f"{folder}/known/round={number}").isEmpty():
             break
-    else:
-        raise RuntimeError(f"the hierarchy is deeper than {MAX_ROUNDS}")
 
     known = spark.read.schema(schema).parquet(f"{folder}/known")
 

@@ -132,7 +132,7 @@ def source_sites(facts: DataFrame) -> DataFrame:
         F.col("path").alias("Filename"),
         F.col("seq").alias("SiteNo"),
         F.col("statement").alias("StatementNo"),
-        F.substring(F.col("kind"), 6, 20).alias("Kind"),
+        F.substr(F.col("kind"), F.lit(len("site:") + 1)).alias("Kind"),
         F.col("target").alias("Target"),
         F.col("scope").alias("Scope"),
         F.col("function").alias("FunctionName"),

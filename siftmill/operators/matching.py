@@ -91,6 +91,7 @@ def match_hints(
     keys: Sequence[str] = HINT6,
     label: str = "Type",
     order: str = ORD,
+    file: str = "Filename",
     null_types: str = "match",
     nested_occurrence: bool = False,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
@@ -108,7 +109,7 @@ def match_hints(
     if null_types not in ("match", "ignore"):
         raise ValueError(f"null_types must be match or ignore, not {null_types}")
     if filenames is not None:
-        generated = map_filenames(generated, filenames, keys[0])
+        generated = map_filenames(generated, filenames, file)
     paired = match_exact(original, generated, keys, label, order, chunk_rows)
     comparable = F.lit(True) if null_types == "match" else F.when(F.col(label).isNotNull(), F.lit(True))
     both = paired.where(F.col("side") == "both").select(
@@ -171,10 +172,10 @@ def status_counts(metrics: DataFrame) -> DataFrame:
     return counts
 
 
-def file_rates(metrics: DataFrame, file: str = "Filename") -> DataFrame:
+def file_rates(metrics: DataFrame, file: str | Sequence[str] = "Filename") -> DataFrame:
     """Completeness and correctness rate of every file that has original hints."""
     complete = F.count_if(F.col("Completeness"))
-    return has_original(metrics).groupBy(file).agg(
+    return has_original(metrics).groupBy(*([file] if isinstance(file, str) else file)).agg(
         _share(complete, F.count("Completeness")).alias("completeness_rate"),
         _share(F.count_if(F.col("Correctness")), complete).alias("correctness_rate"),
     )

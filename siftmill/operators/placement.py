@@ -172,7 +172,7 @@ def import_plan(observations: DataFrame) -> DataFrame:
     members = union_members(F.col("TypeModule"), F.col("Type"))
     pairs = needs_import(observations).select("Filename", F.explode(members).alias("m"))
     module, name = F.col("m.module"), outermost(F.col("m.type"))
-    importable = module.rlike(r"^[^\W\d]\w*(\.[^\W\d]\w*)*$")
+    importable = module.rlike(r"(?U)\A[^\W\d]\w*(\.[^\W\d]\w*)*\z")
     return (
         pairs.where((module != "") & importable)
         .groupBy("Filename", module.alias("Module"), name.alias("Name"))

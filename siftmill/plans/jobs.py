@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from siftmill.operators import changes, filters, hints, matching, placement
+from siftmill.operators.keys import null_equal_join
 from siftmill.operators.reduce import dedup
 from siftmill.plans.pipeline import Chain
-from siftmill.schemas import OBS9, ORD
+from siftmill.schemas import HINT6, OBS9, ORD
 from siftmill.session import written
 from siftmill.sources.files import changed_files
 from siftmill.sources.python_code import fact_errors, source_facts
@@ -68,30 +69,43 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """Compare the hints of two source trees.
 
+    A file is one of a project: equal paths of different projects are compared
+    each on their own, and ``metrics``, ``files`` and ``errors`` name the
+    project. Observations apply to the files of their ``project``, where they
+    have that column, and otherwise to every project's file of that name.
+
     Only observed files whose content differs are read, both sides in one pass.
     The facts of the files and the hints from them are written tables. Gives
     ``metrics``, ``totals``, ``files``, ``errors`` and, if handed in,
     ``timings``.
     """
-    observed = observations.groupBy(F.col("Filename").alias("path")).agg(F.lit(1).alias("__one")).drop("__one")
-    before = original.join(observed, "path", "left_semi")
-    after = generated.join(observed, "path", "left_semi")
-    paths = changed_files(before, after, strict).select("path")
+    own = [c for c in ("project",) if c in observations.columns]
+    observed = observations.groupBy(*own, F.col("Filename").alias("path")).agg(F.lit(1).alias("__one")).drop("__one")
+    before = null_equal_join(original, observed, [*own, "path"], "left_semi")
+    after = null_equal_join(generated, observed, [*own, "path"], "left_semi")
+    changed = changed_files(before, after, strict)
 
     def side(sources: DataFrame, name: str) -> DataFrame:
-        return sources.join(paths, "path", "left_semi").select(F.lit(name).alias("project"), "path", "content")
+        chosen = null_equal_join(sources, changed, ["project", "path"], "left_semi")
+        return source_facts(chosen, spread=True).withColumn("side", F.lit(name))
+
+    facts = written(side(original, "original").unionByName(side(generated, "generated")), "facts")
+
+    def of(name: str) -> DataFrame:
+        return hints.source_hints(facts.where(F.col("side") == name).drop("side")).withColumn("side", F.lit(name))
 
-    sources = side(original, "original").unionByName(side(generated, "generated"))
-    facts = written(source_facts(sources, spread=True), "facts")
-    found = written(hints.source_hints(facts), "hints")
+    found = written(of("original").unionByName(of("generated")), "hints")
     metrics = matching.match_hints(
-        found.where(F.col("project") == "original"), found.where(F.col("project") == "generated"), filenames=filenames
+        found.where(F.col("side") == "original").drop("side"),
+        found.where(F.col("side") == "generated").drop("side"),
+        filenames=filenames,
+        keys=["project", *HINT6],
     )
     results = {
         "metrics": metrics,
         "totals": matching.total_scores(metrics),
-        "files": matching.file_rates(metrics),
-        "errors": fact_errors(facts).withColumnRenamed("project", "side"),
+        "files": matching.file_rates(metrics, ["project", "Filename"]),
+        "errors": fact_errors(facts, "side"),
     }
     if timings is not None:
         results["timings"] = timings

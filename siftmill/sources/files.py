@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftmill.schemas import OBSERVATIONS, ORD, SOURCES, TIMINGS, empty
 
-# Up to this many files the order is one number per row, file rank and row
-# index together; the table of ranks (path, number) is then a few dozen MB and
-# may be broadcast. Beyond, the order is the struct (path, row index).
-MAX_RANKED_FILES = 100_000
-_ROW_BITS = 40
+FILE_ORDER = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
 
 TIMING_LENGTH = 4
 
@@ -26,30 +22,16 @@ def _reader(spark: SparkSession, schema: T.StructType | None, glob: str | None,
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
-def with_order(df: DataFrame, max_ranked_files: int = MAX_RANKED_FILES) -> DataFrame:
-    """Add ``_ord``: files in path order, rows in file order.
+def with_order(df: DataFrame) -> DataFrame:
+    """Add ``_ord``, the struct (file, row): files in path order, rows in file order.
 
-    ``df`` is a Parquet scan with its ``_metadata`` still reachable. A number is
-    cheaper than a path in every later shuffle, and aggregates on it stay in
-    hash aggregation, so the path is ranked while the listing is small.
+    ``df`` is a Parquet scan with its ``_metadata`` still reachable. The order
+    has this one form for any number of files, so scans can be united and
+    results of earlier runs merged with later ones.
     """
-    columns = df.columns
     # local paths come with one or three slashes
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-    row = F.col("_metadata.row_index")
-    files = sorted(re.sub("^file:/+", "file:/", name) for name in df.inputFiles())
-    if not files or len(files) > max_ranked_files:
-        return df.select(*columns, F.struct(path.alias("file"), row.alias("row")).alias(ORD))
-    if len(files) == 1:
-        return df.select(*columns, row.alias(ORD))
-    ranks = df.sparkSession.createDataFrame(
-        pd.DataFrame({"__path": files, "__rank": range(len(files))}), "__path string, __rank long"
-    )
-    ranked = df.select(*columns, path.alias("__path"), row.alias("__row")).join(F.broadcast(ranks), "__path", "left")
-    missing = F.raise_error(F.concat(F.lit("file is not in the listing: "), F.col("__path"))).cast("long")
-    return ranked.select(
-        *columns, (F.shiftleft(F.coalesce("__rank", missing), _ROW_BITS) + F.col("__row")).alias(ORD)
-    )
+    return df.select(*df.columns, F.struct(path.alias("file"), F.col("_metadata.row_index").alias("row")).alias(ORD))
 
 
 def scan_parquet(
@@ -58,13 +40,12 @@ def scan_parquet(
     schema: T.StructType = OBSERVATIONS,
     glob: str = "*.parquet",
     recursive: bool = True,
-    max_ranked_files: int = MAX_RANKED_FILES,
 ) -> DataFrame:
     """Rows of the Parquet files under a folder, with their order. The schema is given, not inferred."""
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
-        return empty(spark, T.StructType([*schema.fields, T.StructField(ORD, T.LongType())]))
-    return with_order(_reader(spark, schema, glob, recursive).parquet(*paths), max_ranked_files)
+        return empty(spark, T.StructType([*schema.fields, T.StructField(ORD, FILE_ORDER)]))
+    return with_order(_reader(spark, schema, glob, recursive).parquet(*paths))
 
 
 def scan_text_rows(
@@ -108,30 +89,46 @@ def check_parquet_files(
 ) -> DataFrame:
     """Table (file, reason): reason is null for files that have the schema's columns and types.
 
-    Files are listed by the driver, as for every scan; their footers are read
-    in tasks.
+    Footers are read in tasks: of local files directly, of all others through
+    Spark's own reader, so that every address Spark reads can be checked. Only
+    what is wrong with a file's format is a reason; that a file cannot be
+    reached is an error.
     """
-    listing = _reader(spark, None, glob, recursive).format("binaryFile").load(path).select("path")
+    reader = _reader(spark, None, glob, recursive).format("binaryFile")
     wanted = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    listing = reader.load(path)
+    local = F.col("path").startswith("file:/")
+    # the last eight bytes of a file are the size of its footer and a mark
+    size = F.conv(F.hex(F.reverse(F.substring("content", -8, 4))), 16, 10).cast("long")
+    tail = F.when(F.length("content") >= size + 8, F.expr("substring(content, greatest(-length(content), -CAST(conv(hex(reverse(substring(content, -8, 4))), 16, 10) AS INT) - 8))"))
+    near = listing.where(local).select("path", F.lit(None).cast("binary").alias("tail"))
+    far = listing.where(~local).select("path", F.coalesce(tail, F.expr("substring(content, -8)")).alias("tail"))
 
     def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file": batch["path"], "reason": [_footer_problem(p, wanted) for p in batch["path"]]})
+            reasons = [_footer_problem(name, tail, wanted) for name, tail in zip(batch["path"], batch["tail"])]
+            yield pd.DataFrame({"file": batch["path"], "reason": reasons})
 
-    return listing.mapInPandas(inspect, "file string, reason string")
+    return near.unionByName(far).mapInPandas(inspect, "file string, reason string")
 
 
-def _footer_problem(path: str, wanted: list[tuple[str, str]]) -> str | None:
-    from pyarrow import fs, parquet
+def _footer_problem(path: str, tail: bytes | None, wanted: list[tuple[str, str]]) -> str | None:
+    """What is wrong with the format of a file, given the end of its bytes or, for a local one, its path."""
+    import pyarrow as pa
+    from pyarrow import parquet
     from pyspark.sql.pandas.types import from_arrow_schema
 
     try:
-        if path.startswith("file:"):
-            path = path[len("file:") :]
-        filesystem, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        with filesystem.open_input_file(inner) as source:
+        # a file that is nothing but its mark and footer has the same schema
+        source = pa.memory_map(path[len("file:") :]) if tail is None else pa.BufferReader(b"PAR1" + tail)
+        with source:
             found = from_arrow_schema(parquet.read_schema(source), prefer_timestamp_ntz=True)
-    except Exception as problem:  # an unreadable file is reported, not fatal
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, PySparkTypeError) as problem:
+        return f"unreadable: {type(problem).__name__}"
+    except OSError as problem:
+        # Arrow reports a broken footer this way, too; system errors carry a number
+        if problem.errno is not None:
+            raise
         return f"unreadable: {type(problem).__name__}"
     columns = [(f.name, f.dataType.simpleString()) for f in found.fields]
     return None if columns == wanted else "schema differs"
@@ -188,7 +185,7 @@ def scan_sources(
     full = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     prefix = root.removeprefix("file://").rstrip("/") + "/"
     outside = F.raise_error(F.concat(full, F.lit(f" is not under {root}"))).cast("string")
-    relative = F.when(full.startswith(prefix), F.substring(full, len(prefix) + 1, 1 << 20)).otherwise(outside)
+    relative = F.when(full.startswith(prefix), F.substr(full, F.lit(len(prefix) + 1))).otherwise(outside)
     return scan.select(F.lit(project).cast("string").alias("project"), relative.alias("path"), F.col("value").alias("content"))
 
 

@@ -245,8 +245,8 @@ def source_facts(sources: DataFrame, spread: bool = False) -> DataFrame:
     return files.mapInPandas(_rows, FACTS)
 
 
-def fact_errors(facts: DataFrame) -> DataFrame:
+def fact_errors(facts: DataFrame, *others: str) -> DataFrame:
     """What could not be read: whole files and single hints."""
     return facts.where(F.col("kind") == "error").select(
-        "project", F.col("path").alias("Filename"), "line", F.col("text").alias("error")
+        *others, "project", F.col("path").alias("Filename"), "line", F.col("text").alias("error")
     )

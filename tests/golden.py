@@ -6,46 +6,43 @@ from pyspark.sql import types as T
 
 from siftmill.schemas import HIERARCHY, HINTS, OBSERVATIONS, OBS9, ORD
 
-FILE = "shop/data.py"
-MODULE = "shop.data"
+FILE = "depot/plan.py"
+MODULE = "depot.plan"
 
 ORDERED = T.StructType([*OBSERVATIONS.fields, T.StructField(ORD, T.LongType(), False)])
 ORDERED_HINTS = T.StructType([*HINTS.fields, T.StructField(ORD, T.LongType(), False)])
 
-# function, line, category, variable, type; the place in the list is the order
-FIFTEEN = [
-    ("function_name", 1, 2, "argument1", "SubClass2"),
-    ("function_name", 1, 2, "argument1", "SubClass2"),
-    ("function_name", 1, 2, "argument1", "SubClass3"),
-    ("function_name", 2, 1, "local_variable1", "SubClass11"),
-    ("function_name", 2, 1, "local_variable1", "SubClass1"),
-    ("function_name", 3, 1, "local_variable2", "SubClass1"),
-    ("function_name", 3, 1, "local_variable2", "SubClass1"),
-    (None, 0, 4, "class_member1", "SubClass1"),
-    (None, 0, 4, "class_member1", "SubClass1"),
-    (None, 0, 4, "class_member1", "SubClass11"),
-    *[("test_function_name", 5, 1, "local_variable", "SubClass1")] * 4,
-    ("test_function_name", 5, 1, "local_variable", "SubClass2"),
+# Five sites of a depot: function, line, category, variable, and the types seen there in turn.
+DEPOT = [
+    ("load", 4, 2, "vehicle", ["Truck", "Van", "Truck"]),
+    ("load", 6, 1, "spare", ["Bike"] * 2),
+    (None, 0, 4, "fleet", ["Tanker", "Truck", "Tanker", "Tanker"]),
+    ("unload", 9, 1, "queue", ["Van", "Tanker"]),
+    ("test_load", 20, 1, "dummy", ["Van"] * 5 + ["Bike"]),
 ]
 
+_THING = [("things", "Thing"), (None, "object")]
+_ROOT = [(None, "object")]
 
-def _chain(*names: str) -> list[tuple[str | None, str]]:
-    return [*[(MODULE, n) for n in names], ("abc", "ABC"), (None, "object")]
 
+def _depot(*names: str) -> tuple:
+    return MODULE, names[0], [*[(MODULE, n) for n in names], *_THING]
 
+
+# Every type with its bases in lookup order.
 BASES = [
-    (MODULE, "BaseClass", _chain("BaseClass")),
-    *[(MODULE, f"SubClass{i}", _chain(f"SubClass{i}", "BaseClass")) for i in (1, 2, 3)],
-    (MODULE, "SubClass11", _chain("SubClass11", "SubClass1", "BaseClass")),
-    (None, "int", [(None, "int"), (None, "object")]),
-    (None, "str", [(None, "str"), (None, "object")]),
-    ("m", "Wacky", [("m", "Wacky"), (None, "int"), (None, "object")]),
-    ("pathlib", "Path", [("pathlib", "Path"), ("pathlib", "PurePath"), (None, "object")]),
-    *[
-        ("pathlib", n, [("pathlib", n), ("pathlib", "Path"), ("pathlib", p), ("pathlib", "PurePath"), (None, "object")])
-        for n, p in (("PosixPath", "PurePosixPath"), ("WindowsPath", "PureWindowsPath"))
-    ],
-    ("frames", "Frame", [("frames", "Frame"), (None, "object")]),
+    _depot("Vehicle"),
+    _depot("Truck", "Vehicle"),
+    _depot("Van", "Vehicle"),
+    _depot("Bike", "Vehicle"),
+    _depot("Tanker", "Truck", "Vehicle"),
+    (None, "int", [(None, "int"), *_ROOT]),
+    (None, "str", [(None, "str"), *_ROOT]),
+    ("units", "Metres", [("units", "Metres"), (None, "int"), *_ROOT]),
+    ("codec", "Raster", [("codec", "Raster"), ("codec", "Codec"), *_ROOT]),
+    ("codec", "Png", [("codec", "Png"), ("codec", "Raster"), ("codec", "Chunks"), ("codec", "Codec"), *_ROOT]),
+    ("codec", "Jpeg", [("codec", "Jpeg"), ("codec", "Raster"), ("codec", "Blocks"), ("codec", "Codec"), *_ROOT]),
+    ("views", "Panel", [("views", "Panel"), *_ROOT]),
 ]
 
 
@@ -53,8 +50,10 @@ def hierarchy(spark):
     return spark.createDataFrame(BASES, HIERARCHY)
 
 
-def fifteen(spark):
-    rows = [(FILE, None, "BaseClass", f, n, c, v, MODULE, t, i) for i, (f, n, c, v, t) in enumerate(FIFTEEN)]
+def depot(spark):
+    """All rows of the sites of ``DEPOT``; the place in the table is the order."""
+    seen = [(f, n, c, v, t) for f, n, c, v, types in DEPOT for t in types]
+    rows = [(FILE, None, "Depot", f, n, c, v, MODULE, t, i) for i, (f, n, c, v, t) in enumerate(seen)]
     return spark.createDataFrame(rows, ORDERED)
 
 
@@ -73,5 +72,5 @@ def values(df, columns=OBS9) -> list[tuple]:
 
 
 def expected(spark, places, columns=OBS9) -> list[tuple]:
-    rows = {row[ORD]: row for row in fifteen(spark).collect()}
+    rows = {row[ORD]: row for row in depot(spark).collect()}
     return sorted((tuple(rows[p][c] for c in columns) for p in places), key=repr)

@@ -1,3 +1,5 @@
+from urllib.parse import quote
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -11,7 +13,7 @@ from siftmill.sources import files, sinks
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("obs data")
-    rows = g.fifteen(spark)
+    rows = g.depot(spark)
     rows.where(f"{ORD} < 6").drop(ORD).coalesce(1).write.parquet(f"{root}/b first")
     rows.where(f"{ORD} >= 6").drop(ORD).coalesce(1).write.parquet(f"{root}/sub/c")
     rows.select(F.col("LineNo").cast("string").alias("x")).coalesce(1).write.parquet(f"{root}/other")
@@ -19,24 +21,46 @@ def folder(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("ranked", [0, 1000])
-def test_scan_in_path_order(spark, folder, ranked):
+def test_scan_in_path_order(spark, folder):
     paths = [f"{folder}/b first", f"{folder}/sub/c"]
-    rows = files.scan_parquet(spark, paths, max_ranked_files=ranked).orderBy(ORD).drop(ORD).collect()
-    assert [tuple(r) for r in rows] == [tuple(r)[:-1] for r in g.fifteen(spark).orderBy(ORD).collect()]
+    rows = files.scan_parquet(spark, paths).orderBy(ORD).drop(ORD).collect()
+    assert [tuple(r) for r in rows] == [tuple(r)[:-1] for r in g.depot(spark).orderBy(ORD).collect()]
 
 
 def test_scan_is_recursive_on_request(spark, folder):
-    assert files.scan_parquet(spark, f"{folder}/sub").count() == 9
-    assert files.scan_parquet(spark, f"{folder}/sub/c", recursive=False).count() == 9
+    assert files.scan_parquet(spark, f"{folder}/sub").count() == 11
+    assert files.scan_parquet(spark, f"{folder}/sub/c", recursive=False).count() == 11
 
 
 def test_checked_scan(spark, folder):
     rows, rejected = files.scan_checked(spark, folder)
-    assert rows.count() == 15
+    assert rows.count() == 17
     assert sorted(r.reason.split(":")[0] for r in rejected.collect()) == ["schema differs", "unreadable"]
 
 
+def test_checked_scan_of_another_store(spark, folder):
+    """A scheme that only Spark knows: footers come through its reader."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.depot.link./in", f"file:{quote(folder)}")
+    hadoop.set("fs.viewfs.impl.disable.cache", "true")
+    checked = {r.file: r.reason for r in files.check_parquet_files(spark, "viewfs://depot/in").collect()}
+    assert all(name.startswith("viewfs://") for name in checked)
+    assert sorted(str(reason).split(":")[0] for reason in checked.values()) == ["None", "None", "schema differs", "unreadable"]
+
+
+def test_a_store_that_cannot_be_reached_is_an_error(spark):
+    with pytest.raises(Exception, match="nosuchstore"):
+        files.scan_checked(spark, "nosuchstore://depot/in")
+
+
+def test_scans_can_be_united(spark, folder):
+    one = files.scan_parquet(spark, f"{folder}/b first")
+    several = files.scan_parquet(spark, [f"{folder}/b first", f"{folder}/sub/c"])
+    assert one.schema == several.schema
+    united = one.unionByName(files.scan_parquet(spark, f"{folder}/sub/c"))
+    assert g.values(united, [*OBS9, ORD]) == g.values(several, [*OBS9, ORD])
+
+
 def test_nothing_to_scan(spark, folder):
     rows, rejected = files.scan_checked(spark, f"{folder}/other")
     assert rows.count() == 0 and rows.columns == [*OBS9, ORD]
@@ -70,30 +94,33 @@ def test_sources(spark, tmp_path):
 
 
 def test_timings(spark, tmp_path):
-    data = [("a", [0.015, 0.23, 0.09702, 0.182]), ("b", [-0.00103, -1.9701, 2.4912, 4.7]), ("short", [1.0]), ("zero", [0.0, 1.0, 1.0, 1.0])]
+    data = [("a", [0.5, 0.75, 8.0, 2.0]), ("b", [4.0, 5.0, 40.0, 12.0]), ("short", [1.0]), ("zero", [0.0, 1.0, 1.0, 1.0])]
     spark.createDataFrame(data, "run string, times array<double>").coalesce(1).write.parquet(f"{tmp_path}/t")
-    spark.createDataFrame([("c", [2.733, 3.007, 2.6103, -9.87])], "run string, times array<double>").coalesce(1).write.parquet(f"{tmp_path}/t/sub")
+    spark.createDataFrame([("c", [1.0, 1.25, 6.0, 3.0])], "run string, times array<double>").coalesce(1).write.parquet(f"{tmp_path}/t/sub")
     assert files.scan_timings(spark, f"{tmp_path}/t").count() == 3
     found = files.scan_timings(spark, f"{tmp_path}/t", recursive=True)
     assert found.count() == 4
     pairs = timings.timing_pairs(found)
     assert pairs.count() == 12
-    assert pairs.where("run = 'a' AND series = 'no_op'").first().ratio == 0.23 / 0.015
-    assert timings.timing_summary(pairs).count() == 3
+    assert pairs.where("run = 'a' AND series = 'no_op'").first().ratio == 1.5
+    summary = {r.series: r for r in timings.timing_summary(pairs).collect()}
+    assert set(summary) == {"no_op", "full", "optimised"}
+    # ratios of full: 16, 10, 6 and none for the run without time
+    assert (summary["full"].n_runs, summary["full"].p50_ratio, summary["full"].p95_ratio, summary["full"].mean_time) == (4, 10.0, 16.0, 13.75)
 
 
 def test_runs_are_idempotent_and_kept_apart(spark, tmp_path):
-    rows = g.fifteen(spark).drop(ORD).select(
+    rows = g.depot(spark).drop(ORD).select(
         "*", F.lit("p").alias("project"), F.lit(None).cast("string").alias("test_case"), F.lit("f").alias("func_name")
     )
     for part in (rows, rows, rows.where("LineNo < 5")):
         sinks.write_observations(part, str(tmp_path))
-    assert sinks.read_observation_runs(spark, str(tmp_path)).count() == 15 + 10
+    assert sinks.read_observation_runs(spark, str(tmp_path)).count() == 17 + 7
     assert len(list(tmp_path.glob("project=p/*/func_name=f/content_hash=*"))) == 2
 
 
 def test_content_hash(spark):
-    rows = g.fifteen(spark)
+    rows = g.depot(spark)
 
     def value(df, digest):
         return content_hash(df, OBS9, digest=digest).first().content_hash
@@ -107,7 +134,7 @@ def test_content_hash(spark):
 
 
 def test_conform(spark):
-    rows = g.fifteen(spark)
+    rows = g.depot(spark)
     assert conform(rows.withColumn("LineNo", F.col("LineNo").cast("string")), OBSERVATIONS).schema["LineNo"].dataType == T.LongType()
     with pytest.raises(Exception, match="LineNo is negative"):
         conform(rows.withColumn("LineNo", F.lit(-1)), OBSERVATIONS).collect()
@@ -142,6 +169,13 @@ def test_pytest_signs(spark):
         ("dev", "pyproject.toml", '[tool.poetry.dev-dependencies]\nblack = {version = "1", extras = ["d"]}\npytest = "7"\n'),
         ("main", "pyproject.toml", '[tool.poetry.dev-dependencies]\nmypy = "1"\n[tool.poetry.dependencies]\npytest = "7"\n'),
         ("req", "requirements-dev.txt", "a\npytest==7\n"), ("indent", "requirements.txt", "a\n pytest\n"),
+        ("table", "pyproject.toml", '[tool.poetry.dev-dependencies.pytest]\nversion = "7"\n'),
+        ("inline", "pyproject.toml", '[tool.poetry]\ndev-dependencies = {pytest = "7"}\n'),
+        ("dotted", "pyproject.toml", "[tool]\npytest.ini_options.addopts = '-q'\n"),
+        ("text", "pyproject.toml", 'about = """\n[tool.pytest]\n"""\n'), ("broken", "pyproject.toml", "[tool.pytest\n"),
+        ("odd", "pyproject.toml", "tool = 1\n"), ("nothing", "pyproject.toml", None),
     ]
     found = filters.projects_using_pytest(spark.createDataFrame(data, "project string, path string, content string"))
-    assert {r.project for r in found.collect() if r.uses_pytest} == {"ini", "section", "dev", "req"}
+    assert {r.project for r in found.collect() if r.uses_pytest} == {
+        "ini", "section", "dev", "req", "table", "inline", "dotted",
+    }

@@ -46,3 +46,14 @@ def test_cycles_and_unknown_bases(spark):
     table, missing = hierarchy_from_edges(spark.createDataFrame(rows, SCHEMA))
     assert {r.type for r in table.collect()} == {"object", "D"}
     assert {r.type for r in missing.collect()} == {"A", "B", "C"}
+
+
+def test_no_depth_is_too_deep(spark):
+    """Sixty levels, each settled by one round."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        classes = {f"D{i}": [f"D{i - 1}"] if i else [] for i in range(60)}
+        table, missing = hierarchy_from_edges(spark.createDataFrame(edges_of(classes), SCHEMA))
+        assert max(len(r.bases) for r in table.collect()) == 61 and missing.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -6,29 +6,37 @@ import golden as g
 from siftmill.operators import matching as m
 from siftmill.schemas import HINT6
 
-O, G = "original.py", "generated.py"
-F2 = "sample_function_name2"
-
-ORIGINAL = [
-    (O, None, "sample_function_name", 0, 2, "parameter", "int"),
-    (O, "str", F2, 4, 1, "local_variable", "bool"),
-    (O, "str", F2, 12, 1, "local_variable", "int"),
-    (O, "str", F2, 4, 1, "local_variable", "str"),
-    (O, "str", F2, 0, 3, F2, "float"),
+O, G = "clock.py", "rebuilt.py"
+
+# Hints of a clock before and after: file, class, function, offset, category, name, type.
+BEFORE = [
+    (O, "Clock", "tick", 0, 2, "step", "int"),
+    (O, "Clock", "tick", 8, 1, "now", "float"),
+    (O, "Clock", "tick", 8, 1, "now", "int"),
+    (O, None, None, 0, 5, "ZONE", "str"),
+    (O, "Clock", None, 4, 1, "hands", "list[str]"),
+    (O, None, "main", 0, 3, "main", None),
 ]
-GENERATED = [
-    (G, None, "sample_function_name", 0, 2, "parameter", "int"),
-    (O, "str", F2, 4, 1, "local_variable", "str"),
-    (O, "str", F2, 4, 1, "local_variable", "str"),
-    (G, "str", F2, 4, 1, "local_variable2", "str"),
+AFTER = [
+    (G, "Clock", "tick", 0, 2, "step", "int"),
+    (G, "Clock", "tick", 8, 1, "now", "int"),
+    (O, "Clock", "tick", 8, 1, "now", "str"),
+    (G, None, None, 0, 5, "ZONE", None),
+    (G, "Clock", "tick", 8, 1, "now", "bytes"),
+    (G, None, "main", 0, 3, "main", None),
+    (G, None, "main", 4, 1, "extra", "int"),
 ]
-EXPECTED = [
-    ("parameter", 0, "int", "int", True, True),
-    ("local_variable", 4, "bool", "str", True, False),
-    ("local_variable", 12, "int", None, False, False),
-    ("local_variable", 4, "str", "str", True, True),
-    (F2, 0, "float", None, False, False),
-    ("local_variable2", 4, None, "str", None, None),
+# Equal hints meet first, then what is left by name, in order: the float of now is paired with
+# str, bytes stays alone. A hint without type on both sides is equal, on one side it is missing.
+SCORED = [
+    ("step", 0, "int", "int", True, True),
+    ("now", 8, "float", "str", True, False),
+    ("now", 8, "int", "int", True, True),
+    ("ZONE", 0, "str", None, False, False),
+    ("hands", 4, "list[str]", None, False, False),
+    ("main", 0, None, None, True, True),
+    ("now", 8, None, "bytes", None, None),
+    ("extra", 4, None, "int", None, None),
 ]
 
 
@@ -38,24 +46,24 @@ def table(spark, rows):
 
 @pytest.fixture(scope="module")
 def metrics(spark):
-    return m.match_hints(table(spark, ORIGINAL), table(spark, GENERATED), filenames={G: O}).cache()
+    return m.match_hints(table(spark, BEFORE), table(spark, AFTER), filenames={G: O}).cache()
 
 
 @pytest.mark.parametrize("nested", [False, True])
-def test_published_example(spark, nested):
+def test_every_kind_of_pair(spark, nested):
     mapping = spark.createDataFrame([(G, O)], "generated string, original string")
     found = m.match_hints(
-        table(spark, ORIGINAL), table(spark, GENERATED), filenames=mapping, nested_occurrence=nested, chunk_rows=2
+        table(spark, BEFORE), table(spark, AFTER), filenames=mapping, nested_occurrence=nested, chunk_rows=2
     )
     rows = m.in_report_order(found).collect()
     assert [
         (r.VarName, r.ColumnOffset, r.OriginalType, r.GeneratedType, r.Completeness, r.Correctness) for r in rows
-    ] == EXPECTED
+    ] == SCORED
     assert {r.Filename for r in rows} == {O}
 
 
 def test_totals(metrics):
-    assert tuple(m.total_scores(metrics).first()) == (3 / 5, 2 / 3)
+    assert tuple(m.total_scores(metrics).first()) == (4 / 6, 3 / 4)
 
 
 def test_totals_of_nothing(metrics):
@@ -65,14 +73,14 @@ def test_totals_of_nothing(metrics):
 def test_status_counts(metrics):
     row = m.status_counts(metrics).first()
     assert (row.n_rows, row.n_original, row.n_matched, row.n_only_original, row.n_only_generated, row.n_generated) == (
-        6, 5, 3, 2, 1, 4,
+        8, 6, 4, 2, 2, 6,
     )
     assert row.share_matched == 0.5
 
 
 def test_file_rates_and_top(metrics):
     rates = m.file_rates(metrics)
-    assert [tuple(r) for r in rates.collect()] == [(O, 3 / 5, 2 / 3)]
+    assert [tuple(r) for r in rates.collect()] == [(O, 4 / 6, 3 / 4)]
     assert m.top_files(rates, "completeness_rate").count() == 1
 
 

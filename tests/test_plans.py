@@ -47,7 +47,7 @@ def test_flagship_shuffles_only_compacted_rows(spark):
 
 
 def test_plain_prefix_reaches_the_scan(spark, tmp_path):
-    g.fifteen(spark).write.parquet(f"{tmp_path}/x")
+    g.depot(spark).write.parquet(f"{tmp_path}/x")
     from siftmill.operators.filters import is_inside
 
     text = plan(spark.read.parquet(f"{tmp_path}/x").where(is_inside(F.col("Filename"), "shop")))
