@@ -48,9 +48,12 @@ def unify(observations: DataFrame, chain: Chain, hierarchy: DataFrame | None = N
 def place(
     sources: DataFrame, unified: DataFrame, strategy: str = "inline", strict: bool = True
 ) -> dict[str, DataFrame]:
-    """What to write where: ``sites`` with hint and action, ``imports``, ``errors``."""
+    """What to write where: ``sites`` with hint and action, ``imports``, ``errors``.
+
+    Files are parsed once: their facts are a written table.
+    """
     applicable = placement.hintable(unified)
-    facts = source_facts(sources.where(filters.is_hintable_file(F.col("path"))), spread=True)
+    facts = written(source_facts(sources.where(filters.is_hintable_file(F.col("path"))), spread=True), "facts")
     assigned = placement.assign_hints(hints.source_sites(facts), applicable, strict)
     return {
         "sites": placement.with_action(assigned, strategy),

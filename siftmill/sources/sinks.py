@@ -56,5 +56,5 @@ def read_evaluation(spark: SparkSession, store: str, name: str = "data") -> tupl
 
 
 def write_errors(errors: DataFrame, store: str, name: str = "data") -> None:
-    """Write what went wrong next to the data."""
-    errors.write.mode("append").parquet(f"{store.rstrip('/')}/{name}/errors")
+    """Write what went wrong next to the data; a run that is repeated replaces its errors."""
+    errors.write.mode("overwrite").parquet(f"{store.rstrip('/')}/{name}/errors")

@@ -4,7 +4,7 @@ The processors in ``replay`` keep a key in one task. Here every batch goes
 through the batch operators, which split hot keys; between batches only the
 last row of every key is carried, as a written table. The batches have to
 arrive in order: a row is compared with the rows of its own and earlier
-batches.
+batches. A batch with a row that is older than what its key has had fails.
 """
 
 from __future__ import annotations
@@ -40,12 +40,17 @@ def previous_by_batch(
         if number > 0:
             carried = batch.sparkSession.read.parquet(f"{checkpoint}/carried/batch={number - 1}")
             rows = rows.unionByName(carried.withColumn(_NEW, F.lit(False)), allowMissingColumns=True)
+        last = F.max_by(F.struct(order, *values), F.col(order)).alias("last")
+        before = F.max(F.when(~F.col(_NEW), F.col(order))).alias("__before")
+        first = F.min(F.when(F.col(_NEW), F.col(order))).alias("__first")
+        named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+        late = F.raise_error(F.concat(F.lit("a batch came out of order, rows are late for: "), named)).cast("boolean")
+        in_order = F.when(F.col("__first") < F.col("__before"), late).otherwise(F.lit(True))
+        # written first: a late batch leaves no output behind
+        carried = rows.groupBy(*keys).agg(last, before, first).where(in_order).select(*keys, "last.*")
+        carried.write.mode("overwrite").parquet(f"{checkpoint}/carried/batch={number}")
         seen = previous(rows, keys, values, PREVIOUS, order)
         finish(seen.where(_NEW).drop(_NEW)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        last = F.max_by(F.struct(order, *values), F.col(order)).alias("last")
-        rows.groupBy(*keys).agg(last).select(*keys, "last.*").write.mode("overwrite").parquet(
-            f"{checkpoint}/carried/batch={number}"
-        )
 
     query = (
         stream.writeStream.foreachBatch(step)

@@ -73,3 +73,12 @@ def test_batches_carry_the_last_row_of_a_key(spark, tmp_path):
     wanted = changes.attributed_lines(whole.withColumn("LineNo", F.col(ORD) * 2), ["scope"])
     columns = [ORD, "AttributedLine"]
     assert g.values(lines, columns) == g.values(wanted, columns)
+
+
+def test_a_batch_out_of_order_fails(spark, tmp_path):
+    for part, orders in enumerate([(0, 5), (3, 6)]):
+        rows = [(i, None, "s", "v", "abc"[i % 3]) for i in orders]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = s.read_stream(spark, f"{tmp_path}/in", SCHEMA, files_per_batch=1).drop("ts")
+    with pytest.raises(Exception, match="out of order"):
+        batches.changed_values_by_batch(stream, ["scope", "name"], "value")
