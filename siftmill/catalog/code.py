@@ -488,6 +488,39 @@ def observed_job(spark, sf_dir: str) -> DataFrame:
     return found.select(*OBS9, ORD)
 
 
+def observed_loops(spark, sf_dir: str) -> DataFrame:
+    """The same with loops that are cut off once stable, for the files of one folder."""
+    event, user = F.col("event_id"), F.col("user_id")
+    events = table(spark, sf_dir, "events").select(
+        event.alias(ORD),
+        (user % 10).alias("call"),
+        F.when(user % 7 == 0, "lib/b.py").otherwise("pkg/a.py").alias("Filename"),
+        *[F.lit(None).cast("string").alias(c) for c in ("ClassModule", "Class", "TypeModule")],
+        F.lit("f").alias("FunctionName"),
+        (event % 3).alias("LineNo"),
+        F.lit(1).cast("long").alias("Category"),
+        F.concat(F.lit("v"), (user % 20).cast("string")).alias("VarName"),
+        F.col("event_type").alias("Type"),
+        F.col("event_type").alias("Value"),
+        (F.col("event_type") == "view").alias("head"),
+    )
+    found = jobs.observe(events, ["call"], ["call"], loop=["call"], is_head="head", root="pkg")
+    return found.select("Filename", "LineNo", "VarName", "Type", ORD)
+
+
+OBSERVED_LOOPS_SQL = """WITH e AS (SELECT event_id AS _ord, user_id % 10 AS call, 'v' || user_id % 20 AS VarName, event_type AS Type,
+   event_id % 3 AS line, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY event_id)::BIGINT - 1 AS it
+   FROM events WHERE user_id % 7 <> 0),
+  l AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY call ORDER BY _ord), line) AS LineNo,
+   lag(Type) OVER (PARTITION BY call, VarName ORDER BY _ord) AS before FROM e),
+  r AS (SELECT * FROM l WHERE before IS DISTINCT FROM Type),
+  firsts AS (SELECT call, LineNo, VarName, Type, min(it) AS news FROM r WHERE it >= 0 GROUP BY ALL),
+  n AS (SELECT DISTINCT call, news FROM firsts),
+  b AS (SELECT call, news, coalesce(lag(news) OVER (PARTITION BY call ORDER BY news), -1) AS last FROM n),
+  ends AS (SELECT call, coalesce(min(CASE WHEN news - last > 5 THEN last + 6 END), max(news) + 6) AS stop FROM b GROUP BY call)
+  SELECT 'pkg/a.py' AS Filename, LineNo, VarName, Type, min(_ord) AS _ord FROM r LEFT JOIN ends USING (call)
+  WHERE it < 0 OR it < stop GROUP BY ALL"""
+
 OBSERVED_JOB_SQL = """WITH e AS (SELECT event_id AS _ord, user_id % 10 AS call, user_id, 'v' || user_id % 10 AS VarName, event_type AS Type,
    event_type = 'view' AS value, event_id % 40 AS line FROM events),
   l AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY call ORDER BY _ord), line) AS LineNo,
@@ -587,4 +620,5 @@ QUERIES = {
     "write_evaluation": (stored, f"{SIDES} SELECT * FROM m"),
     "write_evaluation_timings": (stored_timings, f"{PAIRS_SQL} SELECT * FROM p"),
     "observe_job": (observed_job, OBSERVED_JOB_SQL),
+    "observe_job_loops": (observed_loops, OBSERVED_LOOPS_SQL),
 }

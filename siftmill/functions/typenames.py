@@ -140,4 +140,5 @@ def split_top_level(text: Column, mark: str) -> Column:
 
         return pd.Series([one(value) for value in texts], dtype=object)
 
-    return split(text)
+    bracketed = text.contains("[") | text.contains("]")
+    return F.when(bracketed, split(F.when(bracketed, text))).otherwise(F.split(text, re.escape(mark)))

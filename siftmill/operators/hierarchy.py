@@ -1,8 +1,9 @@
 """Type hierarchy from inheritance edges.
 
 Every type gets its bases in lookup order: itself first, the root last. A type
-is worked out once all its bases are, so the number of rounds is the depth of
-the hierarchy. The state between rounds is a written table.
+is worked out once all its bases are. A chain of single bases takes rounds as
+the logarithm of its length, others as their depth. The state between rounds is
+a written table.
 """
 
 from __future__ import annotations
@@ -46,6 +47,55 @@ def _lookup_order(own: pd.Series, bases: pd.Series, lines: pd.Series) -> pd.Seri
     return pd.Series([one(*row) for row in zip(own, bases, lines)], dtype=object)
 
 
+_LINE = T.ArrayType(T.StringType())
+# A type with its lookup order or, for one with a single base, the part of it up to a type still open.
+_STEP = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("line", _LINE),
+        T.StructField("above", _LINE),
+        T.StructField("next", T.StringType()),
+    ]
+)
+
+
+def _single_lines(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Types with one base: settled if ``next`` is known, else a jump to where ``next`` has got to.
+
+    Jumps double in length, so a chain takes rounds as the logarithm of its
+    depth. A type that comes back to itself is on a cycle and drops out.
+    """
+    settled = known.select(F.col("id").alias("next"), F.col("line").alias("rest"))
+    jumps = rows.select(F.col("id").alias("next"), F.col("above").alias("more"), F.col("next").alias("further"))
+    joined = rows.select("id", "above", "next").join(settled, "next", "left").join(jumps, "next", "left")
+    found, jump = F.col("rest").isNotNull(), F.col("rest").isNull() & F.col("further").isNotNull()
+    moved = joined.select(
+        "id",
+        F.when(found, F.concat("above", "rest")).alias("line"),
+        F.when(jump, F.concat("above", "more")).otherwise(F.col("above")).alias("above"),
+        F.when(jump, F.col("further")).otherwise(F.col("next")).alias("next"),
+    )
+    return moved.where(F.col("line").isNotNull() | ~F.array_contains("above", F.col("next")))
+
+
+def _merged_lines(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Types with several bases, all of them known by now: id, line."""
+    waiting = links.join(known.select("id"), "id", "left_anti")
+    with_lines = waiting.join(known.withColumnRenamed("id", "base"), "base", "left")
+    # a type's direct bases stand in one line of its source: the lists are short
+    ready = (
+        with_lines.groupBy("id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("line").alias("n_known"),
+            F.sort_array(F.collect_list(F.struct("position", "base", "line"))).alias("parts"),
+        )
+        .where(F.col("n") == F.col("n_known"))
+    )
+    bases, lines = F.transform("parts", lambda p: p["base"]), F.transform("parts", lambda p: p["line"])
+    return ready.select("id", _lookup_order(F.col("id"), bases, lines).alias("line")).where(F.col("line").isNotNull())
+
+
 def hierarchy_from_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hierarchy table and the types (module, type) that have none.
 
@@ -60,35 +110,22 @@ def hierarchy_from_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = edges.select(own, F.coalesce(base, F.lit(_ROOT_ID)).alias("base"), "position").where(F.col("id") != _ROOT_ID)
     links.write.parquet(f"{folder}/links")
     links = spark.read.parquet(f"{folder}/links")
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", T.ArrayType(T.StringType()))])
-    spark.createDataFrame([(_ROOT_ID, [_ROOT_ID])], schema).write.parquet(f"{folder}/known/round=0")
+    counted = links.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("next"))
+    several = links.join(counted.where("n > 1").select("id"), "id", "left_semi")
+    root = spark.createDataFrame([(_ROOT_ID, [_ROOT_ID], None, None)], _STEP)
+    singles = counted.where("n = 1").select("id", F.lit(None).cast(_LINE).alias("line"), F.array("id").alias("above"), "next")
+    root.unionByName(singles).write.parquet(f"{folder}/steps/round=0")
 
-    # a round that adds nothing is the last: each one before settles a type at least
+    # each round before the last settles a type at least
     for number in itertools.count(1):
-        known = spark.read.schema(schema).parquet(f"{folder}/known")
-        open_links = links.join(known.select("id"), "id", "left_anti")
-        with_lines = open_links.join(known.withColumnRenamed("id", "base"), "base", "left")
-        # a type's direct bases stand in one line of its source: the lists are short
-        ready = (
-            with_lines.groupBy("id")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.count("line").alias("n_known"),
-                F.sort_array(F.collect_list(F.struct("position", "base", "line"))).alias("parts"),
-            )
-            .where(F.col("n") == F.col("n_known"))
-        )
-        lines = ready.select(
-            "id",
-            _lookup_order(
-                F.col("id"), F.transform("parts", lambda p: p["base"]), F.transform("parts", lambda p: p["line"])
-            ).alias("line"),
-        ).where(F.col("line").isNotNull())
-        lines.write.parquet(f"{folder}/known/round={number}")
-        if spark.read.schema(schema).parquet(f"{folder}/known/round={number}").isEmpty():
+        known = spark.read.schema(_STEP).parquet(f"{folder}/steps").where("line IS NOT NULL").select("id", "line")
+        last = spark.read.schema(_STEP).parquet(f"{folder}/steps/round={number - 1}").where("line IS NULL")
+        step = _single_lines(last, known).unionByName(_merged_lines(several, known), allowMissingColumns=True)
+        step.select(*_STEP.names).write.parquet(f"{folder}/steps/round={number}")
+        if spark.read.schema(_STEP).parquet(f"{folder}/steps/round={number}").where("line IS NOT NULL").isEmpty():
             break
 
-    known = spark.read.schema(schema).parquet(f"{folder}/known")
+    known = spark.read.schema(_STEP).parquet(f"{folder}/steps").where("line IS NOT NULL").select("id", "line")
 
     def reference(type_id: Column) -> Column:
         module = F.nullif(F.substring_index(type_id, ":", 1), F.lit(""))

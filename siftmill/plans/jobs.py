@@ -24,15 +24,26 @@ def observe(
     own_classes: Sequence[str] = (),
     own_functions: Sequence[str] = (),
     order: str = ORD,
+    is_head: str | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Observations of an event table.
 
     An event names a variable of a scope, its value and type at a line of a
-    call. Lines are set back to the event before, unchanged values drop out,
-    loops are cut off once stable, the observing tool's own rows are removed
-    and the rest is made distinct.
+    call. With ``root``, only events of files in that folder count. Lines are
+    set back to the event before, unchanged values drop out, loops are cut off
+    once stable, the observing tool's own rows are removed and the rest is made
+    distinct.
+
+    ``loop`` names the columns that tell loops apart. Iterations are counted at
+    the events where ``is_head`` is true; what precedes the first lies outside.
+    Without ``is_head`` the events have an ``iteration`` column.
     """
-    rows = changes.attributed_lines(events, call, order=order)
+    rows = events if root is None else events.where(filters.is_inside(F.col("Filename"), root))
+    if loop and is_head:
+        rows = changes.numbered_iterations(rows, loop, is_head, order=order)
+        rows = rows.withColumn("iteration", F.when(F.col("iteration") >= 0, F.col("iteration")))
+    rows = changes.attributed_lines(rows, call, order=order)
     rows = changes.changed_values(rows, scope, "VarName", "Value", order)
     rows = rows.withColumn("LineNo", F.col("AttributedLine")).drop("AttributedLine", "Value")
     if loop:

@@ -49,11 +49,16 @@ def test_cycles_and_unknown_bases(spark):
 
 
 def test_no_depth_is_too_deep(spark):
-    """Sixty levels, each settled by one round."""
+    """More than two hundred levels, with two bases half way."""
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        classes = {f"D{i}": [f"D{i - 1}"] if i else [] for i in range(60)}
+        classes = {f"D{i}": [f"D{i - 1}"] if i else [] for i in range(110)}
+        classes["Other"] = []
+        classes["E0"] = ["D109", "Other"]
+        classes |= {f"E{i}": [f"E{i - 1}"] for i in range(1, 110)}
         table, missing = hierarchy_from_edges(spark.createDataFrame(edges_of(classes), SCHEMA))
-        assert max(len(r.bases) for r in table.collect()) == 61 and missing.isEmpty()
+        found = {r.type: [b.type for b in r.bases] for r in table.collect() if r.module == "m"}
+        assert found == by_python(classes) and missing.isEmpty()
+        assert max(map(len, found.values())) == 222
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
