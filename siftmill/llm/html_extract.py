@@ -273,12 +273,17 @@ def truth(dom: Dom) -> np.ndarray:
 
 
 def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BoostedTrees | None:
-    """Trees fitted on ``sample_pages`` pages of at most ``SAMPLE_CHARS`` characters and variants of them.
+    """Trees fitted on about ``sample_pages`` different pages of at most ``SAMPLE_CHARS`` characters.
 
-    The pages are those with the smallest hashes of their ids. None if there are none.
+    The pages are those with the smallest hashes of their ids; copies count
+    once, and the driver gets twice that number at most. All pages are used
+    where there are fewer. None if there are none.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    chosen = [r["html"] for r in rows.orderBy(F.xxhash64("id"), "html").limit(sample_pages).collect()]
+    scale = 1 << 30
+    share = min(scale, scale * sample_pages // max(rows.count(), 1) + 1)
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < share).select("html").distinct()
+    chosen = sorted(r["html"] for r in sample.limit(2 * sample_pages).collect())
     return fit_pages(chosen) if chosen else None
 
 
