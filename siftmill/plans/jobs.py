@@ -97,18 +97,20 @@ def evaluate(
     observed = observations.groupBy(*own, F.col("Filename").alias("path")).agg(F.lit(1).alias("__one")).drop("__one")
     before = null_equal_join(original, observed, [*own, "path"], "left_semi")
     after = null_equal_join(generated, observed, [*own, "path"], "left_semi")
-    changed = changed_files(before, after, strict)
+    # small: without contents, and read once for each side
+    changed = written(changed_files(before, after, strict), "changed")
 
     def side(sources: DataFrame, name: str) -> DataFrame:
+        # a file's side is part of its project, so that both sides go one way together
         chosen = null_equal_join(sources, changed, ["project", "path"], "left_semi")
-        return source_facts(chosen, spread=True).withColumn("side", F.lit(name))
+        return chosen.withColumn("project", F.concat(F.lit(f"{name}:"), F.coalesce("project", F.lit(""))))
 
-    facts = written(side(original, "original").unionByName(side(generated, "generated")), "facts")
+    def apart(rows: DataFrame) -> DataFrame:
+        own_project = F.nullif(F.substr(F.col("project"), F.instr("project", ":") + 1), F.lit(""))
+        return rows.withColumns({"side": F.substring_index("project", ":", 1), "project": own_project})
 
-    def of(name: str) -> DataFrame:
-        return hints.source_hints(facts.where(F.col("side") == name).drop("side")).withColumn("side", F.lit(name))
-
-    found = written(of("original").unionByName(of("generated")), "hints")
+    facts = written(source_facts(side(original, "original").unionByName(side(generated, "generated")), spread=True), "facts")
+    found = apart(written(hints.source_hints(facts), "hints"))
     metrics = matching.match_hints(
         found.where(F.col("side") == "original").drop("side"),
         found.where(F.col("side") == "generated").drop("side"),
@@ -119,7 +121,7 @@ def evaluate(
         "metrics": metrics,
         "totals": matching.total_scores(metrics),
         "files": matching.file_rates(metrics, ["project", "Filename"]),
-        "errors": fact_errors(facts, "side"),
+        "errors": fact_errors(apart(facts), "side"),
     }
     if timings is not None:
         results["timings"] = timings
