@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -16,16 +18,13 @@ from siftmill.llm.license_texts import TEMPLATES
 
 TRIGGERS = ("licen", "copyright", "permission", "public domain", "redistribut")
 LEVEL = 3
-REACH = 240  # characters a candidate block reaches from its trigger, within the line
-GAIN = 0.4  # share of what a further line needs by itself that the template has to save
-LEAST_COVERED = 0.4  # share of the template that the saved bytes have to stand for
-CONFIRMED = 4  # best templates whose wording is compared
 TOLERANCE = 0.1  # differing words, as a share of the template's
 
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _TRIGGER = re.compile("|".join(TRIGGERS))
 # Words that tell licences apart: a difference in one of them is another licence.
 _TELLING = frozenset("mit apache gnu gpl lgpl agpl bsd cc by sa nc nd mozilla mpl isc noncommercial sharealike noderivatives lesser affero not".split())
+_NEVER = 1 << 20  # cost of a word that may not be missing or added
 
 
 @dataclass(frozen=True)
@@ -40,105 +39,113 @@ class Notice:
     differences: tuple[str, ...]
 
 
+class _Template:
+    """One wording: its words, what each costs if missing, and its text as raw dictionary content."""
+
+    def __init__(self, name: str, wording: str, plain: zstandard.ZstdCompressor):
+        self.name, own = name, wording.lower().encode()
+        content = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False)
+        self.whole = max(len(plain.compress(own)) - len(self.compressor.compress(own)), 1)
+        self.words = _WORD.findall(wording.lower())
+        self.allowed = int(TOLERANCE * len(self.words))
+        self.reach = len(self.words) + self.allowed  # no notice has more words
+        self.distinct = frozenset(self.words)
+        self.needed = frozenset(word for word in self.words if _tells(word))
+        self.numbers = {word: i for i, word in enumerate(self.distinct)}
+        self.codes = np.array([self.numbers[word] for word in self.words])
+        self.missing = np.concatenate([[0], np.cumsum([_NEVER if _tells(word) else 1 for word in self.words])])
+
+    def possible(self, words: set[str]) -> bool:
+        """False only where too many words, or one that tells, are not there at all."""
+        return self.needed <= words and len(self.distinct - words) <= self.allowed
+
+    def aligned(self, words: list[str], at: int) -> tuple[int, int, list[str], list[str]] | None:
+        """The part of ``words`` around number ``at`` that differs least: first and last common word, words missing and added.
+
+        Fewest words missing and added over all parts and alignments; None if
+        more than allowed or one that tells.
+        """
+        size, codes = len(self.words), np.array([self.numbers.get(word, -1) for word in words])
+        added = [_NEVER if _tells(word) else 1 for word in words]
+        costs = np.empty((len(words) + 1, size + 1), np.int64)
+        costs[0] = self.missing
+        for i, (code, cost) in enumerate(zip(codes, added)):
+            row = costs[i] + cost
+            row[0] = 0  # words before the part cost nothing
+            np.minimum(row[1:], np.where(self.codes == code, costs[i, :-1], _NEVER), out=row[1:])
+            costs[i + 1] = np.minimum.accumulate(row - self.missing) + self.missing
+        ends = np.flatnonzero(costs[:, size] <= self.allowed)
+        for end in sorted(ends.tolist(), key=lambda e: (costs[e, size], e)):
+            i, j, common, missing, extra = end, size, [], [], []
+            while j:
+                if i and codes[i - 1] == self.codes[j - 1] and costs[i, j] == costs[i - 1, j - 1]:
+                    i, j = i - 1, j - 1
+                    common.append(i)
+                elif i and costs[i, j] == costs[i - 1, j] + added[i - 1]:
+                    i -= 1
+                    extra.append(words[i])
+                else:
+                    j -= 1
+                    missing.append(self.words[j])
+            if common and common[-1] <= at <= common[0]:
+                return common[-1], common[0], missing[::-1], extra[::-1]
+        return None
+
+
 class Scanner:
-    """Compresses candidate blocks with each template as raw dictionary content.
+    """Compares the words around every trigger with all templates.
 
-    What a template saves of a block's compressed size ranks the templates;
-    the best ones are confirmed by comparing the wording, word by word.
+    Of the templates whose wording is there, the one is taken that saves most of
+    the notice's compressed size when it is raw dictionary content.
     """
 
     def __init__(self, templates=TEMPLATES):
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.templates = []
-        for name, wording in templates:
-            content = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False)
-            own = wording.lower().encode()
-            whole = len(self.plain.compress(own)) - len(compressor.compress(own))
-            self.templates.append((name, compressor, max(whole, 1), _WORD.findall(wording.lower())))
-
-    def saved(self, block: str, template: int | None = None) -> list[int]:
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(self.plain.compress(data))
-        chosen = self.templates if template is None else self.templates[template : template + 1]
-        return [size - len(compressor.compress(data)) for _, compressor, _, _ in chosen]
+        self.templates = [_Template(name, wording, self.plain) for name, wording in templates]
+        self.reach = max((template.reach for template in self.templates), default=0)
 
     def notices(self, text: str | None) -> list[Notice]:
         """All notices of a text, in order, not overlapping."""
         lowered = "".join(c if len(c) == 1 else " " for c in map(str.lower, text or "")) if text and not text.isascii() else (text or "").lower()
         if not any(trigger in lowered for trigger in TRIGGERS):
             return []
+        starts = array("q", (m.start() for m in _WORD.finditer(lowered)))
         found: list[Notice] = []
         done = 0
         for trigger in _TRIGGER.finditer(lowered):
             if trigger.start() < done:
                 continue
-            notice = self._best(lowered, done, trigger.start())
+            notice = self._best(lowered, starts, done, trigger.start())
             if notice is not None:
                 found.append(notice)
                 done = notice.end
         return found
 
-    def _best(self, text: str, floor: int, at: int) -> Notice | None:
-        start = max(floor, text.rfind("\n", 0, at) + 1, at - REACH)
-        end = min(_line_end(text, at), at + REACH)
-        saved = self.saved(text[start:end])
-        ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], self.templates[i][2], i))
-        for i in ranked[:CONFIRMED]:
-            first, last = self._grown(text, floor, start, end, i)
-            notice = self._confirmed(text, first, last, i)
-            if notice is not None and notice.start <= at < notice.end:
-                return notice
-        return None
+    def _best(self, text: str, starts: array, done: int, at: int) -> Notice | None:
+        number = bisect_right(starts, at) - 1
+        first = max(bisect_left(starts, done), number - self.reach)
+        places = [_WORD.match(text, start) for start in starts[first : number + self.reach + 1]]
+        words, number = [place[0] for place in places], number - first
+        best: tuple[tuple[int, int], Notice] | None = None
+        for template in self.templates:
+            low = max(0, number - template.reach)
+            near = words[low : number + template.reach + 1]
+            aligned = template.aligned(near, number - low) if template.possible(set(near)) else None
+            if aligned is None:
+                continue
+            start, end = places[low + aligned[0]].start(), places[low + aligned[1]].end()
+            block = text[start:end].encode("utf-8", "surrogatepass")
+            saved = len(self.plain.compress(block)) - len(template.compressor.compress(block))
+            rank = (saved, -template.whole)
+            if best is None or rank > best[0]:
+                differences = tuple(f"-{w}" for w in aligned[2]) + tuple(f"+{w}" for w in aligned[3])
+                best = rank, Notice(template.name, start, end, saved, saved / template.whole, differences)
+        return best[1] if best else None
+
 
-    def _grown(self, text: str, floor: int, start: int, end: int, template: int) -> tuple[int, int]:
-        """The block with the neighbouring lines that the template makes much smaller."""
-        limit = 2 * len(" ".join(self.templates[template][3])) + REACH
-        while end < len(text) and end - start < limit:
-            further = min(_line_end(text, end + 1), end + 1 + REACH)
-            if not self._helps(text[end:further], template):
-                break
-            end = further
-        while start > floor and end - start < limit:
-            further = max(floor, text.rfind("\n", 0, start - 1) + 1, start - 1 - REACH)
-            if not self._helps(text[further:start], template):
-                break
-            start = further
-        return start, end
-
-    def _helps(self, line: str, template: int) -> bool:
-        if not _WORD.search(line):
-            return True
-        return self.saved(line, template)[0] > GAIN * len(self.plain.compress(line.encode("utf-8", "surrogatepass")))
-
-    def _confirmed(self, text: str, start: int, end: int, template: int) -> Notice | None:
-        name, _, whole, wanted = self.templates[template]
-        saved = self.saved(text[start:end], template)[0]
-        if saved < LEAST_COVERED * whole:
-            return None
-        places = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text, start, end)]
-        words = [word for word, _, _ in places]
-        blocks = [b for b in difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if b.size]
-        if not blocks:
-            return None
-        # what stands before the first and after the last common word is other text
-        missing = wanted[: blocks[0].a] + wanted[blocks[-1].a + blocks[-1].size :]
-        extra: list[str] = []
-        for left, right in zip(blocks, blocks[1:]):
-            missing += wanted[left.a + left.size : right.a]
-            extra += words[left.b + left.size : right.b]
-        if len(missing) + len(extra) > TOLERANCE * len(wanted):
-            return None
-        if any(word in _TELLING or word[0].isdigit() for word in missing + extra):
-            return None
-        last = blocks[-1].b + blocks[-1].size - 1
-        differences = tuple(f"-{w}" for w in missing) + tuple(f"+{w}" for w in extra)
-        return Notice(name, places[blocks[0].b][1], places[last][2], saved, saved / whole, differences)
-
-
-def _line_end(text: str, at: int) -> int:
-    end = text.find("\n", at)
-    return len(text) if end < 0 else end
+def _tells(word: str) -> bool:
+    return word in _TELLING or word[0].isdigit()
 
 
 _SCHEMA = "license string, start bigint, end bigint, saved_bytes bigint, covered double, differences array<string>"
@@ -147,11 +154,13 @@ _SCHEMA = "license string, start bigint, end bigint, saved_bytes bigint, covered
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per notice found: doc_id, license, start, end, saved_bytes, covered, differences.
 
-    ``start`` and ``end`` are code points of the text. Blocks around the words of
-    ``TRIGGERS`` are candidates, in whole texts. A notice is confirmed if its
-    wording differs from the template's in at most a tenth of the words, none of
-    them a number or a licence's name; ``differences`` lists them, ``-`` missing
-    and ``+`` added. Null and empty texts have no notices; rows are independent:
+    ``start`` and ``end`` are code points of the text. The words around those of
+    ``TRIGGERS`` are compared with all templates, in whole texts and over line
+    ends. A notice's wording differs from the template's in at most a tenth of
+    the words, none of them a number or a licence's name; ``differences`` lists
+    them, ``-`` missing and ``+`` added. ``saved_bytes`` is what the template
+    saves of the notice's compressed size, ``covered`` that as a share of what
+    it saves of its own. Null and empty texts have no notices; rows are independent:
     repeats, null ids and other columns change nothing.
     """
 

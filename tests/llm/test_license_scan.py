@@ -1,3 +1,5 @@
+import random
+
 import cases
 from siftmill.llm import license_scan
 from siftmill.llm.license_texts import TEMPLATES
@@ -65,3 +67,32 @@ def test_whole_table_against_known_lines(spark):
         expected += [(row["doc_id"], lines[line]) for line in row["text"].split("\n") if line in lines]
     assert expected
     assert cases.as_set(op6_license_scan(spark, sf_dir), "doc_id", "license") == sorted(expected, key=repr)
+
+
+def test_every_template_within_a_line_of_prose():
+    """The notice is found whatever stands around it in its line, and wherever the line is wrapped."""
+    rng = random.Random(6)
+    words = cases.PROSE.split() + "any person shall be free to use the files of this work under version terms and with public software in the form".split()
+
+    def prose(chars):
+        made = ""
+        while len(made) < chars:
+            made += rng.choice(words) + " "
+        return made
+
+    for name, wording in TEMPLATES:
+        for _ in range(20):
+            before, after = prose(rng.randint(100, 240)), prose(rng.randint(300, 600))
+            text = f"{before}{wording} {after}"
+            if rng.random() < 0.5:
+                cut = text.index(" ", len(before) + 3)
+                text = f"{text[:cut]}\n{text[cut + 1 :]}"
+            notices = SCANNER.notices(text)
+            assert [(n.license, n.differences) for n in notices] == [(name, ())], text
+            assert notices[0].start == len(before) and notices[0].covered > 0.5
+
+
+def test_changed_words_within_a_line_of_prose():
+    gpl = next(text for name, text in TEMPLATES if name == "GPL-3.0-or-later")
+    changed = gpl.replace("This program", "Our program").replace("any later", "a later")
+    assert found(f"this is {cases.PROSE} {changed} any {cases.PROSE}") == [("GPL-3.0-or-later", ("-this", "-any", "+a"))]
