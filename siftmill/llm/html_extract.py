@@ -17,6 +17,7 @@ from siftmill.llm.html_dom import RAW, Dom
 
 SAMPLE_PAGES = 150  # pages the trees are fitted on
 SAMPLE_CHARS = 100_000  # longer pages are not used for fitting
+LEAST_PAGES = 40  # where fewer pages of the sample have main text, generated ones make up the number
 PAGES_AT_ONCE = 64
 
 # Tags with a feature of their own, alone and as an ancestor.
@@ -272,19 +273,52 @@ def truth(dom: Dom) -> np.ndarray:
     return main
 
 
-def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BoostedTrees | None:
+def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BoostedTrees:
     """Trees fitted on about ``sample_pages`` different pages of at most ``SAMPLE_CHARS`` characters.
 
-    The pages are those with the smallest hashes of their ids; copies count
-    once, and the driver gets twice that number at most. All pages are used
-    where there are fewer. None if there are none.
+    The pages are those with the smallest hashes of their ids and contents;
+    copies count once, and the driver gets twice that number at most. All pages
+    are used where there are fewer. The sample decides what the trees are fitted
+    on, not whether there are any: generated pages stand in where it has few
+    pages with main text, or none because all are longer.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
     scale = 1 << 30
     share = min(scale, scale * sample_pages // max(rows.count(), 1) + 1)
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < share).select("html").distinct()
+    sample = rows.filter(F.pmod(F.xxhash64("id", "html"), F.lit(scale)) < share).select("html").distinct()
     chosen = sorted(r["html"] for r in sample.limit(2 * sample_pages).collect())
-    return fit_pages(chosen) if chosen else None
+    useful = sum(bool(truth(Dom(source)).any()) for source in chosen)
+    return fit_pages(chosen + generated(max(LEAST_PAGES - useful, 0)))
+
+
+def generated(n: int) -> list[str]:
+    """``n`` pages of made-up words in common layouts, from one paragraph to hundreds."""
+    rng = random.Random(5)
+
+    def phrase(low: int, high: int) -> str:
+        return " ".join("".join(rng.choices("aeinorstl", k=rng.randint(2, 9))) + rng.choice(("", "", "", "", "", "", ",", ".")) for _ in range(rng.randint(low, high)))
+
+    def paragraph() -> str:
+        words = phrase(5, 90)
+        if rng.random() < 0.3:
+            first, _, rest = words.partition(" ")
+            words = rng.choice((f"<b>{first}</b> {rest}", f'{first} <a href="/l">{phrase(1, 3)}</a> {rest}', f"{first}<br>{rest}"))
+        return rng.choice(("<p>{}</p>",) * 8 + ("<h2>{}</h2>", "<ul><li>{}</li><li>{}</li></ul>", "<div>{}</div>", "<blockquote>{}</blockquote>")).replace("{}", words) + "\n"
+
+    def links(most: int) -> str:
+        return " ".join(f'<a href="/{k}">{phrase(1, 4)}</a>' for k in range(rng.randint(2, most)))
+
+    made = []
+    for _ in range(n):
+        body = "".join(paragraph() for _ in range(int(4 ** rng.uniform(0, 4.2))))
+        start, end = rng.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div><article>", "</article></div>"), ("<main><div>", "</div></main>")))
+        above = rng.choice((f"<nav>{links(8)}</nav>", f"<header><a href='/'>{phrase(1, 3)}</a><nav>{links(6)}</nav></header>", ""))
+        beside = rng.choice((f"<aside>{links(30)}</aside>", f"<aside><h3>{phrase(1, 3)}</h3><p>{phrase(4, 40)}</p></aside>", ""))
+        below = rng.choice((f"<footer>{phrase(3, 20)} {links(5)}</footer>", f"<footer><p>{phrase(3, 20)}</p></footer>"))
+        head = f"<head><title>{phrase(2, 8)}</title><style>p {{ margin: 0 }}</style></head>"
+        script = rng.choice(("<script>var a = 1;</script>", ""))
+        made.append(f"<!DOCTYPE html><html>{head}<body>{above}\n{start}<h1>{phrase(2, 9)}</h1>\n{body}{end}\n{beside}{below}{script}</body></html>")
+    return made
 
 
 def fit_pages(sources: list[str]) -> BoostedTrees:
@@ -315,7 +349,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         trees, found = shared.value, []
         for at in range(0, len(sources), PAGES_AT_ONCE):
             part = list(sources[at : at + PAGES_AT_ONCE])
-            found += extract(part, trees) if trees is not None else [""] * len(part)
+            found += extract(part, trees)
         return pd.Series(found, dtype=object)
 
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), main_text(F.col(html_col)).alias("text"))

@@ -101,3 +101,26 @@ def test_table(spark, pages):
     assert [r["text"] for r in found if r["page_id"] in (1, 2)] == [""] * 3
     assert [r["text"] for r in found if r["page_id"] in (None, 4)] == [article_text(pages[0]), article_text(pages[1])]
     assert html_extract.extract_pages(frame.limit(0)).collect() == []
+
+
+def long_page(pages):
+    body = "".join(re.search(r"<article>(.*)</article>", p, re.S)[1] for p in pages)
+    return re.sub(r"<article>.*</article>", lambda _: f"<article>{body}</article>", pages[0], flags=re.S)
+
+
+@pytest.mark.parametrize("short", [[], ["<html><body></body></html>", "<nav><a href=x>Home</a></nav>"]])
+def test_pages_longer_than_those_fitted_on(spark, pages, short):
+    page = long_page(pages)
+    assert len(page) > html_extract.SAMPLE_CHARS
+    frame = spark.createDataFrame([(1, "u", page)] + [(2, "u", p) for p in short], "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_pages(frame).collect()}
+    assert found[1] == article_text(page)
+    assert set(found) == ({1, 2} if short else {1})
+
+
+def test_one_id_on_all_rows(spark, pages):
+    """No hash share that takes few pages loses the text of all."""
+    frame = spark.createDataFrame([(7, "u", p) for p in pages[:60]], "page_id bigint, url string, html string")
+    for sample_pages in (1, 20):
+        found = html_extract.extract_pages(frame, sample_pages=sample_pages).collect()
+        assert sorted(r["text"] for r in found) == sorted(article_text(p) for p in pages[:60])
