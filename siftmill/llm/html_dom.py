@@ -6,11 +6,13 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe template textarea title svg math object select".split())
+RAW = frozenset("script style noscript iframe template textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+# Formulas stand in their line, but end tags of theirs close what is in them.
+_FLOWING = INLINE | frozenset("math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mstyle mspace".split())
 # A start tag of the key closes an open one of these, up to the nearest of the scopes.
 _CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -68,13 +70,21 @@ class Dom:
             elif opening:
                 tag = opening.lower()
                 self._open(tag, found[3], keep)
-                if tag in RAW:
+                if tag in RAW and not (found[3].endswith("/") and self._is_whole(tag, source, at)):
                     # what is inside is no markup; without an end tag, up to the end
-                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
+                    stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
+                    if found[3].endswith("/"):
+                        self._stack.append(len(self.tags) - 1)
                     self._text(source[at : stop.start() if stop else end])
                     at = stop.end() if stop else end
                     self._close(tag)
 
+    @staticmethod
+    def _is_whole(tag: str, source: str, at: int) -> bool:
+        """Whether a raw tag that closes itself has no end tag of its own: none comes, or another start tag comes first."""
+        following = re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+        return following is None or not following[1]
+
     def _add(self, tag: str, tokens: tuple[str, ...], text: str, mark: str | None = None) -> int:
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
@@ -92,7 +102,7 @@ class Dom:
             self._close_up_to(("p",), _P_SCOPE)
         elif tag in _CLOSES:
             self._close_up_to(*_CLOSES[tag])
-        if tag not in INLINE and tag != "br":
+        if tag not in _FLOWING and tag != "br":
             self._block += 1
         tokens: list[str] = []
         mark = None
@@ -120,7 +130,7 @@ class Dom:
                 return
 
     def _close(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in _FLOWING:
             self._block += 1
         for depth in range(len(self._stack) - 1, 0, -1):
             if self.tags[self._stack[depth]] == tag:

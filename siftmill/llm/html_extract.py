@@ -197,6 +197,8 @@ _BESIDE = (
 _WITHIN = (
     "<ul><li>{d}</li><li>{e}</li></ul>", "<blockquote><p>{d}</p></blockquote>", "<h2>{a}</h2>", "<p>{b} <a href=\"/l\">{a}</a> {d}</p>",
     "<table><tr><td>{a}</td><td>{b}</td></tr></table>", "<pre>{d}</pre>", "<p>{a}</p>",
+    "<p>{d} <math><mi>{a}</mi><mo>=</mo><mn>{b}</mn></math> {e}</p>", "<object data=\"/o\"><p>{d}</p></object>",
+    "<p><svg class=\"icon\"><path d=\"M0\"/><text>{a}</text></svg> {d}</p>", "<p>{d} <select><option>{a}</option><option>{b}</option></select></p>",
 )
 _WORDS = re.compile(r"[^\s<>&\"]+")
 

@@ -124,3 +124,28 @@ def test_one_id_on_all_rows(spark, pages):
     for sample_pages in (1, 20):
         found = html_extract.extract_pages(frame, sample_pages=sample_pages).collect()
         assert sorted(r["text"] for r in found) == sorted(article_text(p) for p in pages[:60])
+
+
+@pytest.mark.parametrize("tag", ["<svg class='icon'/>", "<math/>", "<svg>", "<object data=x>", "<select>", "<script src=x />", "<iframe src='x'/>", "<title/>"])
+@pytest.mark.parametrize("later", ["", "<svg><path d='M0'/></svg><math><mi>x</mi></math>", "<script>var x;</script>"])
+def test_text_after_a_tag_without_end(pages, model, tag, later):
+    for source in pages[:5]:
+        cut = source.index("<article>") + len("<article>")
+        page = (source[:cut] + tag + source[cut:]).replace("</article>", f"</article>{later}")
+        assert html_extract.extract([page], model)[0].removesuffix(" x") == article_text(source)
+
+
+def test_visible_text_of_formulas_and_objects(model):
+    text = "This is a long paragraph of the article, with many words, and another part of it follows here. " * 3
+    source = (
+        f"<html><body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{text}so <math><mi>E</mi><mo>=</mo><mi>m</mi></math>, as known.</p>"
+        f"<object data=x><p>Object: {text}</p></object><p><svg><style>p {{}}</style><text>Label</text></svg> {text}</p>"
+        f"<p>{text}<select><option>one<option>two</select></p></article><footer>(c) 2020</footer>"
+    )
+    assert html_extract.extract([source], model) == [f"Title {text}so E=m, as known. Object: {text}Label {text}{text}one two"]
+
+
+def test_raw_text_stays_raw():
+    dom = Dom("<p>a<script src=x/></p><b>no markup</b></script>b<textarea/><i>raw</i></textarea>c<svg><title/><g/></svg>d")
+    assert [t for t in dom.texts if t] == ["a", "</p><b>no markup</b>", "b", "<i>raw</i>", "c", "d"]
+    assert [dom.tags[dom.parents[dom.texts.index(t)]] for t in ("a", "b", "c", "d")] == ["p", "p", "p", "p"]
