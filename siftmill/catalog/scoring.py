@@ -311,4 +311,10 @@ QUERIES = {
         "round(min(ratio), 6) AS min_ratio, "
         "round(max(ratio), 6) AS max_ratio FROM p GROUP BY series",
     ),
+    "timings_percentiles": (
+        lambda spark, sf_dir: _rounded(timings.timing_percentiles(pairs(spark, sf_dir))),
+        f"{PAIRS_SQL} SELECT series, "
+        + ", ".join(f"round(quantile_cont(ratio, {p / 100}), 6) AS p{p}_ratio" for p in timings.PERCENTILES)
+        + " FROM p GROUP BY series",
+    ),
 }

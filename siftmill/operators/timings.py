@@ -31,3 +31,8 @@ def timing_summary(pairs: DataFrame) -> DataFrame:
         F.max("ratio").alias("max_ratio"),
         *[F.percentile_approx("ratio", p / 100, 1000).alias(f"p{p}_ratio") for p in PERCENTILES],
     )
+
+
+def timing_percentiles(pairs: DataFrame) -> DataFrame:
+    """Exact percentiles of the overhead per series, between two ratios in proportion."""
+    return pairs.groupBy("series").agg(*[F.percentile("ratio", F.lit(p / 100)).alias(f"p{p}_ratio") for p in PERCENTILES])

@@ -93,6 +93,13 @@ def test_sources(spark, tmp_path):
         files.scan_sources(spark, str(root / "sub"), folder=str(root), recursive=False).collect()
 
 
+def test_timing_percentiles_are_exact(spark):
+    rows = [(f"r{i}", "full", 1.0, float(i), float(i)) for i in (1, 2, 4, 8)] + [("n", "full", 0.0, 1.0, None)]
+    pairs = spark.createDataFrame(rows, "run string, series string, bare double, time double, ratio double")
+    row = timings.timing_percentiles(pairs).first()
+    assert [round(row[f"p{p}_ratio"], 9) for p in timings.PERCENTILES] == [1.15, 1.75, 3.0, 5.0, 7.4]
+
+
 def test_timings(spark, tmp_path):
     data = [("a", [0.5, 0.75, 8.0, 2.0]), ("b", [4.0, 5.0, 40.0, 12.0]), ("short", [1.0]), ("zero", [0.0, 1.0, 1.0, 1.0])]
     spark.createDataFrame(data, "run string, times array<double>").coalesce(1).write.parquet(f"{tmp_path}/t")
