@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chat, exact, html_extract, langid, license_scan, packing, quality, simhash, token_count, word_bpe
+from siftmill.llm import chat, exact, html_extract, langid, license_scan, merkle, packing, quality, simhash, token_count, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,81 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    breaks = F.translate("text", "\n", "")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, breaks).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+    proof = F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+# CRC-32 of the bytes in column {bytes}, a list of numbers, with the table of its 256 steps in ``crc``
+CRC_TABLE = """crc AS (
+  SELECT list(step ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS step FROM range(256) AS r(i)
+  )
+)"""
+
+
+def crc32_sql(numbers: str) -> str:
+    return f"xor(list_reduce([4294967295::BIGINT] || {numbers}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (
+  SELECT doc_id, source, text,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         CASE WHEN {crc32_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 2 = 0
+              THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents, crc
+),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS changed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM given
+),
+nodes AS (
+  SELECT source, 0 AS level, idx, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT source, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY source, level, n, idx // 3
+),
+runs AS (SELECT source, level, idx // 3 AS run, list(node ORDER BY idx) AS members FROM nodes WHERE n > 1 GROUP BY ALL),
+folds AS (
+  SELECT doc_id, source, 0 AS level, idx, changed AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, f.source, f.level + 1, run,
+         sha256(array_to_string(members[1:idx % 3], '') || f.node || array_to_string(members[idx % 3 + 2:], '')),
+         proof || array_to_string(members[1:idx % 3], '') || array_to_string(members[idx % 3 + 2:], '')
+  FROM folds f JOIN runs r ON f.source IS NOT DISTINCT FROM r.source AND f.level = r.level AND f.idx // 3 = r.run
+),
+folded AS (SELECT * FROM folds QUALIFY level = max(level) OVER (PARTITION BY doc_id)),
+subroots AS (
+  SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+upper AS (
+  SELECT 0 AS level, idx, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY level, n, idx // 3
+),
+upper_runs AS (SELECT level, idx // 3 AS run, list(node ORDER BY idx) AS members FROM upper WHERE n > 1 GROUP BY ALL),
+climbs AS (
+  SELECT doc_id, subroot, 0 AS level, s.idx, node, proof FROM folded f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT doc_id, subroot, c.level + 1, run,
+         sha256(array_to_string(members[1:idx % 3], '') || node || array_to_string(members[idx % 3 + 2:], '')),
+         proof || array_to_string(members[1:idx % 3], '') || array_to_string(members[idx % 3 + 2:], '')
+  FROM climbs c JOIN upper_runs r ON c.level = r.level AND c.idx // 3 = r.run
+),
+climbed AS (SELECT * FROM climbs QUALIFY level = max(level) OVER (PARTITION BY doc_id))
+SELECT doc_id, leaf, subroot, u.node AS root, sha256(proof) AS proof_sha256, c.node AS folded_root, c.node = u.node AS verified
+FROM climbed c JOIN leaves USING (doc_id) JOIN upper u ON u.n = 1
+"""
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_language_id": (op2_language_id, None),
@@ -95,4 +170,5 @@ QUERIES = {
     "op8_token_count": (op8_token_count, None),
     "op9_chat_format": (op9_chat_format, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_merkle": (op11_merkle, OP11_SQL),
 }
