@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.session import written
@@ -119,20 +119,25 @@ class Forest:
                 break
         self.roots = reduce(DataFrame.unionByName, finished)
 
-    def paths(self, tops: DataFrame, level: int, purpose: str) -> DataFrame:
+    def paths(self, tops: DataFrame | None, level: int, purpose: str) -> DataFrame:
         """Subtrees of a stored level with ``path``, the steps from their top to the root of all.
 
         ``tops`` has tree, path and what else every leaf shall have, for the
-        root of each tree. Levels are walked from the top: members of the
-        subtrees above are the tops of those below.
+        root of each tree; without it the only tree's root is the root of all.
+        Levels are walked from the top: members of the subtrees above are the
+        tops of those below.
         """
-        own = level * STRIDE
-        here = self.stored[level].withColumn("_last", F.col("height") <= own + STRIDE)
-        above = tops.withColumn("block", F.lit(0).cast("bigint")).withColumn("_last", F.lit(True))
+        here = self.stored[level].withColumn("_last", F.col("height") <= (level + 1) * STRIDE)
+        above = None
         if level + 1 < len(self.stored):
             higher = with_steps(self.paths(tops, level + 1, purpose), [])
             higher = higher.withColumn("block", F.col("idx")).withColumn("_last", F.lit(False)).drop("idx", "node", "height")
-            above = above.unionByName(written(higher, f"{purpose}-paths"))
+            above = written(higher, f"{purpose}-paths")
+        if tops is not None:
+            ends = tops.withColumn("block", F.lit(0).cast("bigint")).withColumn("_last", F.lit(True))
+            above = ends if above is None else above.unionByName(ends)
+        if above is None:
+            return here.withColumn("path", F.array().cast(f"array<{_STEP}>")).drop("_last")
         return here.join(above, ["tree", "block", "_last"]).drop("_last")
 
 
@@ -199,8 +204,7 @@ def manifest(docs: DataFrame, *, tampered: Column | None = None, id_col: str = "
     upper = Forest(_one_tree(subroots), "merkle-top", ["source"])
     row = upper.roots.first()
     root = F.lit(row["node"] if row else None).cast("string")
-    start = _start(docs.sparkSession)
-    sources = with_steps(upper.paths(start, 0, "merkle-top"), ["source"]).select(F.col("source").alias("tree"), F.col("node").alias("subroot"), "path")
+    sources = with_steps(upper.paths(None, 0, "merkle-top"), ["source"]).select(F.col("source").alias("tree"), F.col("node").alias("subroot"), "path")
     rows = with_steps(forest.paths(written(sources, "merkle-tops"), 0, "merkle"), ["doc_id", "changed"])
     rows = rows.select("doc_id", F.col("node").alias("leaf"), "subroot", root.alias("root"), "path", fold(F.coalesce("changed", "node"), F.col("path")).alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
@@ -209,8 +213,3 @@ def manifest(docs: DataFrame, *, tampered: Column | None = None, id_col: str = "
 def _one_tree(subroots: DataFrame) -> DataFrame:
     whole = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "node")
     return numbered(whole, ["source"], "merkle-sources")
-
-
-def _start(spark: SparkSession) -> DataFrame:
-    """The path of the root of all: no steps."""
-    return spark.range(1).select(F.lit("").alias("tree"), F.array().cast(f"array<{_STEP}>").alias("path"))

@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.word_bpe import WordCodec, slices
+from siftmill.llm.pools import slices
+from siftmill.llm.word_bpe import WordCodec
 
 LENGTH = 2048
 SEPARATOR = 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chat, exact, html_extract, langid, license_scan, merkle, packing, quality, simhash, token_count, word_bpe
+from siftmill.llm import byte_bpe, chat, exact, html_extract, langid, license_scan, merkle, packing, quality, simhash, spelling, token_count, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,6 +159,57 @@ FROM climbed c JOIN leaves USING (doc_id) JOIN upper u ON u.n = 1
 """
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), drop_every=97)
+    return spelling.spelling_variants(words)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+  ) GROUP BY ALL
+),
+octets AS (
+  SELECT doc_id, run, times, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'),
+    lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1) AS numbers FROM runs
+),
+hashed AS (SELECT run, times, {crc32_sql("numbers")} AS h FROM octets, crc),
+written AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, k - 1) || substr(word, k + 1) AS other FROM places),
+holes AS (SELECT word, n, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS hole FROM places),
+near AS (
+  SELECT s.word, w.word AS near, w.n AS near_n FROM shorter s JOIN words w ON s.other = w.word
+  UNION ALL SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.other = w.word
+  UNION ALL SELECT a.word, b.word, b.n FROM holes a JOIN holes b USING (hole) WHERE a.word <> b.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word
+),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+paths AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL SELECT p.word, f.form, steps + 1 FROM paths p JOIN forms f ON p.root = f.word WHERE f.form IS NOT NULL
+),
+roots AS (SELECT word, last(root ORDER BY steps) AS root FROM paths GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_language_id": (op2_language_id, None),
@@ -171,4 +222,6 @@ QUERIES = {
     "op9_chat_format": (op9_chat_format, None),
     "op10_simhash": (op10_simhash, None),
     "op11_merkle": (op11_merkle, OP11_SQL),
+    "op12_spelling": (op12_spelling, OP12_SQL),
+    "op13_byte_bpe": (op13_byte_bpe, None),
 }

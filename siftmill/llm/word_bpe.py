@@ -11,24 +11,22 @@ import io
 import json
 import os
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.llm.pools import Numbers, Pool, slices, spread
 from siftmill.session import shared_folder
 
 LEXICON_SHARE = 1 << 19  # a word is frequent if it is found once in so many bytes
 MEMO_WORDS = 200_000  # words a task remembers; the memory is emptied beyond
 MERGED_AT_ONCE = 1 << 14  # unseen words merged together
 LONGEST_MERGED = 64  # bytes; longer words need too many rounds and go to the library
-SLICE_BYTES = 1 << 20  # text encoded at once
 # Python splits at these, the vocabulary's white space does not contain them.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 # Marks what only the library may encode; white space, so no part begins with it.
@@ -147,44 +145,6 @@ class Transducer:
         return cls(**parts)
 
 
-class _Numbers(dict):
-    """Numbers words as they come; the new ones are listed."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
-class _Pool:
-    """Lists of ids one after the other, by number."""
-
-    def __init__(self):
-        self.ids, self.starts = array("i"), array("q", [0])
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        ends = np.cumsum(sizes, dtype=np.int64) + self.starts[-1]
-        self.ids.frombytes(np.ascontiguousarray(ids, np.int32).tobytes())
-        self.starts.frombytes(ends.tobytes())
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the lists of these numbers, and where each list ends."""
-        starts, pool = np.array(self.starts), np.array(self.ids)
-        return _spread(pool, starts[numbers], starts[numbers + 1])
-
-
-def _spread(pool: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges of a pool one after the other, and where each ends then."""
-    sizes = ends - starts
-    after = np.cumsum(sizes)
-    total = int(after[-1]) if len(after) else 0
-    return pool[np.repeat(starts - (after - sizes), sizes) + np.arange(total)], after
-
-
 class PairMerges:
     """Byte-pair merging of many words at once, with the vocabulary's merges."""
 
@@ -254,7 +214,7 @@ class PairMerges:
         numbers, sizes, symbols = (np.concatenate(parts) for parts in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
         back = np.argsort(numbers, kind="stable")
         after = np.cumsum(sizes)
-        return _spread(symbols, (after - sizes)[back], after[back])[0], sizes[back]
+        return spread(symbols, (after - sizes)[back], after[back])[0], sizes[back]
 
 
 def _byte_names() -> list[str]:
@@ -298,8 +258,8 @@ class WordCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.parts, self.part_ids = _Numbers(), _Pool()
-        self.words, self.word_ids = _Numbers(), _Pool()
+        self.parts, self.part_ids = Numbers(), Pool()
+        self.words, self.word_ids = Numbers(), Pool()
 
     def _split(self, part: str) -> list[str]:
         """Words of what stands between white space."""
@@ -338,7 +298,7 @@ class WordCodec:
         seen = np.flatnonzero(known >= 0)
         if len(seen):
             starts, ends = self.lexicon.starts[known[seen]], self.lexicon.starts[known[seen] + 1]
-            found.append((seen, _spread(self.lexicon.ids, starts, ends)[0], ends - starts))
+            found.append((seen, spread(self.lexicon.ids, starts, ends)[0], ends - starts))
         for at in range(0, len(own), MERGED_AT_ONCE):
             part = own[at : at + MERGED_AT_ONCE]
             found.append((part, *self.merges.merge([raw[i] for i in part])))
@@ -347,7 +307,7 @@ class WordCodec:
             found.append((np.array([i]), np.array(ids, np.int64), np.array([len(ids)])))
         numbers, ids, sizes = (np.concatenate(x) for x in zip(*found))
         back, after = np.argsort(numbers, kind="stable"), np.cumsum(sizes)
-        self.word_ids.add(_spread(ids, (after - sizes)[back], after[back])[0], sizes[back])
+        self.word_ids.add(spread(ids, (after - sizes)[back], after[back])[0], sizes[back])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (and the last's end)."""
@@ -379,16 +339,6 @@ def _parts(text: str) -> list[str]:
     return parts
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Parts of a batch with about as much text each, and their texts."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // size
-    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
-    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
-        own = batch.slice(int(start), int(end - start))
-        yield own, own.column(column).to_pylist()
-
-
 def frequent_words(docs: DataFrame, *, text_col: str = "text", share: int = LEXICON_SHARE) -> DataFrame:
     """Words, in lower case, that make up at least one in ``share`` bytes' worth of all texts.
 
