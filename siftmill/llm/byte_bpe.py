@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.pools import SLICE_BYTES, Numbers, Pool, slices
+from siftmill.llm.pools import SLICE_BYTES, Numbers, Pool, slices, spread
 
 MAX_STATES = 150_000  # determinised states kept; all are forgotten beyond
-MEMO_PIECES = 300_000  # pieces remembered, and their characters; all are forgotten beyond
+MEMO_PIECES = 400_000  # pieces of a generation, and their characters; two generations are remembered
 MEMO_CHARS = 1 << 24
 PIECES_AT_ONCE = 1 << 16
 
@@ -333,8 +333,9 @@ class StreamDecoder:
 class ByteCodec:
     """Encodes texts piece by piece, each match of a pattern separately, and decodes ids.
 
-    Short pieces are remembered, up to a bound; what is not remembered is read by
-    the transducer.
+    Pieces are remembered; what is not remembered is read by the transducer. Once
+    a generation is full, the one before is forgotten, and pieces that come again
+    are taken over from the last.
     """
 
     def __init__(self, ranks: str, pattern: str):
@@ -344,26 +345,39 @@ class ByteCodec:
             raise ValueError("the pattern must not have groups")
         self.transducer = MergeTransducer(vocabulary)
         self.decoder = StreamDecoder(vocabulary.tokens)
-        self._forget()
+        self.pieces, self.ids, self.chars = Numbers(), Pool(), 0
+        self.older: tuple[dict[str, int], Pool] = {}, Pool()
 
-    def _forget(self) -> None:
+    def _turn(self) -> None:
+        """Begins a new generation."""
+        self.older = dict(self.pieces), self.ids
         self.pieces, self.ids, self.chars = Numbers(), Pool(), 0
 
     def _learn(self) -> None:
         new, self.pieces.new = self.pieces.new, []
+        self.chars += sum(map(len, new))
+        known, pool = self.older
+        numbers = np.fromiter((known.get(piece, NONE) for piece in new), np.int64, len(new))
+        again = np.flatnonzero(numbers != NONE)
         out: list[int] = []
-        sizes = []
-        for piece in new:
-            before = len(out)
-            self.transducer.feed(piece.encode("utf-8", "surrogatepass"), out)
-            sizes.append(len(out) - before)
-            self.chars += len(piece)
-        self.ids.add(np.array(out, np.int32), np.array(sizes, np.int64))
+        ends = []
+        for place in np.flatnonzero(numbers == NONE).tolist():
+            self.transducer.feed(new[place].encode("utf-8", "surrogatepass"), out)
+            ends.append(len(out))
+        if not len(again):
+            self.ids.add(np.array(out, np.int32), np.diff(ends, prepend=0))
+            return
+        taken, after = pool.gather(numbers[again])
+        ids = np.concatenate((taken, np.array(out, np.int32)))
+        order = np.concatenate((again, np.flatnonzero(numbers == NONE)))
+        sizes = np.concatenate((np.diff(after, prepend=0), np.diff(ends, prepend=0))).astype(np.int64)
+        back, stops = np.argsort(order, kind="stable"), np.cumsum(sizes)
+        self.ids.add(spread(ids, (stops - sizes)[back], stops[back])[0], sizes[back])
 
     def _of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after the other, and where each piece's end."""
         if len(self.pieces) > MEMO_PIECES or self.chars > MEMO_CHARS:
-            self._forget()
+            self._turn()
         numbers = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
         if self.pieces.new:
             self._learn()
