@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.pools import SLICE_BYTES, Numbers, Pool, slices, spread
 
-MAX_STATES = 150_000  # determinised states kept; all are forgotten beyond
+MAX_STATES = 200_000  # determinised states kept; all are forgotten beyond
+WINDOW = 1 << 12  # bytes of a piece after which what is settled is emitted
 MEMO_PIECES = 400_000  # pieces of a generation, and their characters; two generations are remembered
 MEMO_CHARS = 1 << 24
 PIECES_AT_ONCE = 1 << 16
@@ -48,6 +49,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         self.children: dict[int, int] = {}  # node · 256 + byte: node
         self.token_at = [NONE]
+        self.depths = [0]  # bytes to each node
         self.inner = {0}  # nodes with children
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -58,6 +60,7 @@ class Vocabulary:
                 if following is None:
                     following = self.children[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(NONE)
+                    self.depths.append(self.depths[node] + 1)
                 node = following
             self.token_at[node] = rank
         self._sides: dict[int, tuple | None] = {}
@@ -101,7 +104,7 @@ class Vocabulary:
         key = first << 32 | second
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > MAX_STATES:
+            if len(self._pairs) > 2 * MAX_STATES:
                 self._pairs.clear()
             known = self._pairs[key] = self._apart(self._borders(first), self._borders(second))
         return known
@@ -130,121 +133,100 @@ class MergeTransducer:
     """Deterministic transducer over bytes, built as far as texts need it.
 
     A state is a set of readings: for every beginning that a token under way may
-    start from, the tokens of that beginning not yet emitted, and the trie node
-    of the bytes since. An arc emits the tokens that all readings have in
-    common. At most as many readings are alive as the longest token has bytes,
-    so tokens wait for few bytes only.
-
-    A reading is one number, path and node. A path is the token emitted last,
-    which the next one has to follow, and the tokens waiting; path 0 is the
-    beginning of the piece.
+    start from, the last token of that beginning, which the next one has to
+    follow, and the trie node of the bytes since. An arc gives the last token of
+    the piece up to there: one of the readings ends in a token that may follow, and
+    only one, as a beginning has one encoding. Beginnings that no
+    reading starts from are given up, so once all readings go back to the same
+    beginning, its tokens are emitted. At most as many readings are alive as the
+    longest token has bytes, so tokens wait for few bytes only.
     """
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES):
-        self.vocabulary, self.max_states = vocabulary, max_states
-        self.shift = len(vocabulary.token_at).bit_length()
+    def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES, window: int = WINDOW):
+        self.vocabulary, self.max_states, self.window = vocabulary, max_states, window
+        self.sizes = [len(token) for token in vocabulary.tokens]
+        self.node_bits = len(vocabulary.token_at).bit_length()
+        self.token_bits = len(vocabulary.tokens).bit_length()
         self._forget()
 
     def _forget(self) -> None:
-        self.paths: list[tuple[int, ...]] = []
-        self.path_numbers: dict[tuple[int, ...], int] = {}
-        self.onwards: dict[int, int] = {}  # path and token: the path with it, or NONE if it can't follow
         self.states: list[tuple[int, ...]] = []
-        self.state_numbers: dict[tuple[int, ...], int] = {}
-        self.arcs: dict[int, int | tuple[int, tuple]] = {}  # state · 256 + byte: state, with what is emitted if anything
-        self.ends: dict[int, tuple] = {}
-        self._state((self._path((NONE,)) << self.shift,))
-
-    def _path(self, path: tuple[int, ...]) -> int:
-        number = self.path_numbers.get(path)
-        if number is None:
-            number = self.path_numbers[path] = len(self.paths)
-            self.paths.append(path)
-        return number
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.arcs: dict[int, int] = {}  # state · 256 + byte: state and token in one number
+        self._state((0,))
 
     def _state(self, state: tuple[int, ...]) -> int:
-        number = self.state_numbers.get(state)
+        number = self.numbers.get(state)
         if number is None:
-            number = self.state_numbers[state] = len(self.states)
+            number = self.numbers[state] = len(self.states)
             self.states.append(state)
         return number
 
-    def _onward(self, path: int, token: int) -> int:
-        tokens = self.paths[path]
-        before = tokens[-1]
-        fits = self.vocabulary.stands(token) if before == NONE else self.vocabulary.follows(before, token)
-        onward = self._path((*tokens, token)) if fits else NONE
-        self.onwards[path << 32 | token] = onward
-        return onward
-
-    def _arc(self, number: int, byte: int) -> int | tuple[int, tuple]:
-        """Determinises one arc: where it leads and what it emits."""
-        child, inner, token_at, onwards, shift = self.vocabulary.children.get, self.vocabulary.inner, self.vocabulary.token_at, self.onwards.get, self.shift
-        mask = (1 << shift) - 1
+    def _arc(self, number: int, byte: int) -> int:
+        """Determinises one arc."""
+        vocabulary, bits = self.vocabulary, self.node_bits
+        child, inner, token_at, mask = vocabulary.children.get, vocabulary.inner, vocabulary.token_at, (1 << bits) - 1
         grown: list[int] = []
         reached = NONE
         for reading in self.states[number]:
             node = child((reading & mask) << 8 | byte)
             if node is None:
                 continue
-            path = reading >> shift
-            if not path or node in inner:  # path 0 stays: the whole piece may be a token
-                grown.append(path << shift | node)
+            before = reading >> bits  # the last token's id and 1, or 0 at the beginning of the piece
+            if node in inner:
+                grown.append(before << bits | node)
             token = token_at[node]
             if reached == NONE and token != NONE:
-                reached = onwards(path << 32 | token)
-                if reached is None:
-                    reached = self._onward(path, token)
-        grown.append(reached << shift)
-        emitted: tuple[int, ...] = ()
-        if len(self.paths[grown[0] >> shift]) > 1:
-            emitted, grown = self._settled(grown)
-        if len(self.states) >= self.max_states:
-            kept = [(self.paths[reading >> shift], reading & mask) for reading in grown]
+                if vocabulary.follows(before - 1, token) if before else vocabulary.stands(token):
+                    reached = token
+        grown.append(reached + 1 << bits)
+        full = len(self.states) >= self.max_states
+        if full:
             self._forget()
-            return self._state(tuple(self._path(path) << shift | node for path, node in kept)), emitted
-        following = self._state(tuple(grown))
-        arc = self.arcs[number << 8 | byte] = (following, emitted) if emitted else following
+        arc = self._state(tuple(grown)) << self.token_bits | reached
+        if not full:
+            self.arcs[number << 8 | byte] = arc
         return arc
 
-    def _settled(self, readings: list[int]) -> tuple[tuple[int, ...], list[int]]:
-        """The waiting tokens that all readings have in common, and the readings without them."""
-        paths = [self.paths[reading >> self.shift] for reading in readings]
-        low, high = min(paths), max(paths)
-        shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-        if shared == 1:
-            return (), readings
-        mask = (1 << self.shift) - 1
-        return low[1:shared], [self._path(path[shared - 1 :]) << self.shift | reading & mask for path, reading in zip(paths, readings)]
-
-    def _end(self, number: int) -> tuple:
-        """The tokens still waiting when the piece ends."""
-        found = self.ends.get(number)
-        if found is None:
-            readings = self.states[number]
-            whole = self.vocabulary.token_at[readings[0] & ((1 << self.shift) - 1)]
-            # a piece that is a token is that token, however its bytes would merge
-            if not readings[0] >> self.shift and whole != NONE:
-                found = (whole,)
-            else:
-                found = self.paths[readings[-1] >> self.shift][1:]
-            self.ends[number] = found
-        return found
-
-    def feed(self, piece: Iterable[int], out: list[int]) -> None:
-        """Appends the ids of a piece."""
-        number, known = 0, self.arcs.get
+    def _tokens(self, last: list[int], end: int) -> list[int]:
+        """Tokens of a beginning, given the last token of every beginning."""
+        found = []
+        while end:
+            token = last[end - 1]
+            found.append(token)
+            end -= self.sizes[token]
+        return found[::-1]
+
+    def _agreed(self, number: int, last: list[int]) -> int:
+        """The beginning that all readings of a state go back to."""
+        mask, node_sizes = (1 << self.node_bits) - 1, self.vocabulary.depths
+        starts = {len(last) - node_sizes[reading & mask] for reading in self.states[number]}
+        while len(starts) > 1:
+            latest = max(starts)
+            starts.remove(latest)
+            starts.add(latest - self.sizes[last[latest - 1]])
+        return starts.pop()
+
+    def feed(self, piece: bytes, out: list[int]) -> None:
+        """Appends the ids of a piece; what is settled of a very long one is emitted on the way."""
+        whole = self.vocabulary.ranks.get(piece)
+        if whole is not None:
+            out.append(whole)  # a piece that is a token is that token, however its bytes would merge
+            return
+        number, known, token_bits, mask = 0, self.arcs.get, self.token_bits, (1 << self.token_bits) - 1
+        last: list[int] = []
         for byte in piece:
             arc = known(number << 8 | byte)
             if arc is None:
                 arc = self._arc(number, byte)
                 known = self.arcs.get  # new ones if all were forgotten
-            if arc.__class__ is int:
-                number = arc
-            else:
-                number, emitted = arc
-                out.extend(emitted)
-        out.extend(self._end(number))
+            number = arc >> token_bits
+            last.append(arc & mask)
+            if len(last) > self.window:
+                settled = self._agreed(number, last)
+                out.extend(self._tokens(last, settled))
+                del last[:settled]
+        out.extend(self._tokens(last, len(last)))
 
 
 class Utf8Machine:

@@ -61,7 +61,7 @@ def test_small_vocabularies_against_the_definition(seed):
     while len(ranks) < 256 + rnd.randint(1, 25):
         token = bytes(rnd.choices(letters, k=rnd.randint(2, 6)))
         ranks.setdefault(token, len(ranks))
-    machine = byte_bpe.MergeTransducer(byte_bpe.Vocabulary(ranks), max_states=rnd.choice([3, 20, 10_000]))
+    machine = byte_bpe.MergeTransducer(byte_bpe.Vocabulary(ranks), max_states=rnd.choice([3, 20, 10_000]), window=rnd.choice([0, 1, 5, 4096]))
     for _ in range(150):
         data = bytes(rnd.choices(letters, k=rnd.randint(1, 40)))
         out = []
@@ -79,13 +79,18 @@ def test_forgetting_states_changes_nothing():
 
 
 def test_tokens_wait_for_few_bytes():
-    """However long the text, an arc knows all but the last few tokens."""
-    machine = byte_bpe.MergeTransducer(CODEC.transducer.vocabulary)
+    """However long the text, all but the last few tokens are settled at any time."""
+    machine = byte_bpe.MergeTransducer(CODEC.transducer.vocabulary, window=0)
+    waiting = []
+    agreed = machine._agreed
+    machine._agreed = lambda number, last: waiting.append(len(last)) or agreed(number, last)
     for unit in ["a", "ab", "the", "abcdefgh", "=", "-=", "日本"]:
-        machine.feed((unit * 5000).encode(), [])
+        out = []
+        machine.feed((unit * 2000).encode(), out)
+        assert out == LIBRARY._encode_single_piece((unit * 2000).encode())
     longest = max(map(len, RANKS))
     assert max(map(len, machine.states)) <= longest + 1
-    assert max(map(len, machine.paths)) <= longest + 1
+    assert max(waiting) <= 4 * longest
     assert len(machine.states) < 20_000
 
 
@@ -107,7 +112,7 @@ def test_utf8_machine_against_the_standard_decoder(data, cuts):
     for a, b in zip(bounds, bounds[1:]):
         text, begun = machine.feed(begun, data[a:b])
         out, expected = out + text, expected + library.decode(data[a:b])
-        assert out == expected  # as soon as it is known, and not before
+        assert out.startswith(expected)  # the library waits longer for some that can't become characters
     assert out + ("�" if begun else "") == expected + library.decode(b"", final=True)
 
 
