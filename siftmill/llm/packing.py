@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.pools import slices
-from siftmill.llm.word_bpe import WordCodec
+from siftmill.llm.word_bpe import codec_of
 
 LENGTH = 2048
 SEPARATOR = 1
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(vocabulary)
+        codec = codec_of(vocabulary)
         kind = None
 
         def documents():

@@ -24,16 +24,15 @@ from siftmill.llm.pools import Numbers, Pool, slices, spread
 from siftmill.session import shared_folder
 
 LEXICON_SHARE = 1 << 19  # a word is frequent if it is found once in so many bytes
-MEMO_WORDS = 200_000  # words a task remembers; the memory is emptied beyond
+MEMO_WORDS = 400_000  # parts a worker remembers; the memory is emptied beyond
 MERGED_AT_ONCE = 1 << 14  # unseen words merged together
-LONGEST_MERGED = 64  # bytes; longer words need too many rounds and go to the library
 # Python splits at these, the vocabulary's white space does not contain them.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 # Marks what only the library may encode; white space, so no part begins with it.
 _WHOLE = "\n"
-_SIGNS = frozenset('.,;:!?()"*#$%&|<>-')
 # Fixed value: the vocabulary's own rule for words, matched by the same Unicode classes.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_OR_END = regex.compile(r"\n|" + _WORD)
 
 
 def normalise(word: str) -> str:
@@ -170,8 +169,9 @@ class PairMerges:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has.
 
-        In every round each word merges its pair of the lowest rank, the
-        leftmost of equals; words without such a pair are done.
+        In every round each word merges all its pairs of the lowest rank, from
+        the left; words without a pair are done. (What a merge makes is part of
+        later merges only, so doing all at once changes nothing.)
         """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         letters = np.frombuffer(b"".join(words), np.uint8)
@@ -184,33 +184,31 @@ class PairMerges:
         ranks[ends - 1] = self.none
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(numbers):
-            starts = np.cumsum(sizes) - sizes
-            best = np.minimum.reduceat((ranks << 32) | np.arange(len(ranks)), starts)
-            open_ = best >> 32 < self.none
+            best = np.minimum.reduceat(ranks, np.cumsum(sizes) - sizes)
+            open_ = best < self.none
             if not open_.all():
                 stays = np.repeat(open_, sizes)
                 done.append((numbers[~open_], sizes[~open_], symbols[~stays]))
-                before = np.cumsum(~stays)  # what is dropped up to each place
-                best = best[open_]
-                best -= before[best & 0xFFFFFFFF]
                 symbols, ranks = symbols[stays], ranks[stays]
-                numbers, sizes = numbers[open_], sizes[open_]
+                numbers, sizes, best = numbers[open_], sizes[open_], best[open_]
                 if not len(numbers):
                     break
-            at = best & 0xFFFFFFFF
-            symbols[at] = self.made[best >> 32]
-            ranks[at] = ranks[at + 1]
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(ranks == best[word])
+            # of pairs that overlap, as in a run of one symbol, every other one from the left
+            first = np.concatenate(([True], at[1:] != at[:-1] + 1))
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            symbols[at] = self.made[best[word[at]]]
+            sizes = sizes - np.bincount(word[at], minlength=len(sizes))
             kept = np.ones(len(symbols), bool)
             kept[at + 1] = False
             symbols, ranks = symbols[kept], ranks[kept]
-            sizes = sizes - 1
-            at = at - np.arange(len(at))  # every word before has lost one symbol
-            ends = np.cumsum(sizes)
-            right = at[at + 1 < ends]
-            ranks[right] = self._rank(symbols[right], symbols[right + 1])
-            left = at[at > ends - sizes] - 1
-            ranks[left] = self._rank(symbols[left], symbols[left + 1])
-            ranks[ends - 1] = self.none
+            at = at - np.arange(len(at))  # every merge before has taken one symbol away
+            touched = np.concatenate((at[at > 0] - 1, at))
+            touched = touched[touched + 1 < len(symbols)]
+            ranks[touched] = self._rank(symbols[touched], symbols[touched + 1])
+            ranks[np.cumsum(sizes) - 1] = self.none
         numbers, sizes, symbols = (np.concatenate(parts) for parts in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
         back = np.argsort(numbers, kind="stable")
         after = np.cumsum(sizes)
@@ -232,10 +230,9 @@ class WordCodec:
     """Encodes texts as the tokenizers library does with a word BPE file, and decodes.
 
     Text is cut at white space; the parts' words (letters, one digit, or other
-    signs in a row) are looked up in the lexicon and merged if unseen. Very long
-    words and parts with special tokens or unassigned characters are left to the
-    library. A task
-    remembers parts and words it has seen, up to a bound.
+    signs in a row) are looked up in the lexicon and merged if unseen. Parts with
+    special tokens or unassigned characters are left to the library. Parts and
+    words seen are remembered, up to a bound.
     """
 
     def __init__(self, vocabulary: str, lexicon: Transducer | None = None):
@@ -254,6 +251,10 @@ class WordCodec:
         self.tokens = [""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.tokens[i] = name
+        # marks that the library's Unicode tables order in another way than Python's, or not at all
+        marks = (chr(c) for c in range(0x110000) if unicodedata.combining(chr(c)))
+        norm = self.library.normalizer.normalize_str
+        self.unlike = {c for c in marks if any(norm(text) != normalise(text) for text in (f"a{c}\u0334", f"a\u0300{c}"))}
         self.lexicon = lexicon
         self._forget()
 
@@ -261,29 +262,37 @@ class WordCodec:
         self.parts, self.part_ids = Numbers(), Pool()
         self.words, self.word_ids = Numbers(), Pool()
 
-    def _split(self, part: str) -> list[str]:
-        """Words of what stands between white space."""
-        plain = normalise(part)
-        if plain.isalpha():
-            return [plain]
-        if plain[-1] in _SIGNS and plain[:-1].isalpha():
-            return [plain[:-1], plain[-1]]
-        # characters that Python's Unicode tables don't have yet may be letters elsewhere
-        strange = not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part)
-        if strange or any(s in part for s in self.special):
-            return [_WHOLE + part]  # for the library, as it is
-        return _WORD.findall(plain)
+    def _foreign(self, parts: list[str], joined: str) -> np.ndarray:
+        """Which parts only the library may encode: those marked, with special tokens or characters its tables lack.
+
+        Characters that Python's Unicode tables don't have yet may be letters elsewhere.
+        """
+        marks = [token for token in self.special if token in joined]
+        if not joined.isascii():
+            marks += [c for c in set(joined) if unicodedata.category(c) == "Cn" or c in self.unlike]
+        whole = np.fromiter((part[0] == _WHOLE for part in parts), bool, len(parts))
+        return whole | np.array([any(mark in part for mark in marks) for part in parts], bool) if marks else whole
 
     def _learn_parts(self) -> None:
-        number = self.words.__getitem__
-        split = [list(map(number, self._split(part))) for part in self.parts.new]
-        self.parts.new = []
+        """Ids of new parts; they are cut into words together, as no word goes across white space."""
+        parts, self.parts.new = self.parts.new, []
+        foreign = self._foreign(parts, " ".join(parts))
+        own = [part for part, other in zip(parts, foreign) if not other] if foreign.any() else parts
+        found = _WORD_OR_END.findall(normalise("\n".join([*own, ""])))
+        flat = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        end = self.words["\n"]
+        sizes = np.zeros(len(parts), np.int64)
+        ends = np.flatnonzero(flat == end)
+        sizes[~foreign] = np.diff(np.concatenate(([-1], ends))) - 1
+        flat = flat[flat != end]
+        if foreign.any():
+            places = np.cumsum(sizes)[foreign]
+            sizes[foreign] = 1
+            flat = np.insert(flat, places, [self.words[_WHOLE + part] for part, other in zip(parts, foreign) if other])
         if self.words.new:
             self._learn_words()
-        flat = np.fromiter((n for row in split for n in row), np.int64)
         ids, ends = self.word_ids.gather(flat)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(row) for row in split])))]
-        self.part_ids.add(ids, np.diff(bounds))
+        self.part_ids.add(ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]))
 
     def _learn_words(self) -> None:
         """Ids of new words: from the lexicon where it has them, else merged."""
@@ -291,7 +300,7 @@ class WordCodec:
         raw = [word.encode("utf-8", "surrogatepass") for word in words]
         known = np.full(len(words), -1) if self.lexicon is None else self.lexicon.numbers(raw)
         unseen = np.flatnonzero(known < 0)
-        foreign = np.array([i for i in unseen if words[i][0] == _WHOLE or len(raw[i]) > LONGEST_MERGED], int)
+        foreign = np.array([i for i in unseen if words[i][0] == _WHOLE], int)
         own = np.setdiff1d(unseen, foreign)
         sizes = np.zeros(len(words), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, ids, sizes
@@ -303,7 +312,8 @@ class WordCodec:
             part = own[at : at + MERGED_AT_ONCE]
             found.append((part, *self.merges.merge([raw[i] for i in part])))
         for i in foreign:
-            ids = self.library.encode(words[i].removeprefix(_WHOLE), add_special_tokens=False).ids
+            text = words[i].removeprefix(_WHOLE)  # nothing for the mark itself, which ends a part
+            ids = self.library.encode(text, add_special_tokens=False).ids if text else []
             found.append((np.array([i]), np.array(ids, np.int64), np.array([len(ids)])))
         numbers, ids, sizes = (np.concatenate(x) for x in zip(*found))
         back, after = np.argsort(numbers, kind="stable"), np.cumsum(sizes)
@@ -328,6 +338,20 @@ class WordCodec:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+_codecs: dict[tuple[str, str | None], WordCodec] = {}
+
+
+def codec_of(vocabulary: str, lexicon: str | None = None) -> WordCodec:
+    """The codec of this worker process: a task finds what tasks before it have learned.
+
+    ``lexicon`` is a file's path; one codec is kept, as memories are large.
+    """
+    if (vocabulary, lexicon) not in _codecs:
+        _codecs.clear()
+        _codecs[vocabulary, lexicon] = WordCodec(vocabulary, Transducer.mapped(lexicon) if lexicon else None)
+    return _codecs[vocabulary, lexicon]
+
+
 def _parts(text: str) -> list[str]:
     parts = text.split()
     if any(c in text for c in _NO_SPACE):
@@ -392,7 +416,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
     name = publish(spark, compile_lexicon(words, vocabulary).to_bytes(), "words.fst")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(vocabulary, Transducer.mapped(SparkFiles.get(name)))
+        codec = codec_of(vocabulary, SparkFiles.get(name))
         for batch in batches:
             for part, texts in slices(batch):
                 ids, bounds = codec.encode(texts)

@@ -88,3 +88,21 @@ def test_digests_of_a_whole_table(spark):
         decoded = LIBRARY.decode(ids, skip_special_tokens=False)
         digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), decoded)]
         assert [row["n_tokens"], row["ids_sha256"], row["decoded_sha256"]] == [len(ids), *digests]
+
+
+def test_long_words_are_merged_like_short_ones(monkeypatch):
+    """Words of any length go through the merges; the library is not asked."""
+    codec = WordCodec(public_tokenizers.path("word_bpe_49k.json"))
+    library, codec.library = codec.library, None
+    rnd = random.Random(8)
+    texts = ["x" * 5000, "ab" * 3000, "aaab" * 2000, "=" * 999, "日本" * 700, "".join(rnd.choices("abcdefghijklmnop", k=4000))]
+    ids, bounds = codec.encode(texts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_that_the_library_orders_otherwise():
+    codec = WordCodec(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("a\u0899\u0337b", "a\u0337\u0899b \u0301x", "e\u0301 e\u0327\u0301"):
+        ids, _ = codec.encode([text, "plain"])
+        assert ids.tolist() == [i for t in (text, "plain") for i in codec.library.encode(t, add_special_tokens=False).ids]
