@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,6 @@ ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 SMOOTHING = 0.1
 ROWS_PER_LANGUAGE = 2_000  # labelled rows a language is learned from
-MAX_LANGUAGES = 512  # bounds the model: languages x buckets x 4 bytes
 CHUNK = 1 << 18  # characters scored at once
 
 _BMP_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -26,26 +25,31 @@ _RESULT = StructType([StructField("lang_pred", StringType()), StructField("score
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order, and a row of log probabilities for each bucket."""
+    """Languages in order, and a row of log probabilities of all buckets for each: 256 KB a language."""
 
     languages: tuple[str, ...]
-    log_prob: np.ndarray  # buckets x languages, float32
+    log_prob: np.ndarray  # languages x buckets, float32
 
 
-def _letters(text: str) -> tuple[np.ndarray, bool]:
-    """Code points in lower case, with a space for everything that is no letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _letters(lowered: str) -> np.ndarray:
+    """Code points, with a space for everything that is no letter."""
+    points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _BMP_LETTER[np.minimum(points, 0xFFFF)]
     for at in np.flatnonzero(points > 0xFFFF):
         letter[at] = chr(points[at]).isalpha()
-    return np.where(letter, points, np.uint32(32)), bool(letter.any())
+    return np.where(letter, points, np.uint32(32))
 
 
-def ngram_buckets(points: np.ndarray) -> np.ndarray:
-    """Bucket of every n-gram, all orders one after the other; those of blanks only are left out."""
-    points = np.concatenate((np.uint32([32]), points, np.uint32([32])))
+def ngram_buckets(points: np.ndarray, rows: np.ndarray | None = None, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams, all orders one after the other, and where each n-gram starts.
+
+    N-grams of blanks only are left out, and those that go across a change in
+    ``rows``, the number of each point's text. Those that end within the first
+    ``known`` points were given before.
+    """
     blank = points == 32
-    found, grams, empty = [], points, blank
+    grams, empty = points, blank
+    found, starts = [], []
     for order in range(1, max(ORDERS) + 1):
         if order > 1:
             if len(grams) < 2:
@@ -53,20 +57,46 @@ def ngram_buckets(points: np.ndarray) -> np.ndarray:
             grams = grams[:-1] * np.uint32(0x01000193) + points[order - 1 :]
             empty = empty[:-1] & blank[order - 1 :]
         if order in ORDERS:
-            mixed = (grams ^ np.uint32(order * 0x9E3779B9 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            counted = ~empty
+            counted[: max(0, known - order + 1)] = False
+            if rows is not None:
+                counted &= rows[: len(grams)] == rows[order - 1 :]
+            start = np.flatnonzero(counted)
+            mixed = (grams[start] ^ np.uint32(order * 0x9E3779B9 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-            found.append((mixed >> np.uint32(32 - BUCKET_BITS))[~empty])
-    return np.concatenate(found)
+            found.append(mixed >> np.uint32(32 - BUCKET_BITS))
+            starts.append(start)
+    return np.concatenate(found), np.concatenate(starts)
+
+
+def _in_chunks(lowered: str) -> Iterator[np.ndarray]:
+    """Points of a text between two blanks, some at a time; each part begins with the last three of the one before."""
+    carried = np.array([32], np.uint32)
+    for at in range(0, max(1, len(lowered)), CHUNK):
+        points = _letters(lowered[at : at + CHUNK])
+        if at + CHUNK >= len(lowered):
+            points = np.append(points, np.uint32(32))
+        joined = np.concatenate((carried, points))
+        yield joined
+        carried = joined[-(max(ORDERS) - 1) :]
+
+
+def text_buckets(text: str) -> Iterator[np.ndarray]:
+    """Buckets of a text of any length: the same ones however it is cut into chunks."""
+    known = 0
+    for points in _in_chunks(text.lower()):
+        yield ngram_buckets(points, known=known)[0]
+        known = min(len(points), max(ORDERS) - 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each language has each bucket in this task's rows."""
+    """How often each language has each bucket in this task's rows: one row for a language."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             total = totals.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-            for at in range(0, len(text), CHUNK):
-                total += np.bincount(ngram_buckets(_letters(text[at : at + CHUNK])[0]), minlength=len(total))
+            for buckets in text_buckets(text):
+                total += np.bincount(buckets, minlength=len(total))
     for lang, total in totals.items():
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen])], ["lang", "bucket", "n"])
@@ -76,54 +106,98 @@ def train(labelled: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, te
     """Model of the languages of ``labelled``; rows without text or language are skipped.
 
     It is fitted on a sample of about ``rows_per_language`` rows of each
-    language, those with the smallest hashes of their ids; all rows where there
-    are fewer. Counts of n-grams are summed by Spark; the driver gets one number
-    for each language and bucket. More than ``MAX_LANGUAGES`` languages are an
-    error. No rows at all give a model that knows no language.
+    language, those with the smallest hashes of id and text, so that rows that share an
+    id are not all taken or all left; all rows where there are fewer. Counts of
+    n-grams are summed by Spark to one row a language, and the driver takes
+    these one by one. Any number of languages is learned; each costs 256 KB on
+    the driver and in every worker. No rows at all give a model that knows no language.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
-        return Model((), np.zeros((1 << BUCKET_BITS, 0), np.float32))
+        return Model((), np.zeros((0, 1 << BUCKET_BITS), np.float32))
     scale = 1 << 30
-    share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(scale, scale * rows_per_language // sizes[lang] + 1))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < share).select("lang", "text").repartition(16)
+    shares = [(lang, min(scale, scale * rows_per_language // sizes[lang] + 1)) for lang in languages]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, share bigint")
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(scale))
+    sample = rows.withColumn("place", place).join(shares, "lang").filter("place < share").select("lang", "text").repartition(16)
     summed = sample.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((1 << BUCKET_BITS, len(languages)))
-    table = summed.toArrow()
+    by_language = summed.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n"))
+    counts = np.full((len(languages), 1 << BUCKET_BITS), SMOOTHING, np.float32)
     position = {lang: i for i, lang in enumerate(languages)}
-    column = np.array([position[lang] for lang in table["lang"].to_pylist()], int)
-    counts[table["bucket"].to_numpy(), column] = table["n"].to_numpy()
-    counts += SMOOTHING
-    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
-
-
-def predict_text(text: str | None, model: Model) -> tuple[str, float]:
-    """Language and score of one text; ``und`` and 0 without letters or model.
-
-    The text's n-grams are a sparse row of bucket counts, multiplied with the
-    matrix of log probabilities. All languages are equally likely beforehand;
-    of equals the first by name is taken. The score is the language's
-    probability after dividing all evidence by the square root of the number
-    of n-grams, as neighbouring n-grams are far from independent.
+    for row in by_language.toLocalIterator():
+        counts[position[row["lang"]], row["buckets"]] += np.array(row["n"], np.float32)
+    sums = counts.sum(axis=1, dtype=np.float64)
+    np.log(counts, out=counts)
+    return Model(languages, counts - np.log(sums).astype(np.float32)[:, None])
+
+
+def _groups(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``CHUNK`` characters together; longer ones are alone."""
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        if at > start and size + len(text) > CHUNK:
+            yield start, at
+            start, size = at, 0
+        size += len(text)
+    if texts:
+        yield start, len(texts)
+
+
+def score_texts(texts: Sequence[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the summed log probabilities of each language, the number of n-grams, and whether it has a letter.
+
+    The batch is a sparse matrix, texts by buckets, in compressed rows; it is
+    multiplied with the languages' log probabilities, one language at a time.
+    """
+    texts = [text or "" for text in texts]
+    totals, grams, lettered = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+
+    def add(rows: np.ndarray, buckets: np.ndarray) -> None:
+        # rows ascend: where each begins is all that compressed rows need
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, np.int64)
+        if not len(first):
+            return
+        own = rows[first]
+        for language, log_prob in enumerate(model.log_prob):
+            totals[own, language] += np.add.reduceat(log_prob[buckets], first, dtype=np.float64)
+        grams[own] += np.diff(np.append(first, len(rows)))
+
+    for start, end in _groups(texts):
+        if end == start + 1:
+            known = 0
+            for points in _in_chunks(texts[start].lower()):
+                buckets, _ = ngram_buckets(points, known=known)
+                known = min(len(points), max(ORDERS) - 1)
+                lettered[start] |= bool((points != 32).any())
+                add(np.full(len(buckets), start), buckets)
+            continue
+        lowered = [text.lower() for text in texts[start:end]]
+        points = _letters(f" {'  '.join(lowered)} ")
+        rows = np.repeat(np.arange(start, end), [len(text) + 2 for text in lowered])
+        lettered[rows[points != 32]] = True
+        buckets, places = ngram_buckets(points, rows)
+        order = np.argsort(rows[places], kind="stable")
+        add(rows[places][order], buckets[order])
+    return totals, grams, lettered
+
+
+def predict_texts(texts: Sequence[str | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of texts; ``und`` and 0 without letters or model.
+
+    All languages are equally likely beforehand; of equals the first by name is
+    taken. The score is the language's probability after dividing all evidence
+    by the square root of the number of n-grams, as neighbouring n-grams are
+    far from independent.
     """
-    if not text or not model.languages:
-        return UNKNOWN, 0.0
-    total, grams, lettered = np.zeros(len(model.languages)), 0, False
-    for at in range(0, len(text), CHUNK):
-        points, any_letter = _letters(text[at : at + CHUNK])
-        lettered |= any_letter
-        buckets = ngram_buckets(points)
-        grams += len(buckets)
-        total += model.log_prob[buckets].sum(axis=0, dtype=np.float64)
-    if not lettered:
-        return UNKNOWN, 0.0
-    evidence = np.exp((total - total.max()) / np.sqrt(max(grams, 1)))
-    best = int(evidence.argmax())
-    return model.languages[best], float(evidence[best] / evidence.sum())
+    if not model.languages or not len(texts):
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    totals, grams, lettered = score_texts(texts, model)
+    evidence = np.exp((totals - totals.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(grams, 1))[:, None])
+    best = evidence.argmax(axis=1)
+    scores = np.where(lettered, evidence[np.arange(len(best)), best] / evidence.sum(axis=1), 0.0)
+    return [model.languages[i] if known else UNKNOWN for i, known in zip(best.tolist(), lettered.tolist())], scores
 
 
 def predictor(spark, model: Model):
@@ -132,8 +206,8 @@ def predictor(spark, model: Model):
 
     @F.pandas_udf(_RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        known = shared.value
-        return pd.DataFrame([predict_text(text, known) for text in texts], columns=["lang_pred", "score"])
+        languages, scores = predict_texts(texts.to_list(), shared.value)
+        return pd.DataFrame({"lang_pred": languages, "score": scores})
 
     return predict
 
@@ -146,8 +220,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score.
 
-    Whole texts are scored. Null, empty and letterless texts are ``und``. Rows
-    are independent, so repeated rows, null ids and other columns change nothing.
+    Whole texts are scored, very long ones in chunks that change no n-gram. Null,
+    empty and letterless texts are ``und``. Of languages that score equally the
+    first by name is taken. Rows are independent, so repeated rows, null ids and
+    other columns change nothing; an empty table gives an empty result.
     """
     predict = predictor(docs.sparkSession, model)
     return docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("p")).select("doc_id", "p.lang_pred", "p.score")

@@ -42,7 +42,7 @@ def test_run_against_the_stages_by_hand(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs.filter(~langid.held_out()))
-    kept = {i: t for i, t in texts.items() if langid.predict_text(t, model)[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    kept = {i: t for i, t in texts.items() if langid.predict_texts([t], model)[1][0] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     chosen = stage("quality_rules")(spark, docs.filter(F.col("doc_id").isin(list(kept))), SF)
     kept = {i: kept[i] for i in (r["doc_id"] for r in chosen.select("doc_id").collect())}
     last = {}

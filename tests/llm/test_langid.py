@@ -1,5 +1,8 @@
+from collections import Counter
+
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import cases
@@ -43,7 +46,7 @@ def test_counts_against_brute_force(spark):
                     if gram.strip():
                         counts[_bucket(gram)] += 1
         counts += langid.SMOOTHING
-        assert np.allclose(known.log_prob[:, column], np.log(counts / counts.sum()), atol=1e-5)
+        assert np.allclose(known.log_prob[column], np.log(counts / counts.sum()), atol=1e-5)
 
 
 def _bucket(gram):
@@ -55,12 +58,58 @@ def _bucket(gram):
     return value >> (32 - langid.BUCKET_BITS)
 
 
-def test_chunks_do_not_change_much(spark, monkeypatch):
-    known = model(spark)
-    text = "der hund und die katze " * 50
-    whole = langid.predict_text(text, known)
-    monkeypatch.setattr(langid, "CHUNK", 100)
-    assert langid.predict_text(text, known)[0] == whole[0] == "de"
+TEXTS = ["der hund und die katze " * 50, "a", "", None, " \t", "x" * 1000, "ΣΑΣ ΟΔΟΣ. é😀日本 İ" * 40, "12 34", "ab cd", "the"]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 100, 1 << 18])
+def test_chunks_change_nothing(monkeypatch, chunk):
+    """However a text is cut, its n-grams are those of the whole, counted one by one."""
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    for text in TEXTS:
+        padded = f" {''.join(c if c.isalpha() else ' ' for c in (text or '').lower())} "
+        grams = [padded[at : at + n] for n in langid.ORDERS for at in range(len(padded) - n + 1)]
+        wanted = Counter(_bucket(gram) for gram in grams if gram.strip(" "))
+        assert Counter(np.concatenate(list(langid.text_buckets(text or ""))).tolist()) == wanted
+
+
+@pytest.mark.parametrize("chunk", [1, 10, 100, 1 << 18])
+def test_batches_against_one_text_at_a_time(monkeypatch, chunk):
+    rnd = np.random.default_rng(1)
+    model = langid.Model(("a", "b", "c"), np.log(rnd.random((3, 1 << langid.BUCKET_BITS))).astype(np.float32))
+    wanted = [np.concatenate(list(langid.text_buckets(text or ""))) for text in TEXTS]
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    totals, grams, lettered = langid.score_texts(TEXTS, model)
+    assert grams.tolist() == [len(buckets) for buckets in wanted]
+    assert np.allclose(totals, [model.log_prob[:, buckets].sum(axis=1, dtype=np.float64) for buckets in wanted])
+    assert lettered.tolist() == [any(c.isalpha() for c in text or "") for text in TEXTS]
+    languages, scores = langid.predict_texts(TEXTS, model)
+    assert [x == "und" for x in languages] == [not x for x in lettered.tolist()] and (scores[~lettered] == 0).all()
+
+
+def test_many_languages(spark):
+    """As many languages as there are labels, 600 here; each text finds its own."""
+    words = ["".join(chr(97 + (i // 26**k + 7 * k) % 26) for k in range(5)) for i in range(600)]
+    rows = [(i, f"{w} {w[::-1]} {w}", f"l{i}", "s", 0) for i, w in enumerate(words)]
+    docs = cases.documents(spark, rows)
+    known = langid.train(docs)
+    assert len(known.languages) == 600
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(docs, known).collect()}
+    assert sum(found[i] == f"l{i}" for i in range(600)) > 590
+
+
+def test_rows_that_share_an_id_are_sampled_by_their_texts(spark):
+    rows = [(1, f"wort nummer {i} und", "de", "s", 0) for i in range(400)]
+    docs = cases.documents(spark, rows)
+    one = langid.train(docs, rows_per_language=100)
+    all_rows = langid.train(docs, rows_per_language=400)
+    counts = [np.exp(-m.log_prob[0].min()) for m in (one, all_rows)]  # grows with the n-grams learned from
+    assert 0.1 < counts[0] / counts[1] < 0.5
+
+
+def test_ties(spark):
+    rows = [(1, "gleich", "b", "s", 0), (2, "gleich", "a", "s", 0)]
+    known = langid.train(cases.documents(spark, rows))
+    assert langid.predict_texts(["gleich"], known)[0] == ["a"]
 
 
 def test_held_out_accuracy(spark):
