@@ -19,11 +19,15 @@ from siftmill.llm.license_texts import TEMPLATES
 TRIGGERS = ("licen", "copyright", "permission", "public domain", "redistribut")
 LEVEL = 3
 TOLERANCE = 0.1  # differing words, as a share of the template's
+LOOK_AHEAD = 8  # words after a notice in which it may go on
 
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _TRIGGER = re.compile("|".join(TRIGGERS))
 # Words that tell licences apart: a difference in one of them is another licence.
-_TELLING = frozenset("mit apache gnu gpl lgpl agpl bsd cc by sa nc nd mozilla mpl isc noncommercial sharealike noderivatives lesser affero not".split())
+_TELLING = frozenset(
+    "mit apache gnu gpl lgpl agpl bsd cc cc0 by sa nc nd mozilla mpl isc epl bsl unlicense noncommercial sharealike noderivatives lesser affero not "
+    "only later".split()
+)
 _NEVER = 1 << 20  # cost of a word that may not be missing or added
 
 
@@ -45,6 +49,7 @@ class _Template:
     def __init__(self, name: str, wording: str, plain: zstandard.ZstdCompressor):
         self.name, own = name, wording.lower().encode()
         content = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=LEVEL)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False)
         self.whole = max(len(plain.compress(own)) - len(self.compressor.compress(own)), 1)
         self.words = _WORD.findall(wording.lower())
@@ -94,10 +99,11 @@ class _Template:
 
 
 class Scanner:
-    """Compares the words around every trigger with all templates.
+    """Compresses the words around every trigger with all templates, and confirms in the order of what they save.
 
-    Of the templates whose wording is there, the one is taken that saves most of
-    the notice's compressed size when it is raw dictionary content.
+    The template that saves most of the block's compressed size, as raw
+    dictionary content, comes first. The first one whose wording is there, but for
+    differences that are allowed, is the notice.
     """
 
     def __init__(self, templates=TEMPLATES):
@@ -116,32 +122,60 @@ class Scanner:
         for trigger in _TRIGGER.finditer(lowered):
             if trigger.start() < done:
                 continue
-            notice = self._best(lowered, starts, done, trigger.start())
+            notice = self.best(lowered, starts, done, trigger.start())
             if notice is not None:
                 found.append(notice)
                 done = notice.end
         return found
 
-    def _best(self, text: str, starts: array, done: int, at: int) -> Notice | None:
+    def ranked(self, text: str, places: list[re.Match], number: int) -> list[tuple[int, _Template, int, int]]:
+        """Templates by what they save of the block they may stand in, most first: bytes, template, first and last word.
+
+        A template's block reaches as far to each side of word ``number`` as a
+        notice of its wording could. Of equals the one with the most of its own
+        comes last, as it has saved a smaller share.
+        """
+        plain: dict[tuple[int, int], int] = {}
+        found = []
+        for template in self.templates:
+            low, high = max(0, number - template.reach), min(len(places), number + template.reach + 1)
+            block = text[places[low].start() : places[high - 1].end()].encode("utf-8", "surrogatepass")
+            if (low, high) not in plain:
+                plain[low, high] = len(self.plain.compress(block))
+            found.append((plain[low, high] - len(template.compressor.compress(block)), template, low, high))
+        return sorted(found, key=lambda item: (-item[0], item[1].whole))
+
+    def best(self, text: str, starts: array, done: int, at: int) -> Notice | None:
+        """The notice around a trigger at ``at``, not beginning before ``done``."""
         number = bisect_right(starts, at) - 1
         first = max(bisect_left(starts, done), number - self.reach)
         places = [_WORD.match(text, start) for start in starts[first : number + self.reach + 1]]
-        words, number = [place[0] for place in places], number - first
-        best: tuple[tuple[int, int], Notice] | None = None
-        for template in self.templates:
-            low = max(0, number - template.reach)
-            near = words[low : number + template.reach + 1]
-            aligned = template.aligned(near, number - low) if template.possible(set(near)) else None
-            if aligned is None:
-                continue
-            start, end = places[low + aligned[0]].start(), places[low + aligned[1]].end()
-            block = text[start:end].encode("utf-8", "surrogatepass")
-            saved = len(self.plain.compress(block)) - len(template.compressor.compress(block))
-            rank = (saved, -template.whole)
-            if best is None or rank > best[0]:
+        number -= first
+        words = [place[0] for place in places]
+        seen = set(words)
+        if not any(template.possible(seen) for template in self.templates):
+            return None  # no ranking could confirm anything
+        for saved, template, low, high in self.ranked(text, places, number):
+            aligned = self.confirmed(template, words[low:high], number - low, words[high : high + LOOK_AHEAD])
+            if aligned is not None:
+                start, end = places[low + aligned[0]].start(), places[low + aligned[1]].end()
                 differences = tuple(f"-{w}" for w in aligned[2]) + tuple(f"+{w}" for w in aligned[3])
-                best = rank, Notice(template.name, start, end, saved, saved / template.whole, differences)
-        return best[1] if best else None
+                return Notice(template.name, start, end, saved, saved / template.whole, differences)
+        return None
+
+    @staticmethod
+    def confirmed(template: _Template, words: list[str], at: int, after: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+        """The exact differences in wording if they are allowed.
+
+        What names one version only is not confirmed where the text goes on
+        with later ones.
+        """
+        aligned = template.aligned(words, at) if template.possible(set(words)) else None
+        if aligned is not None and template.name.endswith("-only"):
+            following = [*words, *after][aligned[1] + 1 : aligned[1] + 1 + LOOK_AHEAD]
+            if following[:1] == ["or"] and "later" in following:
+                return None
+        return aligned
 
 
 def _tells(word: str) -> bool:
@@ -155,13 +189,14 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row per notice found: doc_id, license, start, end, saved_bytes, covered, differences.
 
     ``start`` and ``end`` are code points of the text. The words around those of
-    ``TRIGGERS`` are compared with all templates, in whole texts and over line
-    ends. A notice's wording differs from the template's in at most a tenth of
+    ``TRIGGERS`` are compressed with all templates, in whole texts and over line
+    ends, and wordings are compared in the order of what was saved, of equals
+    the template first that saves less of itself. A notice's wording differs from the template's in at most a tenth of
     the words, none of them a number or a licence's name; ``differences`` lists
     them, ``-`` missing and ``+`` added. ``saved_bytes`` is what the template
     saves of the notice's compressed size, ``covered`` that as a share of what
     it saves of its own. Null and empty texts have no notices; rows are independent:
-    repeats, null ids and other columns change nothing.
+    repeats, null ids and other columns change nothing, and an empty table has none.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
