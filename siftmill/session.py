@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import pathlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,8 @@ ADAPTIVE_SETTINGS = {
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch folder", default=None)
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Switch on the adaptive settings and pin the time zone of the session."""
@@ -49,7 +54,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where the
     setting is missing and the session is local is a temporary folder used.
+    Inside ``scratch`` it lies in the folder that is removed at the end.
     """
+    own = _scratch.get()
+    if own is not None:
+        return f"{own}/{purpose}-{uuid.uuid4().hex}"
     root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -59,6 +68,37 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything written inside lies in one folder of its own, which is removed at the end.
+
+    Results have to be used, or saved elsewhere, before that.
+    """
+    folder = shared_folder(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        delete_folder(spark, folder)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store it lies; one that is not there is no error."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import PySparkTypeError
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from siftmill.operators.keys import null_equal_join
 from siftmill.schemas import OBSERVATIONS, ORD, SOURCES, TIMINGS, empty
+from siftmill.session import written
+from siftmill.sources.footers import footer_verdict, footers
 
 FILE_ORDER = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
 
@@ -89,49 +91,46 @@ def check_parquet_files(
 ) -> DataFrame:
     """Table (file, reason): reason is null for files that have the schema's columns and types.
 
-    Footers are read in tasks: of local files directly, of all others through
-    Spark's own reader, so that every address Spark reads can be checked. Only
-    what is wrong with a file's format is a reason; that a file cannot be
-    reached is an error.
+    Footers are read in tasks, by ranges (``sources.footers``). Addresses that
+    only Spark's own readers can open go through these, which read whole files
+    of 2 GB at most. Only what is wrong with a file's format is a reason; that
+    a file cannot be reached is an error.
     """
-    reader = _reader(spark, None, glob, recursive).format("binaryFile")
+    ranged = footers(spark, path, schema, glob, recursive)
+    if ranged is not None:
+        return ranged.select("file", "reason")
     wanted = [(f.name, f.dataType.simpleString()) for f in schema.fields]
-    listing = reader.load(path)
-    local = F.col("path").startswith("file:/")
+    listing = _reader(spark, None, glob, recursive).format("binaryFile").load(path)
     # the last eight bytes of a file are the size of its footer and a mark
     size = F.conv(F.hex(F.reverse(F.substring("content", -8, 4))), 16, 10).cast("long")
     tail = F.when(F.length("content") >= size + 8, F.expr("substring(content, greatest(-length(content), -CAST(conv(hex(reverse(substring(content, -8, 4))), 16, 10) AS INT) - 8))"))
-    near = listing.where(local).select("path", F.lit(None).cast("binary").alias("tail"))
-    far = listing.where(~local).select("path", F.coalesce(tail, F.expr("substring(content, -8)")).alias("tail"))
+    tails = listing.select("path", F.coalesce(tail, F.expr("substring(content, -8)")).alias("tail"))
 
     def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            reasons = [_footer_problem(name, tail, wanted) for name, tail in zip(batch["path"], batch["tail"])]
-            yield pd.DataFrame({"file": batch["path"], "reason": reasons})
-
-    return near.unionByName(far).mapInPandas(inspect, "file string, reason string")
-
-
-def _footer_problem(path: str, tail: bytes | None, wanted: list[tuple[str, str]]) -> str | None:
-    """What is wrong with the format of a file, given the end of its bytes or, for a local one, its path."""
-    import pyarrow as pa
-    from pyarrow import parquet
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    try:
-        # a file that is nothing but its mark and footer has the same schema
-        source = pa.memory_map(path[len("file:") :]) if tail is None else pa.BufferReader(b"PAR1" + tail)
-        with source:
-            found = from_arrow_schema(parquet.read_schema(source), prefer_timestamp_ntz=True)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, PySparkTypeError) as problem:
-        return f"unreadable: {type(problem).__name__}"
-    except OSError as problem:
-        # Arrow reports a broken footer this way, too; system errors carry a number
-        if problem.errno is not None:
-            raise
-        return f"unreadable: {type(problem).__name__}"
-    columns = [(f.name, f.dataType.simpleString()) for f in found.fields]
-    return None if columns == wanted else "schema differs"
+            # a file that is nothing but its mark and footer has the same schema
+            verdicts = [footer_verdict(FileEnds(b"PAR1" + tail), "", wanted) for tail in batch["tail"]]
+            yield pd.DataFrame({"file": batch["path"], "reason": [reason for _, reason in verdicts]})
+
+    return tails.mapInPandas(inspect, "file string, reason string")
+
+
+class FileEnds:
+    """Stands for a store that holds one file, given by its bytes."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def open_input_file(self, path: str):
+        import pyarrow as pa
+
+        return pa.BufferReader(self.data)
+
+
+def plain_path(address: Column) -> Column:
+    """An address of ``_metadata.file_path`` as it was written: unescaped, local ones with a single slash."""
+    unescaped = F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(unescaped, "^file:/+", "file:/")
 
 
 def scan_checked(
@@ -143,13 +142,25 @@ def scan_checked(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that have the schema, and the other files with the reason.
 
-    The names of the accepted files pass through the driver, which keeps the
-    listing of a scan in any case. No file fits: an empty typed table.
+    The verdicts are written, so footers are read once. Only the names of
+    refused files pass through the driver: they are excluded by their path, a
+    test that Spark applies to its listing, so these files are never opened. The
+    listing is taken before the check, so every file of it has a verdict. No file
+    fits: an empty typed table.
     """
-    checked = check_parquet_files(spark, path, schema, glob, recursive)
-    accepted = [row.file for row in checked.where(F.col("reason").isNull()).select("file").collect()]
-    rows = scan_parquet(spark, sorted(accepted), schema, glob, recursive)
-    return rows, checked.where(F.col("reason").isNotNull())
+    rows = _reader(spark, schema, glob, recursive).parquet(path)
+    checked = written(check_parquet_files(spark, path, schema, glob, recursive), "checked-files")
+    refused = checked.where(F.col("reason").isNotNull())
+    if checked.where(F.col("reason").isNull()).isEmpty():
+        return scan_parquet(spark, [], schema, glob, recursive), refused
+    names = [row.file for row in refused.select(plain_name(F.col("file")).alias("file")).collect()]
+    if names:
+        rows = rows.where(~plain_path(F.col("_metadata.file_path")).isin(names))
+    return with_order(rows), refused
+
+
+def plain_name(file: Column) -> Column:
+    return F.regexp_replace(file, "^file:/+", "file:/")
 
 
 def scan_timings(spark: SparkSession, path: str, recursive: bool = False, glob: str = "*.parquet") -> DataFrame:
@@ -189,20 +200,29 @@ def scan_sources(
     return scan.select(F.lit(project).cast("string").alias("project"), relative.alias("path"), F.col("value").alias("content"))
 
 
-def changed_files(original: DataFrame, other: DataFrame, strict: bool = True) -> DataFrame:
-    """Files of two source tables that exist in both with different content: project, path.
+def digests(sources: DataFrame) -> DataFrame:
+    """Files of a source table with the SHA-256 of their content instead of it: project, path, digest."""
+    return sources.select("project", "path", F.sha2("content", 256).alias("digest"))
+
+
+def changed_digests(original: DataFrame, other: DataFrame, strict: bool = True) -> DataFrame:
+    """Files in both of two tables of digests that differ: project, path, digest, other_digest.
 
     A file of ``original`` that is missing on the other side is an error, or is
-    left out when not ``strict``. Only digests are shuffled, never contents.
+    left out when not ``strict``. Null and the empty name are different projects.
     """
-    def digests(sources: DataFrame, name: str) -> DataFrame:
-        return sources.select(
-            F.coalesce("project", F.lit("")).alias("project"), "path", F.sha2("content", 256).alias(name)
-        )
-
-    joined = digests(original, "__a").join(digests(other, "__b"), ["project", "path"], "left" if strict else "inner")
-    other_digest = F.col("__b")
+    renamed = other.withColumnRenamed("digest", "other_digest")
+    joined = null_equal_join(original, renamed, ["project", "path"], "left" if strict else "inner")
+    other_digest = F.col("other_digest")
     if strict:
         missing = F.raise_error(F.concat(F.lit("file is missing in the other tree: "), F.col("path"))).cast("string")
         other_digest = F.coalesce(other_digest, missing)
-    return joined.where(F.col("__a") != other_digest).select(F.nullif("project", F.lit("")).alias("project"), "path")
+    return joined.where(F.col("digest") != other_digest).select("project", "path", "digest", "other_digest")
+
+
+def changed_files(original: DataFrame, other: DataFrame, strict: bool = True) -> DataFrame:
+    """Files of two source tables that exist in both with different content: project, path.
+
+    See ``changed_digests``; only digests are shuffled, never contents.
+    """
+    return changed_digests(digests(original), digests(other), strict).select("project", "path")
