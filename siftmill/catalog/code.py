@@ -11,7 +11,7 @@ from siftmill.operators import hints, placement, reduce as reducers
 from siftmill.plans import jobs
 from siftmill.schemas import METRICS, OBS9, ORD, SITE6
 from siftmill.session import shared_folder, written
-from siftmill.sources import files, sinks
+from siftmill.sources import files, footers, sinks
 from siftmill.sources.python_code import fact_errors, source_facts
 
 EVENTS = T.StructType(
@@ -45,6 +45,14 @@ def rejected_files(spark, sf_dir: str) -> DataFrame:
     return checked.select(F.substring_index("file", "/", -1).alias("name"), "reason")
 
 
+def checked_ranges(spark, sf_dir: str) -> DataFrame:
+    """Per table of the folder its rows, as the footers of its files have them, and what is wrong with it."""
+    found = footers.footers(spark, sf_dir, EVENTS)
+    # a table is a file or a folder of files
+    name = F.regexp_extract("file", r"([^/]+\.parquet)(/[^/]+\.parquet)?$", 1)
+    return found.groupBy(name.alias("name")).agg(F.sum("rows").alias("n_rows"), F.max("reason").alias("reason"))
+
+
 def scanned_in_order(spark, sf_dir: str) -> DataFrame:
     """Write the view as several files, scan them, and compare the order with the files' order."""
     folder = shared_folder(spark, "observations")
@@ -167,6 +175,20 @@ def extracted(spark, sf_dir: str) -> DataFrame:
     return hints.source_hints(facts).drop("project", ORD)
 
 
+def _few(text: str) -> str:
+    """The same with 350 different files, however many there are."""
+    return text.replace("p_size", "(p_partkey % 5)")
+
+
+def shared_sources(spark, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("siftmill_part")
+    return spark.sql(_few(sources_sql()).replace("FROM part", "FROM siftmill_part"))
+
+
+def extracted_shared(spark, sf_dir: str) -> DataFrame:
+    return jobs.extract_hints(shared_sources(spark, sf_dir))["hints"].drop("project", ORD)
+
+
 def unparsed(spark, sf_dir: str) -> DataFrame:
     """Errors of source files, written next to the data and read back."""
     store = shared_folder(spark, "errors")
@@ -545,6 +567,14 @@ QUERIES = {
             "benchmark labels conversations".split()
         ) + "']) AS name, CASE WHEN name <> 'events.parquet' THEN 'schema differs' END AS reason",
     ),
+    "scan_checked_ranges": (
+        checked_ranges,
+        " UNION ALL ".join(
+            f"SELECT '{t}.parquet' AS name, count(*) AS n_rows, CASE WHEN '{t}' <> 'events' THEN 'schema differs' END AS reason FROM {t}"
+            for t in "region nation customer supplier part orders lineitem events documents embeddings pages "
+            "benchmark labels conversations".split()
+        ),
+    ),
     "scan_in_file_order": (
         scanned_in_order,
         f"{WITH_V} SELECT Filename, first(VarName ORDER BY _ord % 4, _ord) AS first, count(*) AS n FROM v GROUP BY Filename",
@@ -563,6 +593,7 @@ QUERIES = {
         whole_files,
         "SELECT lang, (sum(length(text)) + count(*))::BIGINT AS n_chars FROM documents GROUP BY lang",
     ),
+    "source_hints_shared": (extracted_shared, f"SELECT {_HINT_COLUMNS} FROM ({_few(hints_sql())})"),
     "source_hints": (extracted, f"SELECT {_HINT_COLUMNS} FROM ({hints_sql()})"),
     "source_errors": (
         unparsed,

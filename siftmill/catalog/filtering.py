@@ -8,7 +8,7 @@ from siftmill.catalog.reducing import WITH_V
 from siftmill.catalog.views import observed, table
 from siftmill.functions.hashing import content_hash
 from siftmill.functions.names import null_if_builtin, outermost, path_to_module, union_members
-from siftmill.functions.typenames import normalize_type, split_top_level
+from siftmill.functions import typenames
 from siftmill.operators import filters
 from siftmill.schemas import HINTS, OBS9, ORD, Category, category_name, conform
 
@@ -123,12 +123,25 @@ def type_names(spark, sf_dir: str) -> DataFrame:
 
 
 def normalized(spark, sf_dir: str) -> DataFrame:
-    return type_names(spark, sf_dir).select("event_id", normalize_type(F.col("name")).alias("normal"))
+    return typenames.with_normal_type(type_names(spark, sf_dir), "name").select("event_id", "normal")
 
 
 def split_names(spark, sf_dir: str) -> DataFrame:
-    parts = split_top_level(F.col("name"), "|")
-    return type_names(spark, sf_dir).select("event_id", F.size(parts).cast("long").alias("n_parts"), parts[0].alias("head"))
+    rows = typenames.with_parts(type_names(spark, sf_dir), "name")
+    return rows.select("event_id", F.size("parts").cast("long").alias("n_parts"), F.col("parts")[0].alias("head"))
+
+
+# every seventh name has a bracket too many or too few
+BROKEN_NAMES_SQL = f"""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'list[' || name WHEN event_id % 7 = 1 THEN name || ']' ELSE name END AS name
+FROM ({TYPE_NAMES_SQL})
+"""
+
+
+def broken_names(spark, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("siftmill_events")
+    rows = spark.sql(BROKEN_NAMES_SQL.replace("FROM events", "FROM siftmill_events"))
+    return typenames.name_errors(rows, "name")
 
 
 SPLIT_SQL = f"""
@@ -283,6 +296,10 @@ QUERIES = {
     ),
     "normalize_type": (normalized, NORMALIZED_SQL),
     "split_top_level": (split_names, SPLIT_SQL),
+    "normalize_type_errors": (
+        broken_names,
+        f"SELECT name, 'brackets do not match' AS error, count(*) AS n FROM ({BROKEN_NAMES_SQL}) WHERE event_id % 7 < 2 GROUP BY name",
+    ),
     "united_members": (
         united_members,
         """WITH r AS (SELECT event_id, 0::BIGINT AS place, 'm1' AS module, 'Outer' AS outer_type FROM events

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftmill.catalog.views import HIERARCHY_EDGES_SQL, OBSERVED_SQL, hierarchy, observed, table
 from siftmill.operators import reduce as reducers
-from siftmill.operators.hierarchy import hierarchy_from_edges
+from siftmill.operators.hierarchy import hierarchy_from_edges, update_hierarchy
 from siftmill.operators.keys import null_equal_join
 from siftmill.plans.pipeline import Chain, Configuration
 from siftmill.schemas import OBS9, ORD, SITE6, SITE7, TYPE2
+from siftmill.session import written
 
 _SITE6 = ", ".join(SITE6)
 _SITE7 = ", ".join(SITE7)
@@ -132,14 +133,24 @@ STRICT_CHAIN = ["without_tests", "distinct_rows", "to_seen_base", "distinct_rows
 UNION_CHAIN = ["without_tests", "common_enough", "distinct_rows", "joined", "distinct_rows", "earliest"]
 
 
+def united_members_of_sites(spark, sf_dir: str) -> DataFrame:
+    """Members of every site's union, one a row; sites with more members than allowed have an error instead."""
+    united, too_large = reducers.union_members(observed(spark, sf_dir), distinct=True, most=1)
+    rows = united.select(*SITE7, F.posexplode("members").alias("place", "m"))
+    rows = rows.select(*SITE7, F.col("place").cast("long").alias("place"), F.col("m.module").alias("TypeModule"), F.col("m.type").alias("Type"), F.lit(None).cast("string").alias("error"))
+    nothing = F.lit(None).cast("string")
+    errors = too_large.select(nothing.alias("Filename"), *SITE6, F.col("n_members").alias("place"), nothing.alias("TypeModule"), nothing.alias("Type"), "error")
+    return rows.unionByName(errors)
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     return Configuration.from_toml(CONFIGURATION).chain(FLAGSHIP_CHAIN)(observed(spark, sf_dir)).select(*_OBS9_NAMES)
 
 
-def _chain(names):
+def _chain(names, written_steps=False):
     def run(spark, sf_dir: str) -> DataFrame:
         chain = Configuration.from_toml(CONFIGURATION).chain(names)
-        return chain(observed(spark, sf_dir), hierarchy(spark)).select(*_OBS9_NAMES)
+        return chain(observed(spark, sf_dir), hierarchy(spark), written_steps=written_steps).select(*_OBS9_NAMES)
 
     return run
 
@@ -230,6 +241,30 @@ def deep_inheritance(spark, sf_dir: str) -> DataFrame:
     return bases.where(F.col("module") == "chain").select("type", F.size("bases").cast("long").alias("depth"))
 
 
+def updated_inheritance(spark, sf_dir: str) -> DataFrame:
+    """A stored hierarchy after some types changed their base, some were added and some removed."""
+    key = F.col("p_partkey")
+
+    def edges(base, prefix: str = "P"):
+        return table(spark, sf_dir, "part").select(
+            F.lit("parts").alias("module"),
+            F.concat(F.lit(prefix), key.cast("string")).alias("type"),
+            F.when(key > 0, "parts").alias("base_module"),
+            F.when(key > 0, F.concat(F.lit("P"), base.cast("string"))).alias("base_type"),
+            F.lit(0).alias("position"),
+        )
+
+    third = F.expr("p_partkey div 3")
+    added = F.substring("type", 2, 20).cast("long") % 90 == 11
+    old = edges(third).where(~added).unionByName(edges(third, "Q"))
+    new = edges(F.when(key % 50 == 7, F.expr("p_partkey div 5")).otherwise(third))
+    stored = written(hierarchy_from_edges(old)[0], "hierarchy")
+    bases, _ = update_hierarchy(stored, new, old)
+    return bases.where(F.col("module") == "parts").select("type", F.posexplode("bases").alias("place", "base")).select(
+        "type", F.col("place").cast("long").alias("place"), F.col("base.type").alias("base_type")
+    )
+
+
 INHERITANCE_SQL = """WITH RECURSIVE up AS (
    SELECT p_partkey, p_partkey AS base, 0::BIGINT AS place FROM part
    UNION ALL SELECT p_partkey, base // 3, place + 1 FROM up WHERE base > 0)
@@ -238,6 +273,10 @@ INHERITANCE_SQL = """WITH RECURSIVE up AS (
 
 QUERIES = {
     "hierarchy_from_edges": (inheritance, INHERITANCE_SQL),
+    "hierarchy_updated": (
+        updated_inheritance,
+        INHERITANCE_SQL.replace("base // 3", "CASE WHEN base % 50 = 7 THEN base // 5 ELSE base // 3 END"),
+    ),
     "hierarchy_deep": (
         deep_inheritance,
         "SELECT 'T' || p_partkey AS type, p_partkey % 20 + 2 AS depth FROM part",
@@ -264,6 +303,15 @@ QUERIES = {
         _over_view(reducers.union),
         f"{WITH_V} {union_sql('v', 'v', SITE6)}",
     ),
+    "unify_union_members": (
+        united_members_of_sites,
+        f"""{WITH_V}, d AS (SELECT {_SITE6}, TypeModule, Type, min(_ord) AS first_at FROM v GROUP BY {_SITE6}, TypeModule, Type),
+          m AS (SELECT *, row_number() OVER (PARTITION BY {_SITE6} ORDER BY first_at) - 1 AS place, count(*) OVER (PARTITION BY {_SITE6}) AS n FROM d),
+          f AS (SELECT DISTINCT {_SITE7} FROM v)
+        SELECT f.Filename, {', '.join('m.' + c for c in SITE6)}, place, TypeModule, Type, NULL::VARCHAR AS error
+        FROM f JOIN m ON {_same('f', 'm', SITE6)} WHERE n <= 1
+        UNION ALL SELECT DISTINCT NULL, {_SITE6}, n, NULL, NULL, 'more members than 1' FROM m WHERE n > 1""",
+    ),
     "unify_union_distinct": (
         _over_view(lambda df: reducers.union(df, distinct=True)),
         f"{WITH_V}, d AS (SELECT {_SITE6}, TypeModule, Type, min(_ord) AS _ord FROM v "
@@ -316,7 +364,7 @@ QUERIES = {
         b AS ({threshold_sql('a', 0.3)}), c AS ({DEDUP_SQL.format('b')}) {first_sql('c')}""",
     ),
     "chain_strict": (
-        _chain(STRICT_CHAIN),
+        _chain(STRICT_CHAIN, written_steps=True),
         f"""{WITH_VH} a AS (SELECT * FROM v WHERE NOT coalesce(FunctionName LIKE 'test\\_%' ESCAPE '\\', false)),
         b AS ({DEDUP_SQL.format('a')}), {replaced_sql('b', True)},
         c AS ({DEDUP_SQL.format('replaced')}) {mult_var_sql('c', 3)}""",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftmill.catalog.code import EVENTS
 from siftmill.catalog.reducing import WITH_V, first_sql, threshold_sql
 from siftmill.catalog.scoring import GATED_SQL
-from siftmill.catalog.views import observed_rows
+from siftmill.catalog.views import observed, observed_rows, table
 from siftmill.operators import reduce as reducers
 from siftmill.schemas import OBS9, ORD
 from siftmill.session import shared_folder
@@ -77,6 +77,28 @@ def incremental_first(spark, sf_dir: str) -> DataFrame:
     return reducers.keep_only_first(reducers.drop_min_threshold(_summary(spark, sf_dir), 0.3)).select(*OBS9, ORD)
 
 
+def _in_batches(spark, rows: DataFrame, parts: int = 4) -> DataFrame:
+    """The rows as a stream of several batches, in their order."""
+    folder = shared_folder(spark, "batches")
+    last = rows.agg(F.max(ORD)).first()[0] or 0
+    for part in range(parts):
+        own = rows.where((F.col(ORD) * parts >= part * (last + 1)) & (F.col(ORD) * parts < (part + 1) * (last + 1)))
+        own.coalesce(1).write.mode("append").parquet(folder)
+    return streams.read_stream(spark, folder, rows.schema, files_per_batch=1)
+
+
+def gated_by_batch(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias(ORD), (F.col("user_id") % 10).alias("loop"), "user_id", "event_type")
+    stream = _in_batches(spark, rows.withColumn("is_head", F.col("event_type") == "view"))
+    return batches.until_stable_loops_by_batch(stream, ["loop"], "is_head", ["user_id", "event_type"]).drop("is_head")
+
+
+def folded(spark, sf_dir: str) -> DataFrame:
+    folder, state = shared_folder(spark, "summary"), shared_folder(spark, "summary-state")
+    streams.fold_into(_in_batches(spark, observed(spark, sf_dir), parts=5), folder, state, every=2)
+    return streams.folded_summary(spark, folder)
+
+
 CHANGED_SQL = """SELECT user_id, variable, _ord, event_type FROM (
           SELECT event_id AS _ord, user_id, event_type, event_id % 3 AS variable,
             row_number() OVER w AS rn, lag(event_type) OVER w AS before FROM events
@@ -108,5 +130,7 @@ QUERIES = {
         lambda spark, sf_dir: _summary(spark, sf_dir),
         f"{WITH_V} SELECT {_OBS9}, count(*) AS _n, min(_ord) AS _ord FROM v GROUP BY {_OBS9}",
     ),
+    "stream_until_stable_by_batch": (gated_by_batch, GATED_SQL),
+    "stream_summary_folded": (folded, f"{WITH_V} SELECT {_OBS9}, count(*) AS _n, min(_ord) AS _ord FROM v GROUP BY {_OBS9}"),
     "stream_summary_unified": (incremental_first, f"{WITH_V}, u AS ({threshold_sql('v', 0.3)}) {first_sql('u')}"),
 }

@@ -10,7 +10,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Spellings of the two generic unions.
 UNION_NAMES = frozenset(["Union", "typing.Union"])
@@ -104,6 +104,71 @@ def normalize_text(text: str) -> str | None:
         return None
 
 
+@F.udtf(returnType="normal string, parts array<string>, error string", useArrow=False)
+class TypeNameForms:
+    """What there is to know about a type name: normal form, parts between marks outside brackets, what is wrong."""
+
+    def eval(self, name: str, mark: str):
+        try:
+            yield _render(name.replace(" ", "")), split_outside_brackets(name, mark), None
+        except ValueError as problem:
+            yield None, None, str(problem).split(":")[0]
+
+
+def is_bracketed(name: Column) -> Column:
+    return name.contains("[") | name.contains("]")
+
+
+def name_forms(df: DataFrame, name: str, mark: str = "|") -> DataFrame:
+    """Dictionary of the bracketed names in a column: name, normal, parts, error.
+
+    Every different name is parsed once, by a table function; only different
+    names reach Python. Names whose brackets do not match have an error.
+    """
+    names = df.where(is_bracketed(F.col(name))).select(F.col(name).alias("name")).distinct()
+    return names.lateralJoin(TypeNameForms(F.col("name").outer(), F.lit(mark)))
+
+
+def with_normal_type(df: DataFrame, name: str, out: str = "normal", forms: DataFrame | None = None) -> DataFrame:
+    """Add the normal form of a type name, null for a name that can't be parsed.
+
+    Built-in functions work on plain names and unions without brackets; the
+    normal forms of bracketed names are joined from ``name_forms``. Of the rows
+    that don't look anything up, none meets others by its name.
+    """
+    forms = name_forms(df, name) if forms is None else forms
+    known = forms.select(F.col("name").alias("__name"), F.col("normal").alias("__normal"))
+    looked_up = F.when(is_bracketed(F.col(name)), F.col(name))
+    joined = df.withColumn("__wanted", looked_up).join(known, F.col("__wanted") == F.col("__name"), "left")
+    flat = _flat_union(F.col(name))
+    normal = F.when(is_bracketed(F.col(name)), F.col("__normal")).when(F.col(name).contains("|"), flat).otherwise(F.col(name))
+    return joined.withColumn(out, normal).drop("__wanted", "__name", "__normal")
+
+
+def with_parts(df: DataFrame, name: str, mark: str = "|", out: str = "parts", forms: DataFrame | None = None) -> DataFrame:
+    """Add the parts of a name between marks outside brackets, null where brackets do not match."""
+    if len(mark) != 1:
+        raise ValueError("the mark is one character")
+    forms = name_forms(df, name, mark) if forms is None else forms
+    known = forms.select(F.col("name").alias("__name"), F.col("parts").alias("__parts"))
+    looked_up = F.when(is_bracketed(F.col(name)), F.col(name))
+    joined = df.withColumn("__wanted", looked_up).join(known, F.col("__wanted") == F.col("__name"), "left")
+    parts = F.when(is_bracketed(F.col(name)), F.col("__parts")).otherwise(F.split(F.col(name), re.escape(mark)))
+    return joined.withColumn(out, parts).drop("__wanted", "__name", "__parts")
+
+
+def name_errors(df: DataFrame, name: str) -> DataFrame:
+    """Names of a column that can't be parsed, with the reason and how many rows have them: name, error, n."""
+    wrong = name_forms(df, name).where(F.col("error").isNotNull()).select("name", "error")
+    counts = df.where(is_bracketed(F.col(name))).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(wrong, "name").select("name", "error", "n")
+
+
+def _flat_union(name: Column) -> Column:
+    """Normal form of a union without brackets."""
+    return F.array_join(F.array_sort(F.array_distinct(F.split(F.replace(name, F.lit(" ")), r"\|"))), " | ")
+
+
 @F.pandas_udf(T.StringType())
 def _normalize_bracketed(names: pd.Series) -> pd.Series:
     return pd.Series([None if name is None else normalize_text(name) for name in names], dtype=object)
@@ -114,13 +179,12 @@ def normalize_type(name: Column) -> Column:
 
     Plain names and unions without brackets stay with built-in functions; only
     bracketed names are worked on in Python, where names seen before are looked
-    up.
+    up. For large tables ``with_normal_type`` parses every different name once.
     """
-    bracketed = name.contains("[") | name.contains("]")
-    flat = F.array_join(F.array_sort(F.array_distinct(F.split(F.replace(name, F.lit(" ")), r"\|"))), " | ")
+    bracketed = is_bracketed(name)
     return (
         F.when(bracketed, _normalize_bracketed(F.when(bracketed, name)))
-        .when(name.contains("|"), flat)
+        .when(name.contains("|"), _flat_union(name))
         .otherwise(name)
     )
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftmill.schemas import HIERARCHY, TYPE_REF
-from siftmill.session import shared_folder
+from siftmill.session import shared_folder, written
 
 # Fixed value: the root of all types, a builtin.
 ROOT = "object"
@@ -48,93 +48,151 @@ def _lookup_order(own: pd.Series, bases: pd.Series, lines: pd.Series) -> pd.Seri
 
 
 _LINE = T.ArrayType(T.StringType())
-# A type with its lookup order or, for one with a single base, the part of it up to a type still open.
-_STEP = T.StructType(
+# A type with its lookup order.
+_SETTLED = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", _LINE)])
+# A type with a single base: the part of its order up to a type still open.
+_SINGLE = T.StructType(
+    [T.StructField("id", T.StringType()), T.StructField("above", _LINE), T.StructField("next", T.StringType())]
+)
+# A base of a type with several, with its order once that is known.
+_LINK = T.StructType(
     [
         T.StructField("id", T.StringType()),
+        T.StructField("base", T.StringType()),
+        T.StructField("position", T.LongType()),
         T.StructField("line", _LINE),
-        T.StructField("above", _LINE),
-        T.StructField("next", T.StringType()),
     ]
 )
 
 
-def _single_lines(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Types with one base: settled if ``next`` is known, else a jump to where ``next`` has got to.
+def _single_lines(rows: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Types with one base: those settled now, as ``next`` was in the round before, and the others after a jump.
 
     Jumps double in length, so a chain takes rounds as the logarithm of its
-    depth. A type that comes back to itself is on a cycle and drops out.
+    depth. A type whose ``next`` is settled in this round waits for it, so
+    nobody needs to look further back than one round. A type that comes back to
+    itself is on a cycle and drops out.
     """
-    settled = known.select(F.col("id").alias("next"), F.col("line").alias("rest"))
-    jumps = rows.select(F.col("id").alias("next"), F.col("above").alias("more"), F.col("next").alias("further"))
-    joined = rows.select("id", "above", "next").join(settled, "next", "left").join(jumps, "next", "left")
-    found, jump = F.col("rest").isNotNull(), F.col("rest").isNull() & F.col("further").isNotNull()
-    moved = joined.select(
+    settled = frontier.select(F.col("id").alias("next"), F.col("line").alias("rest"))
+    joined = rows.join(settled, "next", "left")
+    found = joined.where(F.col("rest").isNotNull()).select("id", F.concat("above", "rest").alias("line"))
+    waiting = joined.where(F.col("rest").isNull()).select("id", "above", "next")
+    jumps = waiting.select(F.col("id").alias("next"), F.col("above").alias("more"), F.col("next").alias("further"))
+    jumped = waiting.join(jumps, "next", "left")
+    far = F.col("further").isNotNull()
+    moved = jumped.select(
         "id",
-        F.when(found, F.concat("above", "rest")).alias("line"),
-        F.when(jump, F.concat("above", "more")).otherwise(F.col("above")).alias("above"),
-        F.when(jump, F.col("further")).otherwise(F.col("next")).alias("next"),
+        F.when(far, F.concat("above", "more")).otherwise(F.col("above")).alias("above"),
+        F.when(far, F.col("further")).otherwise(F.col("next")).alias("next"),
     )
-    return moved.where(F.col("line").isNotNull() | ~F.array_contains("above", F.col("next")))
+    return found, moved.where(~F.array_contains("above", F.col("next")))
 
 
-def _merged_lines(links: DataFrame, known: DataFrame) -> DataFrame:
-    """Types with several bases, all of them known by now: id, line."""
-    waiting = links.join(known.select("id"), "id", "left_anti")
-    with_lines = waiting.join(known.withColumnRenamed("id", "base"), "base", "left")
+def _merged_lines(links: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Types with several bases: those settled now, as all their bases are, and the links of the others."""
+    settled = frontier.select(F.col("id").alias("base"), F.col("line").alias("__line"))
+    filled = links.join(settled, "base", "left").select("id", "base", "position", F.coalesce("line", "__line").alias("line"))
     # a type's direct bases stand in one line of its source: the lists are short
-    ready = (
-        with_lines.groupBy("id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("line").alias("n_known"),
-            F.sort_array(F.collect_list(F.struct("position", "base", "line"))).alias("parts"),
-        )
-        .where(F.col("n") == F.col("n_known"))
+    grouped = filled.groupBy("id").agg(
+        F.count_if(F.col("line").isNull()).alias("open"),
+        F.sort_array(F.collect_list(F.struct("position", "base", "line"))).alias("parts"),
     )
+    ready = grouped.where("open = 0")
     bases, lines = F.transform("parts", lambda p: p["base"]), F.transform("parts", lambda p: p["line"])
-    return ready.select("id", _lookup_order(F.col("id"), bases, lines).alias("line")).where(F.col("line").isNotNull())
+    found = ready.select("id", _lookup_order(F.col("id"), bases, lines).alias("line")).where(F.col("line").isNotNull())
+    waiting = grouped.where("open > 0").select("id", F.inline("parts")).select(*_LINK.names)
+    return found, waiting
 
 
-def hierarchy_from_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hierarchy table and the types (module, type) that have none.
+def _settle(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Lookup orders (id, line) of all types of ``links`` (id, base, position) that have one, given those in ``known``.
 
-    ``edges`` has module, type, base_module, base_type, position; a type
-    without bases has one row with a null base. No order exists for types with
-    an unknown base, on a cycle, or whose bases contradict each other.
+    A round looks at what the round before has settled, and at what is still
+    open, never at all that is known.
     """
-    spark = edges.sparkSession
+    spark = links.sparkSession
     folder = shared_folder(spark, "hierarchy")
-    own = _type_id(F.col("module"), F.col("type")).alias("id")
-    base = _type_id(F.col("base_module"), F.col("base_type"))
-    links = edges.select(own, F.coalesce(base, F.lit(_ROOT_ID)).alias("base"), "position").where(F.col("id") != _ROOT_ID)
-    links.write.parquet(f"{folder}/links")
-    links = spark.read.parquet(f"{folder}/links")
-    counted = links.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("next"))
-    several = links.join(counted.where("n > 1").select("id"), "id", "left_semi")
-    root = spark.createDataFrame([(_ROOT_ID, [_ROOT_ID], None, None)], _STEP)
-    singles = counted.where("n = 1").select("id", F.lit(None).cast(_LINE).alias("line"), F.array("id").alias("above"), "next")
-    root.unionByName(singles).write.parquet(f"{folder}/steps/round=0")
 
+    def put(rows: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+        rows.select(*schema.names).write.parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    counted = links.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("next"))
+    singles = put(counted.where("n = 1").withColumn("above", F.array("id")), _SINGLE, "singles/round=0")
+    several = links.join(counted.where("n > 1").select("id"), "id", "left_semi").withColumn("line", F.lit(None).cast(_LINE))
+    several = put(several.withColumn("position", F.col("position").cast("long")), _LINK, "several/round=0")
+    frontier = known
     # each round before the last settles a type at least
     for number in itertools.count(1):
-        known = spark.read.schema(_STEP).parquet(f"{folder}/steps").where("line IS NOT NULL").select("id", "line")
-        last = spark.read.schema(_STEP).parquet(f"{folder}/steps/round={number - 1}").where("line IS NULL")
-        step = _single_lines(last, known).unionByName(_merged_lines(several, known), allowMissingColumns=True)
-        step.select(*_STEP.names).write.parquet(f"{folder}/steps/round={number}")
-        if spark.read.schema(_STEP).parquet(f"{folder}/steps/round={number}").where("line IS NOT NULL").isEmpty():
+        by_one, singles_left = _single_lines(singles, frontier)
+        by_several, several_left = _merged_lines(several, frontier)
+        settled = put(by_one.unionByName(by_several), _SETTLED, f"settled/round={number}")
+        if settled.isEmpty():
             break
+        singles = put(singles_left, _SINGLE, f"singles/round={number}")
+        several = put(several_left, _LINK, f"several/round={number}")
+        frontier = settled
+    return spark.read.schema(_SETTLED).parquet(f"{folder}/settled/round=*")
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    own = _type_id(F.col("module"), F.col("type")).alias("id")
+    base = _type_id(F.col("base_module"), F.col("base_type"))
+    links = edges.select(own, F.coalesce(base, F.lit(_ROOT_ID)).alias("base"), "position").where(F.col("id") != _ROOT_ID)
+    return written(links, "links")
 
-    known = spark.read.schema(_STEP).parquet(f"{folder}/steps").where("line IS NOT NULL").select("id", "line")
 
-    def reference(type_id: Column) -> Column:
-        module = F.nullif(F.substring_index(type_id, ":", 1), F.lit(""))
-        return F.struct(module.alias("module"), F.substring_index(type_id, ":", -1).alias("type")).cast(TYPE_REF)
+def _reference(type_id: Column) -> Column:
+    module = F.nullif(F.substring_index(type_id, ":", 1), F.lit(""))
+    return F.struct(module.alias("module"), F.substring_index(type_id, ":", -1).alias("type")).cast(TYPE_REF)
 
-    table = known.select(
-        reference(F.col("id"))["module"].alias("module"),
-        reference(F.col("id"))["type"].alias("type"),
-        F.transform("line", reference).alias("bases"),
+
+def _as_table(known: DataFrame) -> DataFrame:
+    return known.select(
+        _reference(F.col("id"))["module"].alias("module"),
+        _reference(F.col("id"))["type"].alias("type"),
+        F.transform("line", _reference).alias("bases"),
     ).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HIERARCHY.fields])
-    missing = links.select("id").groupBy("id").agg(F.lit(1).alias("one")).join(known.select("id"), "id", "left_anti")
-    return table, missing.select(reference(F.col("id"))["module"].alias("module"), reference(F.col("id"))["type"].alias("type"))
+
+
+def _without_order(links: DataFrame, known: DataFrame) -> DataFrame:
+    missing = links.select("id").distinct().join(known.select("id"), "id", "left_anti")
+    return missing.select(_reference(F.col("id"))["module"].alias("module"), _reference(F.col("id"))["type"].alias("type"))
+
+
+def hierarchy_from_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hierarchy table and the types (module, type) that have none.
+
+    ``edges`` has module, type, base_module, base_type, position; a type
+    without bases has one row with a null base. No order exists for types with
+    an unknown base, on a cycle, or whose bases contradict each other.
+    """
+    links = _links(edges)
+    root = edges.sparkSession.createDataFrame([(_ROOT_ID, [_ROOT_ID])], _SETTLED)
+    known = root.unionByName(_settle(links, root))
+    return _as_table(known), _without_order(links, known)
+
+
+def update_hierarchy(hierarchy: DataFrame, edges: DataFrame, old_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hierarchy_from_edges(edges)``, given the hierarchy of ``old_edges``.
+
+    Worked out anew are the types whose bases differ between the two edge
+    tables, everything that had one of them in its lookup order, and types that
+    had no order. All others keep theirs and are only read.
+    """
+    links, old_links = _links(edges), _links(old_edges)
+
+    def bases(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "base"))).alias(name))
+
+    compared = bases(links, "now").join(bases(old_links, "before"), "id", "full")
+    changed = compared.where(~F.col("now").eqNullSafe(F.col("before"))).select("id")
+    base_ids = F.transform("bases", lambda b: _type_id(b["module"], b["type"]))
+    stored = hierarchy.select(_type_id(F.col("module"), F.col("type")).alias("id"), base_ids.alias("line"))
+    below = stored.select("id", F.explode("line").alias("base")).join(changed.withColumnRenamed("id", "base"), "base", "left_semi").select("id")
+    without = links.select("id").join(stored, "id", "left_anti")
+    affected = written(changed.unionByName(below).unionByName(without).distinct(), "affected")
+    kept = stored.join(affected, "id", "left_anti")
+    settled = _settle(written(links.join(affected, "id", "left_semi"), "links"), written(kept, "kept"))
+    known = kept.unionByName(settled)
+    return _as_table(known), _without_order(links, known)

@@ -126,6 +126,14 @@ def source_hints(facts: DataFrame) -> DataFrame:
     )
 
 
+def hints_at_paths(hints: DataFrame, files: DataFrame) -> DataFrame:
+    """Hints of contents, whose file name is a digest, for all files (project, path, digest) with that content."""
+    own = hints.drop("project").withColumnRenamed("Filename", "digest").withColumn(ORD, F.col(f"{ORD}.place"))
+    joined = files.join(own, "digest")
+    rest = [c for c in joined.columns if c not in ("digest", "project", "path", ORD)]
+    return joined.select("project", F.col("path").alias("Filename"), *rest, F.struct(F.col("path").alias("file"), F.col(ORD).alias("place")).alias(ORD))
+
+
 def source_sites(facts: DataFrame) -> DataFrame:
     """Places that can carry a hint, in the layout ``operators.placement`` works on."""
     return facts.where(F.col("kind").startswith("site:")).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmill.operators.filters import has_original, map_filenames
 from siftmill.operators.keys import null_equal_join
@@ -14,6 +14,12 @@ from siftmill.schemas import HINT6, METRICS, ORD
 _OCC = "__occurrence"
 _OCC2 = "__occurrence2"
 _AT = "__at"
+_HASH = "__hash"
+_BUCKET = "__bucket"
+
+HEAT_BUCKETS = 1 << 14
+HEAT_FACTOR = 4  # a hot bucket has more than so many times the average
+HOT_ROWS = 2_000_000
 
 
 def _of_side(side: str, value: Column) -> Column:
@@ -35,10 +41,19 @@ def match_exact(
     row with many copies spreads over all tasks. The join is a grouping of both
     sides' rows. ``side`` tells: ``both``, ``original`` or ``generated``.
     """
-    def tagged(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*keys, label, F.col(order).alias(_AT), F.lit(side).alias("side"))
+    return _exact_pairs(_tagged(original, generated, keys, label, order), keys, label, chunk_rows)
+
+
+def _tagged(original: DataFrame, generated: DataFrame, keys: Sequence[str], label: str, order: str) -> DataFrame:
+    """Rows of both sides with ``__at``, their order, and ``side``."""
+    sides = [
+        df.select(*keys, label, F.col(order).alias(_AT), F.lit(side).alias("side"))
+        for side, df in (("original", original), ("generated", generated))
+    ]
+    return sides[0].unionByName(sides[1])
+
 
-    rows = tagged(original, "original").unionByName(tagged(generated, "generated"))
+def _exact_pairs(rows: DataFrame, keys: Sequence[str], label: str, chunk_rows: int) -> DataFrame:
     numbered = occurrence_number(rows, [*keys, label, "side"], _OCC, _AT, chunk_rows)
     paired = numbered.groupBy(*keys, label, _OCC).agg(
         _of_side("original", F.col(_AT)).alias("_ord_original"),
@@ -95,6 +110,7 @@ def match_hints(
     null_types: str = "match",
     nested_occurrence: bool = False,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Metric rows: every original and generated hint, matched one to one.
 
@@ -105,34 +121,94 @@ def match_hints(
     ``null_types="ignore"`` leaves the scores of pairs without any type null.
     ``nested_occurrence`` numbers leftovers within their first number, which
     lets one row meet several.
+
+    Rows are dealt out by key once, and both numberings and both pairings work
+    on what a task has got. Keys with so many rows that a task should not have
+    them all (``hot_rows``, beside a multiple of what keys have on average) are
+    told by a count of rows per hash bucket, and are numbered in chunks.
     """
     if null_types not in ("match", "ignore"):
         raise ValueError(f"null_types must be match or ignore, not {null_types}")
     if filenames is not None:
         generated = map_filenames(generated, filenames, file)
-    paired = match_exact(original, generated, keys, label, order, chunk_rows)
-    comparable = F.lit(True) if null_types == "match" else F.when(F.col(label).isNotNull(), F.lit(True))
-    both = paired.where(F.col("side") == "both").select(
+    rows = _tagged(original, generated, keys, label, order)
+    if nested_occurrence:
+        pairs = _pairs_in_chunks(rows, keys, label, True, chunk_rows)
+    else:
+        cold, hot = split_by_heat(rows, keys, hot_rows)
+        pairs = _pairs_by_key(cold, keys, label).unionByName(_pairs_in_chunks(hot, keys, label, False, chunk_rows))
+    comparable = F.lit(True) if null_types == "match" else F.when(F.col("OriginalType").isNotNull(), F.lit(True))
+    has_type, exact = F.col("OriginalType").isNotNull(), F.col("__exact")
+    return pairs.select(
         *keys,
-        F.col(label).alias("OriginalType"),
-        F.col(label).alias("GeneratedType"),
-        comparable.alias("Completeness"),
-        comparable.alias("Correctness"),
+        "OriginalType",
+        "GeneratedType",
+        F.when(exact, comparable).when(has_type, F.col("GeneratedType").isNotNull()).alias("Completeness"),
+        F.when(exact, comparable).when(has_type, F.lit(False)).alias("Correctness"),
         "_ord_original",
         "_ord_generated",
     )
-    rest = match_by_key(paired.where(F.col("side") != "both"), keys, label, nested_occurrence, chunk_rows)
-    has_type = F.col("OriginalType").isNotNull()
-    scored = rest.select(
+
+
+def split_by_heat(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys that one task may have all rows of, and the rows of the others.
+
+    Counted are hash buckets of keys, so what is broadcast is bounded: a
+    quarter of ``HEAT_BUCKETS`` numbers at most, as each hot bucket has several times the average.
+    """
+    bucketed = rows.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(HEAT_BUCKETS)))
+    counts = bucketed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    average = F.sum("__n").over(Window.partitionBy()) / HEAT_BUCKETS
+    hot = counts.withColumn("__average", average).where(F.col("__n") > hot_rows + HEAT_FACTOR * F.col("__average")).select(_BUCKET)
+    cold = bucketed.join(F.broadcast(hot), _BUCKET, "left_anti")
+    return cold.drop(_BUCKET), bucketed.join(F.broadcast(hot), _BUCKET, "left_semi").drop(_BUCKET)
+
+
+def _pairs_by_key(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Both pairings within the tasks that hold the rows of a key: one shuffle by the key's hash."""
+    dealt = rows.withColumn(_HASH, F.xxhash64(*keys)).repartition(_HASH)
+    copies = Window.partitionBy(_HASH, *keys, label, "side").orderBy(_AT)
+    met = (
+        dealt.withColumn(_OCC, F.row_number().over(copies))
+        .groupBy(_HASH, *keys, label, _OCC)
+        .agg(_of_side("original", F.col(_AT)).alias("__original"), _of_side("generated", F.col(_AT)).alias("__generated"))
+        .withColumn("__exact", F.col("__original").isNotNull() & F.col("__generated").isNotNull())
+    )
+    # what is left is numbered per key and side; exact pairs keep their own number and label
+    rest = Window.partitionBy(_HASH, *keys, "__exact", F.col("__original").isNull()).orderBy(F.coalesce("__original", "__generated"))
+    placed = met.withColumn(_OCC2, F.when(~F.col("__exact"), F.row_number().over(rest)))
+    own = F.struct(F.when(F.col("__exact"), F.col(label)).alias("label"), F.when(F.col("__exact"), F.col(_OCC)).alias("n"), _OCC2)
+    sides = [
+        F.max(F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("at"), F.col(label).alias("label")))).alias(at)
+        for at in ("__original", "__generated")
+    ]
+    return (
+        placed.groupBy(_HASH, *keys, "__exact", own.alias("__own"))
+        .agg(*sides)
+        .select(
+            *keys,
+            F.col("__original.label").alias("OriginalType"),
+            F.col("__generated.label").alias("GeneratedType"),
+            F.col("__original.at").alias("_ord_original"),
+            F.col("__generated.at").alias("_ord_generated"),
+            "__exact",
+        )
+    )
+
+
+def _pairs_in_chunks(rows: DataFrame, keys: Sequence[str], label: str, nested_occurrence: bool, chunk_rows: int) -> DataFrame:
+    """Both pairings with numbers given in chunks of the order: no key meets in one task."""
+    paired = _exact_pairs(rows, keys, label, chunk_rows)
+    both = paired.where(F.col("side") == "both").select(
         *keys,
-        "OriginalType",
-        "GeneratedType",
-        F.when(has_type, F.col("GeneratedType").isNotNull()).alias("Completeness"),
-        F.when(has_type, F.lit(False)).alias("Correctness"),
+        F.col(label).alias("OriginalType"),
+        F.col(label).alias("GeneratedType"),
         "_ord_original",
         "_ord_generated",
+        F.lit(True).alias("__exact"),
     )
-    return both.unionByName(scored)
+    rest = match_by_key(paired.where(F.col("side") != "both"), keys, label, nested_occurrence, chunk_rows)
+    return both.unionByName(rest.withColumn("__exact", F.lit(False)))
 
 
 def in_report_order(metrics: DataFrame) -> DataFrame:

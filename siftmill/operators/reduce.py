@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmill.operators.keys import null_equal_join
 from siftmill.operators.ordered import order_chunk
@@ -24,6 +24,8 @@ IGNORED_BASE_MODULES = ["abc"]
 
 UNION_CHUNK_ROWS = 100_000
 EXPAND_COPIES = 10_000
+BASE_SALTS = 64
+MAX_MEMBERS = 1_000_000  # of one site in one cell: some 50 MB
 
 
 def compact(df: DataFrame, keys: Sequence[str] = (*SITE7, *TYPE2), order: str = ORD) -> DataFrame:
@@ -178,6 +180,53 @@ def union(
     return null_equal_join(files, texts, keys).select(*sites, *types, order)
 
 
+def union_members(
+    df: DataFrame,
+    distinct: bool = False,
+    include_file: bool = False,
+    most: int = MAX_MEMBERS,
+    sites: Sequence[str] = SITE7,
+    types: Sequence[str] = TYPE2,
+    order: str = ORD,
+) -> tuple[DataFrame, DataFrame]:
+    """The union of a site's types as a column ``members`` of (module, type), and the sites too large for that.
+
+    Members are those of ``union``, in the same order; ``member_text`` writes
+    them out. They are one cell, so a site with more than ``most`` members is
+    never gathered: it is counted first, and goes to the second table, with the
+    site's columns, ``n_members`` and an ``error``.
+    """
+    keys = list(sites) if include_file else list(sites[1:])
+    if distinct:
+        rows = dedup(df, [*keys, *types], order)
+    elif WEIGHT in df.columns:
+        raise ValueError("a union with repeated members needs single rows: dedup first, or use distinct=True")
+    else:
+        rows = df
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
+    too_many = sizes.where(F.col("n_members") > most)
+    fitting = null_equal_join(rows, too_many.select(*keys), keys, "left_anti")
+    member = F.struct(F.col(order).alias("at"), F.col(types[0]).alias("module"), F.col(types[1]).alias("type"))
+    listed = F.transform(F.array_sort(F.collect_list(member)), lambda m: F.struct(m["module"].alias("module"), m["type"].alias("type")))
+    members = fitting.groupBy(*keys).agg(listed.alias("members"))
+    files = df.groupBy(sites[0], *[k for k in keys if k != sites[0]]).agg(F.min(order).alias(order))
+    united = null_equal_join(files, members, keys).select(*sites, "members", order)
+    error = F.concat(F.lit("more members than "), F.lit(most).cast("string"))
+    return united, too_many.withColumn("error", error)
+
+
+def member_text(united: DataFrame, types: Sequence[str] = TYPE2) -> DataFrame:
+    """Write the members of a union out as text: modules ``m,n``, types ``A | B``; one member as it is."""
+    modules = F.array_join(F.transform("members", lambda m: F.coalesce(m["module"], F.lit(""))), ",")
+    single = F.size("members") == 1
+    return united.withColumns(
+        {
+            types[0]: F.when(single, F.col("members")[0]["module"]).otherwise(modules),
+            types[1]: F.array_join(F.transform("members", lambda m: m["type"]), " | "),
+        }
+    ).drop("members")
+
+
 def common_bases(
     df: DataFrame,
     hierarchy: DataFrame,
@@ -185,12 +234,18 @@ def common_bases(
     types: Sequence[str] = TYPE2,
     order: str = ORD,
     on_unknown: str = "error",
+    salts: int = BASE_SALTS,
 ) -> DataFrame:
-    """Nearest common base of every group of types: ``keys``, ``base``.
+    """Nearest common base of every group of types: ``keys``, ``base``, ``n_types``.
 
-    A base counts as common when as many types have it as the group has types,
-    so no list of a group's types is ever built. Of the common bases the first
-    one in the shortest list wins, the earliest list among equally short ones.
+    Of the common bases the first one in the shortest list wins, the earliest
+    list among equally short ones. Groups without a common base are left out.
+
+    What a set of types needs to be known for is small, whatever its size: its
+    shortest list, the bases all its lists have, and the number of types. Types
+    are dealt out to ``salts`` parts of a group, and the parts' states are
+    intersected; so a part holds at most that share of the hierarchy's types, and
+    nothing is exploded, counted per base and joined back.
     """
     module, label = types
     if on_unknown not in ("error", "keep"):
@@ -205,28 +260,35 @@ def common_bases(
     listed = null_equal_join(distinct, lists, types, "left")
     if on_unknown == "error":
         name = F.concat_ws(".", F.col(module), F.col(label))
-        missing = F.raise_error(F.concat(F.lit("type is not in the hierarchy: "), name))
-        listed = listed.withColumn("__bases", F.coalesce(F.col("__bases"), missing.cast(listed.schema["__bases"].dataType)))
-    rank = F.struct(F.size("__bases"), F.col("__first"))
-    groups = listed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__types"),
-        F.count_if(F.coalesce(F.size("__bases"), F.lit(0)) > 0).alias("__usable"),
-        F.min_by("__bases", rank).alias("__shortest"),
-    )
-    usable = groups.where(F.col("__types") == F.col("__usable")).drop("__usable")
-    shared = (
-        listed.select(*keys, F.explode("__bases").alias("__base"))
-        .groupBy(*keys, "__base")
-        .agg(F.count(F.lit(1)).alias("__having"))
-    )
-    place = F.array_position("__shortest", F.col("__base"))
-    return (
-        null_equal_join(shared, usable, keys)
-        .where(F.col("__having") == F.col("__types"))
-        .withColumn("__place", place)
-        .groupBy(*keys)
-        .agg(F.min_by("__base", "__place").alias("base"), F.first("__types").alias("n_types"))
+        unknown = F.raise_error(F.concat(F.lit("type is not in the hierarchy: "), name)).cast(listed.schema["__bases"].dataType)
+    else:
+        unknown = F.array().cast(listed.schema["__bases"].dataType)
+    bases = F.coalesce(F.col("__bases"), unknown)
+    # a list that is empty comes first and leaves nothing in common
+    rank = F.struct(F.size("__bases").alias("size"), F.col("__first").alias("first"))
+    ranked = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("__bases").alias("shared"))))
+    parts = (
+        listed.withColumn("__bases", bases)
+        .groupBy(*keys, F.pmod(F.xxhash64(*types), F.lit(salts)).alias("__salt"))
+        .agg(ranked.alias("__lists"))
+        .select(
+            *keys,
+            F.size("__lists").cast("long").alias("__types"),
+            F.struct(
+                F.col("__lists")[0]["rank"].alias("rank"),
+                F.col("__lists")[0]["shared"].alias("shortest"),
+                _in_common(F.col("__lists")).alias("shared"),
+            ).alias("__part"),
+        )
     )
+    groups = parts.groupBy(*keys).agg(F.sum("__types").alias("n_types"), F.array_sort(F.collect_list("__part")).alias("__parts"))
+    first = F.get(_in_common(F.col("__parts"), "shortest"), F.lit(0)).alias("base")
+    return groups.select(*keys, first, "n_types").where(F.col("base").isNotNull())
+
+
+def _in_common(ranked: Column, start: str = "shared") -> Column:
+    """What all lists have, in the order of the first one."""
+    return F.aggregate(ranked, ranked[0][start], lambda found, item: F.array_intersect(found, item["shared"]))
 
 
 def unify_subtypes(

@@ -12,8 +12,8 @@ from siftmill.operators.reduce import dedup
 from siftmill.plans.pipeline import Chain
 from siftmill.schemas import HINT6, OBS9, ORD
 from siftmill.session import written
-from siftmill.sources.files import changed_files
-from siftmill.sources.python_code import fact_errors, source_facts
+from siftmill.sources.files import changed_digests, digests
+from siftmill.sources.python_code import content_facts, fact_errors, source_facts
 
 
 def observe(
@@ -56,6 +56,20 @@ def unify(observations: DataFrame, chain: Chain, hierarchy: DataFrame | None = N
     return chain(observations, hierarchy)
 
 
+def extract_hints(sources: DataFrame) -> dict[str, DataFrame]:
+    """``hints`` and ``errors`` of a source table, in which many files may have the same content.
+
+    Python parses every different content once.
+    """
+    listed = written(digests(sources), "digests")
+    facts = written(content_facts(sources), "facts")
+    errors = fact_errors(facts).drop("project").withColumnRenamed("Filename", "digest").join(listed, "digest")
+    return {
+        "hints": hints.hints_at_paths(hints.source_hints(facts), listed),
+        "errors": errors.select("project", F.col("path").alias("Filename"), "line", "error"),
+    }
+
+
 def place(
     sources: DataFrame, unified: DataFrame, strategy: str = "inline", strict: bool = True
 ) -> dict[str, DataFrame]:
@@ -88,29 +102,27 @@ def evaluate(
     project. Observations apply to the files of their ``project``, where they
     have that column, and otherwise to every project's file of that name.
 
-    Only observed files whose content differs are read, both sides in one pass.
-    The facts of the files and the hints from them are written tables. Gives
+    Files are compared by digest. Of the observed ones that differ, every
+    different content is parsed once, over both sides and all projects; its facts
+    and hints are written tables, and files get them by digest. Gives
     ``metrics``, ``totals``, ``files``, ``errors`` and, if handed in,
     ``timings``.
     """
     own = [c for c in ("project",) if c in observations.columns]
     observed = observations.groupBy(*own, F.col("Filename").alias("path")).agg(F.lit(1).alias("__one")).drop("__one")
-    before = null_equal_join(original, observed, [*own, "path"], "left_semi")
-    after = null_equal_join(generated, observed, [*own, "path"], "left_semi")
-    # small: without contents, and read once for each side
-    changed = written(changed_files(before, after, strict), "changed")
-
-    def side(sources: DataFrame, name: str) -> DataFrame:
-        # a file's side is part of its project, so that both sides go one way together
-        chosen = null_equal_join(sources, changed, ["project", "path"], "left_semi")
-        return chosen.withColumn("project", F.concat(F.lit(f"{name}:"), F.coalesce("project", F.lit(""))))
-
-    def apart(rows: DataFrame) -> DataFrame:
-        own_project = F.nullif(F.substr(F.col("project"), F.instr("project", ":") + 1), F.lit(""))
-        return rows.withColumns({"side": F.substring_index("project", ":", 1), "project": own_project})
-
-    facts = written(source_facts(side(original, "original").unionByName(side(generated, "generated")), spread=True), "facts")
-    found = apart(written(hints.source_hints(facts), "hints"))
+    before = null_equal_join(digests(original), observed, [*own, "path"], "left_semi")
+    after = null_equal_join(digests(generated), observed, [*own, "path"], "left_semi")
+    changed = written(changed_digests(before, after, strict), "changed")
+    sides = F.explode(F.array(
+        F.struct(F.lit("original").alias("side"), F.col("digest")),
+        F.struct(F.lit("generated").alias("side"), F.col("other_digest").alias("digest")),
+    ))
+    listed = changed.select("project", "path", sides.alias("s")).select("project", "path", "s.*")
+    wanted = listed.select(F.col("digest").alias("path")).distinct()
+    both = original.select("content").unionByName(generated.select("content"))
+    facts = written(content_facts(both, wanted), "facts")
+    found = hints.hints_at_paths(written(hints.source_hints(facts), "hints"), listed)
+    errors = fact_errors(facts).drop("project").withColumnRenamed("Filename", "digest").join(listed, "digest")
     metrics = matching.match_hints(
         found.where(F.col("side") == "original").drop("side"),
         found.where(F.col("side") == "generated").drop("side"),
@@ -121,7 +133,7 @@ def evaluate(
         "metrics": metrics,
         "totals": matching.total_scores(metrics),
         "files": matching.file_rates(metrics, ["project", "Filename"]),
-        "errors": fact_errors(apart(facts), "side"),
+        "errors": errors.select("side", "project", F.col("path").alias("Filename"), "line", "error"),
     }
     if timings is not None:
         results["timings"] = timings

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from siftmill.operators import filters, reduce as reducers
 from siftmill.schemas import WEIGHT
+from siftmill.session import written
 
 Unifier = Callable[..., DataFrame]
 
@@ -24,6 +25,8 @@ _UNIFIERS: dict[str, Unifier] = {}
 _KEEP_WEIGHTS = {"drop_test", "drop_min_threshold", "drop_mult_var"}
 _LEAVE_DISTINCT = {"dedup", "keep_only_first", "unify_subty", "union"}
 _COLLAPSE_WEIGHTS = _LEAVE_DISTINCT - {"union"}
+# Unifiers that join what they found out about a site back to its rows.
+_READ_AGAIN = {"drop_min_threshold", "drop_mult_var", "unify_subty", "union"}
 
 
 def unifier(kind: str) -> Callable[[Unifier], Unifier]:
@@ -144,7 +147,7 @@ class Step:
 
 @dataclass
 class Chain:
-    """Unifiers applied one after the other, as one lazy plan."""
+    """Unifiers applied one after the other, as one lazy plan unless asked to write steps."""
 
     steps: list[Step] = field(default_factory=list)
 
@@ -152,11 +155,15 @@ class Chain:
         self.steps.append(Step(kind, parameters))
         return self
 
-    def __call__(self, df: DataFrame, hierarchy: DataFrame | None = None, compacted: bool = True) -> DataFrame:
+    def __call__(self, df: DataFrame, hierarchy: DataFrame | None = None, compacted: bool = True, written_steps: bool = False) -> DataFrame:
         """Apply the steps. ``compacted=False`` applies them just as they stand.
 
         Otherwise duplicates are brought to multiplicities as soon as that
         changes nothing, and a ``dedup`` of distinct rows is left out.
+
+        With ``written_steps``, compacted rows are a written table wherever a
+        step reads them more than once: the observations are scanned once,
+        however long the chain is, and building the chain runs these steps.
         """
         if not compacted:
             return reduce(lambda frame, step: step.apply(frame, hierarchy), self.steps, df)
@@ -166,6 +173,8 @@ class Chain:
                 df = reducers.compact(df)
             if step.kind == "dedup" and distinct:
                 continue
+            if written_steps and step.kind in _READ_AGAIN and (distinct or WEIGHT in df.columns):
+                df = written(df, f"chain-{place}")
             df = step.apply(df, hierarchy)
             distinct = step.kind in _LEAVE_DISTINCT or (distinct and step.kind in _KEEP_WEIGHTS)
         return df

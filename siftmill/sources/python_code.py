@@ -245,6 +245,20 @@ def source_facts(sources: DataFrame, spread: bool = False) -> DataFrame:
     return files.mapInPandas(_rows, FACTS)
 
 
+def content_facts(sources: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Facts of every different content of a source table once; ``path`` is the content's SHA-256, project is null.
+
+    Equal contents are combined before they are shuffled, by digest, which is
+    the only time a content moves; ``wanted`` (path) restricts the digests.
+    Files without content are left out.
+    """
+    contents = sources.where(F.col("content").isNotNull()).select(F.sha2("content", 256).alias("path"), "content")
+    if wanted is not None:
+        contents = contents.join(wanted, "path", "left_semi")
+    single = contents.groupBy("path").agg(F.first("content").alias("content"))
+    return source_facts(single.select(F.lit(None).cast("string").alias("project"), "path", "content"))
+
+
 def fact_errors(facts: DataFrame, *others: str) -> DataFrame:
     """What could not be read: whole files and single hints."""
     return facts.where(F.col("kind") == "error").select(

@@ -100,6 +100,22 @@ def test_timing_percentiles_are_exact(spark):
     assert [round(row[f"p{p}_ratio"], 9) for p in timings.PERCENTILES] == [1.15, 1.75, 3.0, 5.0, 7.4]
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "constant", "skewed"])
+def test_percentiles_by_rank(spark, kind):
+    """The same as sorting everything, while only the ratios near a rank are walked."""
+    ids = spark.range(60_000)
+    ratio = {"spread": F.rand(3), "ties": (F.rand(4) * 7).cast("int").cast("double"), "constant": F.lit(2.5), "skewed": F.exp(F.randn(5) * 4)}[kind]
+    series = F.element_at(F.array(F.lit("no_op"), F.lit("full"), F.lit("optimised")), (F.least(F.col("id") % 10, F.lit(2)) + 1).cast("int"))
+    pairs = ids.select(series.alias("series"), F.when(F.col("id") % 100 > 0, ratio).alias("ratio")).cache()
+    whole = pairs.groupBy("series").agg(*[F.percentile("ratio", F.lit(p / 100)).alias(f"p{p}_ratio") for p in timings.PERCENTILES])
+
+    def rounded(frame):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in frame.collect())
+
+    assert rounded(timings.timing_percentiles(pairs, whole_below=1000, slack=0.005)) == rounded(whole)
+    assert rounded(timings.timing_percentiles(pairs)) == rounded(whole)
+
+
 def test_timings(spark, tmp_path):
     data = [("a", [0.5, 0.75, 8.0, 2.0]), ("b", [4.0, 5.0, 40.0, 12.0]), ("short", [1.0]), ("zero", [0.0, 1.0, 1.0, 1.0])]
     spark.createDataFrame(data, "run string, times array<double>").coalesce(1).write.parquet(f"{tmp_path}/t")

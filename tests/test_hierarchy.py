@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from siftmill.operators.hierarchy import hierarchy_from_edges
+from siftmill.operators import hierarchy
+from siftmill.operators.hierarchy import hierarchy_from_edges, update_hierarchy
+from siftmill.session import written
 
 SCHEMA = "module string, type string, base_module string, base_type string, position long"
 
@@ -62,3 +64,43 @@ def test_no_depth_is_too_deep(spark):
         assert max(map(len, found.values())) == 222
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def orders(table):
+    return {(r.module, r.type): [tuple(b) for b in r.bases] for r in table.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_update_equals_a_rebuild(spark, seed, monkeypatch):
+    dice = random.Random(seed)
+    classes = {}
+    for i in range(40):
+        known = list(classes)
+        classes[f"C{i}"] = dice.sample(known, min(len(known), dice.choice([0, 1, 1, 2, 3])))
+    later = dict(classes)
+    for name in dice.sample(list(classes), 4):  # other bases, in another order, or gone
+        kind = dice.choice(["gone", "others", "turned"])
+        if kind == "gone":
+            del later[name]
+        else:
+            later[name] = list(reversed(classes[name])) if kind == "turned" else dice.sample(list(classes)[: int(name[1:])], min(int(name[1:]), 2))
+    later["New"] = ["C39"] if "C39" in later else []
+    old, new = (spark.createDataFrame(edges_of(c), SCHEMA) for c in (classes, later))
+    stored = written(hierarchy_from_edges(old)[0], "stored")
+    wanted, without = hierarchy_from_edges(new)
+    table, missing = update_hierarchy(stored, new, old)
+    assert orders(table) == orders(wanted)
+    assert {r.type for r in missing.collect()} == {r.type for r in without.collect()}
+
+
+def test_update_works_out_descendants_only(spark, monkeypatch):
+    classes = {f"A{i}": [f"A{i - 1}"] if i else [] for i in range(20)} | {f"B{i}": [f"B{i - 1}"] if i else [] for i in range(20)}
+    later = classes | {"A15": ["B3"]}
+    old, new = (spark.createDataFrame(edges_of(c), SCHEMA) for c in (classes, later))
+    stored = written(hierarchy_from_edges(old)[0], "stored")
+    seen = []
+    plain = hierarchy._settle
+    monkeypatch.setattr(hierarchy, "_settle", lambda links, known: seen.append(sorted(r.id for r in links.collect())) or plain(links, known))
+    table, _ = update_hierarchy(stored, new, old)
+    assert seen == [[f"m:A{i}" for i in range(15, 20)]]
+    assert orders(table) == orders(hierarchy_from_edges(new)[0])

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import golden as g
 from siftmill.operators import matching as m
@@ -120,7 +121,10 @@ def brute_force(original, generated):
     return sorted(result, key=repr)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [0, 20, m.HOT_ROWS])
+def test_against_brute_force(spark, hot_rows, monkeypatch):
+    """All keys hot, some, none: the same pairs."""
+    monkeypatch.setattr(m, "HEAT_FACTOR", 0)
     dice = random.Random(7)
 
     def hint():
@@ -130,9 +134,25 @@ def test_against_brute_force(spark):
         return (O, dice.choice([None, "C"]), None, 0, 5, dice.choice("ab"), dice.choice([None, "int", "str"]))
 
     original, generated = [hint() for _ in range(150)], [hint() for _ in range(120)]
-    found = m.match_hints(table(spark, original), table(spark, generated), chunk_rows=16)
+    found = m.match_hints(table(spark, original), table(spark, generated), chunk_rows=16, hot_rows=hot_rows)
     # which copy of a leftover type meets which is a matter of order by key, so compare exact pairs and the counts
     pairs = sorted(((r._ord_original, r._ord_generated) for r in found.collect()), key=repr)
     wanted = brute_force(original, generated)
     assert pairs == wanted
     assert len(HINT6) == 6
+
+
+def test_split_by_heat(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), "id")
+    cold, hot = m.split_by_heat(rows, ["k"], hot_rows=1000)
+    # keys that share the bucket of the hot one go with it
+    assert hot.where("k IS NULL").count() == 10_000 and 10_000 <= hot.count() < 10_020
+    assert cold.where("k IS NULL").isEmpty() and cold.count() + hot.count() == 30_000
+    assert m.split_by_heat(rows, ["k"])[1].isEmpty()
+
+
+def test_rows_are_dealt_out_once(spark):
+    """Of the plan for keys that are not hot: one exchange by key, everything else follows in the same tasks."""
+    cold = m._tagged(table(spark, BEFORE), table(spark, AFTER), HINT6, "Type", "_ord")
+    text = m._pairs_by_key(cold, HINT6, "Type")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.count("Window") >= 2

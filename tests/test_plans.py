@@ -92,7 +92,7 @@ def test_hot_key_is_split(spark):
 
 
 def test_no_python_in_built_in_queries(spark):
-    with_python = {"normalize_type", "split_top_level"}
+    with_python = {"normalize_type", "split_top_level", "normalize_type_errors"}
     for name, (query, _) in all_queries().items():
         if name.startswith(("unify_", "filter_", "chain_", "metrics_", "events_", "assign_")) and name not in with_python:
             text = plan(query(spark, SF))
@@ -116,3 +116,50 @@ def test_hints_shuffle_facts_once(spark, tmp_path):
     exchanges = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text))
     assert all(re.fullmatch(r"project#\d+, path#\d+, 8", e) for e in exchanges)
     assert text.count("REPARTITION_BY_NUM") <= 2
+
+
+@pytest.fixture()
+def without_broadcasts(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def exchanges_and_scans(text: str) -> tuple[int, int]:
+    return len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Round|Single)", text)), len(re.findall(r"Scan parquet|LocalTableScan|Scan ExistingRDD", text))
+
+
+def test_strict_chain_scans_its_rows_once(spark, without_broadcasts, monkeypatch):
+    """All jobs of the chain together: the observations are read once, and the result's plan is short."""
+    from siftmill import session
+    from siftmill.plans import pipeline
+
+    plans = []
+
+    def noted(df, purpose):
+        plans.append(plan(df))
+        return session.written(df, purpose)
+
+    monkeypatch.setattr(pipeline, "written", noted)
+    last = plan(all_queries()["chain_strict"][0](spark, SF))
+    exchanges, scans = exchanges_and_scans(last)
+    assert exchanges <= 10 and scans <= 3
+    assert sum("events.parquet" in p for p in [*plans, last]) == 1
+    assert sum(exchanges_and_scans(p)[0] for p in [*plans, last]) <= 24
+
+
+def test_python_sees_different_names_only(spark):
+    """Every Python node of the normaliser lies above an aggregate of the names, none above the base table."""
+    for name in ("normalize_type", "split_top_level"):
+        text = plan(all_queries()[name][0](spark, SF))
+        lines = text.splitlines()
+        python = [i for i, line in enumerate(lines) if "Python" in line or "ArrowEval" in line]
+        assert python, name
+        for i in python:
+            indent = len(lines[i]) - len(lines[i].lstrip(" :+-*()0123456789"))
+            below = lines[i + 1 :]
+            assert "Aggregate" in "".join(below[:4]), (name, indent, text)

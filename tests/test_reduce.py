@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 import golden as g
 from siftmill.operators import filters, reduce as r
 from siftmill.plans.pipeline import Chain
-from siftmill.schemas import OBS9, ORD, SITE7, WEIGHT
+from siftmill.schemas import HIERARCHY, OBS9, ORD, SITE6, SITE7, WEIGHT
 
 
 @pytest.fixture(scope="module")
@@ -239,3 +240,63 @@ def test_results_do_not_depend_on_partitions(rows, bases, partitions):
 def test_dedup_is_idempotent(rows):
     once = r.dedup(rows)
     assert g.values(r.dedup(once), [*OBS9, ORD]) == g.values(once, [*OBS9, ORD])
+
+
+@pytest.mark.parametrize("salts", [1, 3, 64])
+def test_common_bases_of_wide_sites(spark, salts):
+    """Sites with up to 200 types against the definition, list by list."""
+    dice = random.Random(salts)
+    names = [f"T{i}" for i in range(300)]
+    lists = {}
+    for i, name in enumerate(names):
+        above = dice.sample(names[max(0, i - 12) : i], k=min(i, dice.randint(0, 3)))
+        seen = []
+        for parent in above:
+            seen += [b for b in lists[parent][1:-1] + [] if b not in seen]
+            seen = [parent] + [b for b in seen if b != parent] if parent not in seen else seen
+        lists[name] = [name, *seen, "object"]
+    table = [("m", n, [("abc" if b == "T3" else "m", b) for b in bases]) for n, bases in lists.items()]
+    hierarchy = spark.createDataFrame(table, HIERARCHY)
+    rows, wanted = [], {}
+    for site, size in enumerate([1, 2, 2, 3, 5, 40, 200]):
+        start = dice.choice([0, 50, 200])
+        own = dice.sample(names[start : start + max(size, 30)] if size < 100 else names, k=size)
+        first = {t: len(rows) + k for k, t in enumerate(own)}
+        rows += [("a.py", None, None, "f", 1, 2, f"v{site}", "m", t, at) for t, at in first.items()]
+        kept = {t: [(("abc" if b == "T3" else "m"), b) for b in lists[t][:-1] if b != "T3"] for t in own}
+        shortest = kept[min(own, key=lambda t: (len(kept[t]), first[t]))]
+        base = next((b for b in shortest if all(b in k for k in kept.values())), None)
+        if base:
+            wanted[f"v{site}"] = (base, size)
+    found = r.common_bases(spark.createDataFrame(rows, g.ORDERED), hierarchy, SITE6, salts=salts)
+    assert {x.VarName: (tuple(x.base), x.n_types) for x in found.collect()} == wanted
+    assert len(wanted) >= 2
+
+
+def test_written_steps_change_nothing(rows, bases):
+    chain = (
+        Chain()
+        .append("drop_test", test_name_pat="test_")
+        .append("drop_min_threshold", min_threshold=0.3)
+        .append("dedup")
+        .append("unify_subty", only_unify_if_base_was_traced=True)
+        .append("drop_mult_var")
+        .append("union")
+    )
+    assert g.values(chain(rows, bases, written_steps=True)) == g.values(chain(rows, bases))
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_members_written_out_are_the_union(rows, distinct):
+    united, too_large = r.union_members(rows, distinct)
+    assert too_large.isEmpty()
+    assert g.values(r.member_text(united), [*OBS9, ORD]) == g.values(r.union(rows, distinct), [*OBS9, ORD])
+
+
+def test_sites_with_too_many_members(rows):
+    united, too_large = r.union_members(rows, most=3)
+    assert {(x.VarName, x.n_members, x.error) for x in too_large.collect()} == {("fleet", 4, "more members than 3"), ("dummy", 6, "more members than 3")}
+    text = {x.VarName: x.Type for x in r.member_text(united).collect()}
+    assert text == {"vehicle": "Truck | Van | Truck", "spare": "Bike | Bike", "queue": "Van | Tanker"}
+    with pytest.raises(ValueError):
+        r.union_members(r.compact(rows))

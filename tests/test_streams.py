@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -82,3 +84,103 @@ def test_a_batch_out_of_order_fails(spark, tmp_path):
     stream = s.read_stream(spark, f"{tmp_path}/in", SCHEMA, files_per_batch=1).drop("ts")
     with pytest.raises(Exception, match="out of order"):
         batches.changed_values_by_batch(stream, ["scope", "name"], "value")
+
+
+LOOP = T.StructType([T.StructField(ORD, T.LongType()), T.StructField("loop", T.StringType()), T.StructField("what", T.StringType()), T.StructField("is_head", T.BooleanType())])
+
+
+def loop_rows(seed, count=400):
+    """Rows of several loops; one has a third of all, some show something new late, one has no head at first."""
+    dice = random.Random(seed)
+    rows = []
+    for i in range(count):
+        loop = dice.choice(["hot", None, "b", "c", "d", "hot"])
+        what = dice.choice("xyz") if dice.random() < 0.9 or loop == "b" else f"rare{dice.randint(0, 5)}"
+        rows.append((i, loop, what, dice.random() < 0.4 and not (loop == "d" and i < count // 2)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "cuts"), [(1, [0, 400]), (2, [0, 100, 101, 250, 400]), (3, [0, 37, 74, 111, 300, 301, 400])])
+def test_stable_loops_by_batch(spark, tmp_path, seed, cuts):
+    rows = loop_rows(seed)
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(rows[a:b], LOOP).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = s.read_stream(spark, f"{tmp_path}/in", LOOP, files_per_batch=1)
+    found = batches.until_stable_loops_by_batch(stream, ["loop"], "is_head", ["what"], until_stable=3, buckets=5, chunk_rows=40)
+    numbered = changes.numbered_iterations(spark.createDataFrame(rows, LOOP), ["loop"], "is_head")
+    numbered = numbered.withColumn("iteration", F.when(F.col("iteration") >= 0, F.col("iteration")))
+    wanted = changes.until_stable_loops(numbered, ["loop"], ["what"], is_head="is_head", until_stable=3)
+    columns = [ORD, "loop", "what", "iteration"]
+    assert g.values(found, columns) == g.values(wanted, columns)
+    assert len(rows) > found.count() > 20
+
+
+def test_a_batch_of_loops_touches_its_own_buckets_and_runs_again(spark, tmp_path):
+    rows = loop_rows(4)
+    for a, b in zip([0, 200], [200, 400]):
+        spark.createDataFrame(rows[a:b], LOOP).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = s.read_stream(spark, f"{tmp_path}/in", LOOP, files_per_batch=1)
+    folder, state = str(tmp_path / "out"), str(tmp_path / "state")
+    options = {"until_stable": 3, "folder": folder, "checkpoint": state, "buckets": 7}
+    found = batches.until_stable_loops_by_batch(stream, ["loop"], "is_head", ["what"], **options)
+    before = g.values(found, [ORD, "iteration"])
+    written = sorted(p.name for p in (tmp_path / "state" / "seen" / "batch=1").iterdir() if p.name.startswith("bucket"))
+    assert len(written) < 7  # only what is new in the second batch
+    # the last batch runs again, as after a crash before its end was noted
+    (tmp_path / "state" / "offsets" / "commits" / "1").unlink()
+    for noted in (tmp_path / "state" / "offsets" / "commits").glob(".1.crc"):
+        noted.unlink()
+    again = batches.until_stable_loops_by_batch(stream, ["loop"], "is_head", ["what"], **options)
+    assert g.values(again, [ORD, "iteration"]) == before
+
+
+def test_late_rows_of_a_loop_fail(spark, tmp_path):
+    for orders in ((0, 5), (3, 6)):
+        rows = [(i, "a", "x", True) for i in orders]
+        spark.createDataFrame(rows, LOOP).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = s.read_stream(spark, f"{tmp_path}/in", LOOP, files_per_batch=1)
+    with pytest.raises(Exception, match="out of order"):
+        batches.until_stable_loops_by_batch(stream, ["loop"], "is_head", ["what"])
+
+
+def folded_stream(spark, tmp_path, parts=7):
+    rows = g.depot(spark)
+    for part in range(parts):
+        rows.where(F.col(ORD) % parts == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return rows, s.read_stream(spark, f"{tmp_path}/in", rows.schema, files_per_batch=1)
+
+
+def test_folded_summary(spark, tmp_path):
+    rows, stream = folded_stream(spark, tmp_path)
+    folder, state = str(tmp_path / "summary"), str(tmp_path / "state")
+    s.fold_into(stream, folder, state, every=2)
+    columns = [*OBS9, ORD, WEIGHT]
+    wanted = g.values(r.compact(rows), columns)
+    assert g.values(s.folded_summary(spark, folder), columns) == wanted
+    # of the parts, only those since the generation before the last are left
+    assert s.generations(spark, folder) == [3, 5]
+    assert sorted(p.name for p in (tmp_path / "summary" / "parts").iterdir() if "=" in p.name) == ["batch=4", "batch=5", "batch=6"]
+    assert sorted(p.name for p in (tmp_path / "summary" / "base").iterdir()) == ["generation=3", "generation=5"]
+    s.fold_into(stream, folder, state, every=2)  # nothing new
+    assert g.values(s.folded_summary(spark, folder), columns) == wanted
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_a_fold_that_runs_again(spark, tmp_path, named):
+    """The batch that folds is repeated, its base complete or not named yet."""
+    rows, stream = folded_stream(spark, tmp_path, parts=6)
+    folder, state = str(tmp_path / "summary"), str(tmp_path / "state")
+    s.fold_into(stream, folder, state, every=2)
+    columns = [*OBS9, ORD, WEIGHT]
+    wanted = g.values(r.compact(rows), columns)
+    commits = tmp_path / "state" / "commits"
+    for noted in [commits / "5", *commits.glob(".5.crc")]:
+        noted.unlink()
+    if not named:
+        shutil.rmtree(tmp_path / "summary" / "manifest" / "named=5")
+        for part in (tmp_path / "summary" / "base" / "generation=5").glob("*.parquet"):
+            part.unlink()  # a base cut short
+        assert g.values(s.folded_summary(spark, folder), columns) == wanted  # the generation before and its parts
+    s.fold_into(stream, folder, state, every=2)
+    assert g.values(s.folded_summary(spark, folder), columns) == wanted
+    assert s.generations(spark, folder) == [3, 5]
