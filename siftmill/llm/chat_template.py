@@ -68,7 +68,8 @@ class Generation:
     body: tuple
 
 
-_PARTS = re.compile(r"\{\{(?P<print>.*?)\}\}|\{%-?(?P<tag>.*?)-?%\}", re.DOTALL)
+# a comment, a value to print or a statement; a hyphen inside takes the white space outside away
+_PARTS = re.compile(r"\{#.*?#\}|\{\{-?(?P<print>.*?)-?\}\}|\{%-?(?P<tag>.*?)-?%\}", re.DOTALL)
 _TOKEN = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*')|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|[~.|()]))")
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'"}
 
@@ -150,11 +151,18 @@ class _Expression:
 
 def parse(source: str) -> tuple:
     """Syntax tree of a template."""
-    parts, at = [], 0
+    parts, at, cut = [], 0, False
+
+    def text(end: int, cut_end: bool) -> tuple[str, str]:
+        own = source[at:end].lstrip() if cut else source[at:end]
+        return "text", own.rstrip() if cut_end else own
+
     for found in _PARTS.finditer(source):
-        parts += [("text", source[at : found.start()]), (found.lastgroup, found[found.lastgroup].strip())]
-        at = found.end()
-    parts.append(("text", source[at:]))
+        parts.append(text(found.start(), found[0][2] == "-"))
+        if found.lastgroup:
+            parts.append((found.lastgroup, found[found.lastgroup].strip()))
+        at, cut = found.end(), found[0][-3] == "-"
+    parts.append(text(len(source), False))
     position = 0
 
     def block(variable: str | None, *ends: str) -> tuple[tuple, str]:
@@ -233,19 +241,15 @@ def fold(node, filters: dict[str, Callable]):
         values = tuple(fold(v, filters) for v in node.values)
         if node.name in ("and", "or"):
             stop = node.name == "or"
-            # constants that don't decide drop out, one that decides ends the chain
+            # constants that don't decide drop out unless they come last, one that decides ends the chain
             kept = []
-            for value in values:
-                if isinstance(value, Const) and bool(value.value) != stop:
+            for place, value in enumerate(values):
+                if isinstance(value, Const) and bool(value.value) != stop and place < len(values) - 1:
                     continue
                 kept.append(value)
                 if isinstance(value, Const):
                     break
-            if not kept:
-                return Const(not stop)
-            if isinstance(kept[0], Const):
-                return Const(stop)
-            return Operation(node.name, tuple(kept))
+            return kept[0] if len(kept) == 1 else Operation(node.name, tuple(kept))
         if all(isinstance(v, Const) for v in values):
             return Const(_OPERATIONS[node.name](*(v.value for v in values)))
         return Operation(node.name, values)
@@ -273,14 +277,26 @@ def _value(node, filters: dict[str, Callable]) -> Callable:
         apply, inner = filters[node.name], _value(node.value, filters)
         return lambda message, loop: apply(_text(inner(message, loop)))
     values = [_value(v, filters) for v in node.values]
-    if node.name == "and":
-        return lambda message, loop: all(v(message, loop) for v in values)
-    if node.name == "or":
-        return lambda message, loop: any(v(message, loop) for v in values)
+    if node.name in ("and", "or"):
+        return _deciding(values, node.name == "or")
     operation = _OPERATIONS[node.name]
     return lambda message, loop: operation(*[v(message, loop) for v in values])
 
 
+def _deciding(values: list[Callable], stop: bool) -> Callable:
+    """The first value that decides an ``and`` or ``or``, else the last."""
+    *early, last = values
+
+    def decide(message, loop):
+        for value in early:
+            found = value(message, loop)
+            if bool(found) == stop:
+                return found
+        return last(message, loop)
+
+    return decide
+
+
 class Output:
     """Text printed so far, and the ranges of it that lie in generation blocks."""
 

@@ -38,6 +38,23 @@ def test_language():
     assert list(template.render([])) == []
 
 
+@pytest.mark.parametrize(
+    ("source", "wanted"),
+    [
+        ("{{ m.text or 'x' }},", "1,x,3,"),
+        ("{{ m.text and m.role }},", "a,,c,"),
+        ("{{ false or m.text or '' or 'y' }},", "1,y,3,"),
+        ("{{ 'a' and 'b' }}{{ '' or 0 }},", "b0,b0,b0,"),
+        ("{{ not m.text }},", "false,true,false,"),
+        (" {%- if loop.first -%} \n F {%- endif %} .", "F ." + " ." * 2),
+        ("a {{- m.role -}} b{# a {{ comment }} #}|{#- -#} ", "aab|aabb|acb|"),
+    ],
+)
+def test_values_trimming_and_comments(source, wanted):
+    template = Template("{% for m in messages %}" + source + "{% endfor %}", chat.FILTERS)
+    assert "".join(s for s, _ in template.render([("a", "1"), ("ab", ""), ("c", "3")])) == wanted
+
+
 def test_constants_are_folded():
     template = Template("{{ 'a' ~ 'b' }}c{% for m in messages %}{% if 'x' == 'x' %}y{% endif %}{{ 'z' | upper }}{% endfor %}", chat.FILTERS)
     before, loop = template.tree
