@@ -55,6 +55,9 @@ class Dom:
         self.blocks: list[int] = [0]
         self.marks: list[str | None] = [None]  # value of the attribute ``keep``
         self._stack, self._block = [0], 0
+        # places in the stack of what is open, by tag, and of what is no inline tag: nothing is searched for
+        self._open_at: dict[str, list[int]] = {}
+        self._blocks_at: list[int] = []
         at, end = 0, len(source)
         while at < end:
             found = _MARKUP.search(source, at)
@@ -74,7 +77,7 @@ class Dom:
                     # what is inside is no markup; without an end tag, up to the end
                     stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                     if found[3].endswith("/"):
-                        self._stack.append(len(self.tags) - 1)
+                        self._push(len(self.tags) - 1)
                     self._text(source[at : stop.start() if stop else end])
                     at = stop.end() if stop else end
                     self._close(tag)
@@ -117,25 +120,36 @@ class Dom:
             self._add("#text", (), " ")
         node = self._add(tag, tuple(tokens), "", mark)
         if tag not in VOID and not attributes.endswith("/"):
-            self._stack.append(node)
+            self._push(node)
+
+    def _push(self, node: int) -> None:
+        depth = len(self._stack)
+        self._open_at.setdefault(self.tags[node], []).append(depth)
+        if self.tags[node] not in INLINE:
+            self._blocks_at.append(depth)
+        self._stack.append(node)
+
+    def _pop_down_to(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            tag = self.tags[self._stack.pop()]
+            self._open_at[tag].pop()
+            if tag not in INLINE:
+                self._blocks_at.pop()
+
+    def _nearest(self, *tags: str) -> int:
+        """Depth of the innermost open one of these, 0 without any."""
+        return max((places[-1] for tag in tags if (places := self._open_at.get(tag))), default=0)
 
     def _close_up_to(self, tags, scopes) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[depth]]
-            if tag in tags:
-                del self._stack[depth:]
-                self._block += 1
-                return
-            if tag in scopes:
-                return
+        depth = self._nearest(*tags)
+        if depth > self._nearest(*scopes):
+            self._pop_down_to(depth)
+            self._block += 1
 
     def _close(self, tag: str) -> None:
         if tag not in _FLOWING:
             self._block += 1
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self.tags[self._stack[depth]] == tag:
-                del self._stack[depth:]
-                return
-            # an inline end tag does not close blocks
-            if tag in INLINE and self.tags[self._stack[depth]] not in INLINE:
-                return
+        depth = self._nearest(tag)
+        # an inline end tag does not close blocks
+        if depth and not (tag in INLINE and self._blocks_at and self._blocks_at[-1] > depth):
+            self._pop_down_to(depth)

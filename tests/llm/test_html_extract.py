@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -149,3 +150,11 @@ def test_raw_text_stays_raw():
     dom = Dom("<p>a<script src=x/></p><b>no markup</b></script>b<textarea/><i>raw</i></textarea>c<svg><title/><g/></svg>d")
     assert [t for t in dom.texts if t] == ["a", "</p><b>no markup</b>", "b", "<i>raw</i>", "c", "d"]
     assert [dom.tags[dom.parents[dom.texts.index(t)]] for t in ("a", "b", "c", "d")] == ["p", "p", "p", "p"]
+
+
+@pytest.mark.parametrize("source", ["<div>" * 200_000, "<i>" * 100_000 + "</x>" * 100_000, "<p><i>" * 50_000 + "</b>" * 50_000, "<li>" * 100_000])
+def test_deep_pages_are_read_in_linear_time(source):
+    """Seconds each, where searching the open tags would take hours."""
+    start = time.monotonic()
+    Dom(source)
+    assert time.monotonic() - start < 30
