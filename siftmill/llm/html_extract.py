@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ AROUND = frozenset(
     "complementary contentinfo form toc".split()
 )
 INSIDE = frozenset("article articlebody content entry post story main text body page blog news hentry prose maincontent".split())
-HASHED = 16
+HASHED = 32
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
@@ -73,7 +74,7 @@ def features(doms: list[Dom]) -> np.ndarray:
             for token in tokens:
                 own_around += token in AROUND
                 own_inside += token in INSIDE
-                hashed.append((first + i, sum(token.encode()) % HASHED))
+                hashed.append((first + i, zlib.crc32(token.encode()) % HASHED))
             around.append(own_around), inside.append(own_inside)
             above_around[-1] += own_around
             above_inside[-1] += own_inside
