@@ -18,6 +18,7 @@ BUCKET_BITS = 16
 SMOOTHING = 0.1
 ROWS_PER_LANGUAGE = 2_000  # labelled rows a language is learned from
 CHUNK = 1 << 18  # characters scored at once
+SMALL_TABLE = 100_000  # rows of a table of languages that is broadcast
 
 _BMP_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
 _RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -120,6 +121,8 @@ def train(labelled: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, te
     scale = 1 << 30
     shares = [(lang, min(scale, scale * rows_per_language // sizes[lang] + 1)) for lang in languages]
     shares = labelled.sparkSession.createDataFrame(shares, "lang string, share bigint")
+    if len(languages) <= SMALL_TABLE:
+        shares = F.broadcast(shares)  # counted just now
     place = F.pmod(F.xxhash64("id", "text"), F.lit(scale))
     sample = rows.withColumn("place", place).join(shares, "lang").filter("place < share").select("lang", "text").repartition(16)
     summed = sample.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
