@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents its
 predecessor kept. The first four return the kept rows with the columns they had;
-the last returns packed pieces. Rows are kept or dropped by document id: rows
-that share an id are one document, and a null id is an id like any other.
+the last returns packed pieces. Rows are kept or dropped by document id, which is
+taken as unique: of rows that share one, all stay if one of them passes, and
+each is packed. A null id is an id like any other.
 """
 
 from __future__ import annotations
