@@ -24,7 +24,7 @@ from siftmill.llm.pools import Numbers, Pool, slices, spread
 from siftmill.session import shared_folder
 
 LEXICON_SHARE = 1 << 19  # a word is frequent if it is found once in so many bytes
-MEMO_WORDS = 400_000  # parts a worker remembers; the memory is emptied beyond
+MEMO_WORDS = 60_000  # parts of a generation; two generations are remembered
 MERGED_AT_ONCE = 1 << 14  # unseen words merged together
 # Python splits at these, the vocabulary's white space does not contain them.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
@@ -256,9 +256,14 @@ class WordCodec:
         norm = self.library.normalizer.normalize_str
         self.unlike = {c for c in marks if any(norm(text) != normalise(text) for text in (f"a{c}\u0334", f"a\u0300{c}"))}
         self.lexicon = lexicon
-        self._forget()
+        self.parts, self.part_ids = Numbers(), Pool()
+        self.words, self.word_ids = Numbers(), Pool()
+        self._turn()
 
-    def _forget(self) -> None:
+    def _turn(self) -> None:
+        """Begins a new generation; parts and words that come again are taken over from the last."""
+        self.older = dict(self.parts), self.part_ids
+        self.older_words = dict(self.words), self.word_ids
         self.parts, self.part_ids = Numbers(), Pool()
         self.words, self.word_ids = Numbers(), Pool()
 
@@ -274,8 +279,22 @@ class WordCodec:
         return whole | np.array([any(mark in part for mark in marks) for part in parts], bool) if marks else whole
 
     def _learn_parts(self) -> None:
-        """Ids of new parts; they are cut into words together, as no word goes across white space."""
-        parts, self.parts.new = self.parts.new, []
+        """Ids of new parts, those of the last generation taken over."""
+        new, self.parts.new = self.parts.new, []
+        known, pool = self.older
+        numbers = np.fromiter((known.get(part, -1) for part in new), np.int64, len(new))
+        again, unseen = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        taken, after = pool.gather(numbers[again])
+        made, made_sizes = self._cut([new[i] for i in unseen.tolist()])
+        sizes = np.concatenate((np.diff(after, prepend=0), made_sizes)).astype(np.int64)
+        back, stops = np.argsort(np.concatenate((again, unseen)), kind="stable"), np.cumsum(sizes)
+        ids = np.concatenate((taken, made))
+        self.part_ids.add(spread(ids, (stops - sizes)[back], stops[back])[0], sizes[back])
+
+    def _cut(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after the other, and how many each has; all are cut into words together, as no word goes across white space."""
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         foreign = self._foreign(parts, " ".join(parts))
         own = [part for part, other in zip(parts, foreign) if not other] if foreign.any() else parts
         found = _WORD_OR_END.findall(normalise("\n".join([*own, ""])))
@@ -292,18 +311,24 @@ class WordCodec:
         if self.words.new:
             self._learn_words()
         ids, ends = self.word_ids.gather(flat)
-        self.part_ids.add(ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]))
+        return ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))])
 
     def _learn_words(self) -> None:
         """Ids of new words: from the lexicon where it has them, else merged."""
         words, self.words.new = self.words.new, []
         raw = [word.encode("utf-8", "surrogatepass") for word in words]
         known = np.full(len(words), -1) if self.lexicon is None else self.lexicon.numbers(raw)
-        unseen = np.flatnonzero(known < 0)
+        before, pool = self.older_words
+        numbers = np.fromiter((before.get(word, -1) for word in words), np.int64, len(words))
+        again = np.flatnonzero((known < 0) & (numbers >= 0))
+        unseen = np.flatnonzero((known < 0) & (numbers < 0))
         foreign = np.array([i for i in unseen if words[i][0] == _WHOLE], int)
         own = np.setdiff1d(unseen, foreign)
         sizes = np.zeros(len(words), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, ids, sizes
+        if len(again):
+            taken, after = pool.gather(numbers[again])
+            found.append((again, taken, np.diff(after, prepend=0)))
         seen = np.flatnonzero(known >= 0)
         if len(seen):
             starts, ends = self.lexicon.starts[known[seen]], self.lexicon.starts[known[seen] + 1]
@@ -322,7 +347,7 @@ class WordCodec:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (and the last's end)."""
         if len(self.parts) > MEMO_WORDS:
-            self._forget()
+            self._turn()
         number, rows = self.parts.__getitem__, []
         for text in texts:
             row = _parts(text or "")
