@@ -110,12 +110,15 @@ def assign_hints(sites: DataFrame, observations: DataFrame, strict: bool = False
     ``strict`` makes it an error. The hint is then the smallest of them.
     """
     placed = sites.withColumn("__category", site_category(sites))
+    # both joins are shuffled: Spark guesses what an exploded or compressed table
+    # takes from its files, and would collect a side of any size on the driver
+    keyed = _observation_keys(rename_none_type(observations)).hint("merge")
     found = (
-        null_equal_join(_site_keys(placed), _observation_keys(rename_none_type(observations)), _KEY)
+        null_equal_join(_site_keys(placed).hint("merge"), keyed, _KEY)
         .groupBy("Filename", "SiteNo")
         .agg(F.sum("__count").alias("__count"), F.min("__hint").alias("__hint"))
     )
-    joined = placed.join(found, ["Filename", "SiteNo"], "left")
+    joined = placed.join(found.hint("merge"), ["Filename", "SiteNo"], "left")
     count = F.coalesce(F.col("__count"), F.lit(0).cast("long"))
     if strict:
         where = F.concat_ws(":", F.col("Filename"), F.col("LineNo"), F.col("VarName"))

@@ -118,6 +118,21 @@ def test_hints_shuffle_facts_once(spark, tmp_path):
     assert text.count("REPARTITION_BY_NUM") <= 2
 
 
+def test_hints_are_placed_without_broadcasts(spark, tmp_path):
+    """An exploded table is larger than its files: no side of the placement goes through the driver."""
+    from siftmill.operators.placement import SITES, assign_hints
+    from siftmill.schemas import OBS9
+
+    kinds = ["string"] * 4 + ["long"] * 2 + ["string"] * 3
+    path = F.concat(F.col("id").cast("string"), F.lit(".py"))
+    spark.range(1000).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids").select("id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("line"))
+    values = {"Filename": path, "LineNo": F.col("line"), "Category": F.lit(2), "VarName": F.lit("x")}
+    rows = ids.select(*[values.get(c, F.lit(None)).cast(k).alias(c) for c, k in zip(OBS9, kinds)])
+    text = plan(assign_hints(spark.createDataFrame([], SITES), rows))
+    assert "Broadcast" not in text and text.count("SortMergeJoin") == 2
+
+
 @pytest.fixture()
 def without_broadcasts(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
