@@ -10,9 +10,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from siftmill.operators.changes import ITERATIONS_UNTIL_STABLE
@@ -45,20 +44,14 @@ class _Replay(StatefulProcessor):
             one = T.StructType([T.StructField("one", T.IntegerType())])
             self.seen = handle.getMapState("seen", T.StructType([T.StructField("text", T.StringType())]), one)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = self.fields.fieldNames()
-        earliest = None
-        for frame in rows:
-            values = [self._plain(row) for row in frame[names].itertuples(index=False, name=None)]
-            if values:
-                self.waiting.appendList(values)
-                first = min(row[-1] for row in values)
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self.handle.registerTimer(earliest)
-        yield self._empty()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        values = [self._plain(row) for row in rows]
+        if values:
+            self.waiting.appendList(values)
+            self.handle.registerTimer(min(row[-1] for row in values))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         ready, later = [], []
         for row in self.waiting.get() if self.waiting.exists() else ():
@@ -67,11 +60,12 @@ class _Replay(StatefulProcessor):
         place = names.index(self.order)
         ready.sort(key=lambda row: (row[-1], row[place]))
         emitted = []
-        memory = self.memory.get() if self.memory.exists() else None
+        shown = Row(*self.keys, *names[:-1], *self.extra)
+        memory = self.memory.get() if ready else None
         for row in ready:
             memory, result = self.step(memory, dict(zip(names, row)))
             if result is not None:
-                emitted.append((*key, *row[:-1], *result))
+                emitted.append(shown(*key, *row[:-1], *result))
         self.waiting.clear()
         if later:
             self.waiting.appendList(later)
@@ -82,22 +76,16 @@ class _Replay(StatefulProcessor):
             self.handle.registerTimer(ready[-1][-1] + self.idle_ms)
         elif not later and self.latest.exists() and self.latest.get()[0] + self.idle_ms <= watermark:
             self._forget()
-        yield pd.DataFrame(emitted, columns=self._columns(), dtype=object) if emitted else self._empty()
+        return iter(emitted)
 
     def step(self, memory, row: dict):
         raise NotImplementedError
 
     extra: list[str] = []
 
-    def _columns(self) -> list[str]:
-        return [*self.keys, *self.fields.fieldNames()[:-1], *self.extra]
-
-    def _empty(self) -> pd.DataFrame:
-        return pd.DataFrame({name: pd.Series(dtype=object) for name in self._columns()})
-
-    def _plain(self, row: tuple) -> tuple:
-        # the state stores take Python values only
-        return tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row)
+    def _plain(self, row: Row) -> tuple:
+        # not-a-number counts as null
+        return tuple(None if isinstance(v, float) and v != v else v for v in (row[name] for name in self.fields.fieldNames()))
 
     def _forget(self) -> None:
         self.memory.clear()
@@ -180,7 +168,7 @@ def _run(stream, keys, columns, order, event_time, delay, idle_ms, processor, ex
     output = T.StructType([*[T.StructField(k, types[k], True) for k in key_names], *fields.fields[:-1]])
     for name in extra:
         output = output.add(_inner(name), T.LongType(), True)
-    replayed = rows.groupBy(*key_names).transformWithStateInPandas(
+    replayed = rows.groupBy(*key_names).transformWithState(
         statefulProcessor=processor(key_names, fields, _inner(order), idle_ms),
         outputStructType=output,
         outputMode="Append",

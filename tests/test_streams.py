@@ -43,6 +43,21 @@ def test_late_events_are_replayed_in_order(spark, events):
     assert g.orders(found) == [i for i in g.orders(batch) if i <= 59 - 20]
 
 
+def test_rows_that_wait_are_stored_by_one_call():
+    """No frame is built for a key, neither of its rows nor of the results it doesn't have yet."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row, types as T
+
+    fields = T.StructType().add("x_ord", T.LongType()).add("xvalue", T.DoubleType()).add("x__time_ms", T.LongType())
+    processor = replay._Changes(["xk"], fields, "x_ord", 10, value="xvalue")
+    processor.handle, processor.waiting = MagicMock(), MagicMock()
+    rows = [Row(xk="a", x_ord=2, xvalue=float("nan"), x__time_ms=20), Row(xk="a", x_ord=1, xvalue=None, x__time_ms=10)]
+    assert list(processor.handleInputRows(("a",), iter(rows), None)) == []
+    processor.waiting.appendList.assert_called_once_with([(2, None, 20), (1, None, 10)])
+    processor.handle.registerTimer.assert_called_once_with(10)
+
+
 def test_batches_of_one_file(spark, events):
     stream = s.read_stream(spark, events, SCHEMA, files_per_batch=1)
     found = s.run_to_end(s.dedup_stream(stream, ["scope", "name"]))
