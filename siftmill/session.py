@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 # Adaptive execution settings the operators count on: rows of a hot key are
 # joined back to per-key results with a shuffled join whose skewed partitions
 # are split at run time, also when that costs one more shuffle later.
+# A task is dealt few bytes, as these are compressed: repetitive rows, sorted and
+# grouped, take a hundred times that in memory.
 ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
 }
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"

@@ -133,6 +133,20 @@ def test_hints_are_placed_without_broadcasts(spark, tmp_path):
     assert "Broadcast" not in text and text.count("SortMergeJoin") == 2
 
 
+def test_tasks_are_dealt_few_compressed_bytes(spark):
+    """24 MB of a shuffle are not read by one task, also where Spark need not keep all cores busy."""
+    settings = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 600_000, 1, 4).select(F.md5(F.col("id").cast("string")).alias("k"), F.md5(F.hash("id").cast("string")).alias("v"))
+        assert rows.groupBy("k").agg(F.max("v").alias("v")).rdd.getNumPartitions() > 2
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @pytest.fixture()
 def without_broadcasts(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
