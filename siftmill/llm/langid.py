@@ -6,18 +6,19 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from siftmill.llm.pools import slices
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 SMOOTHING = 0.1
 ROWS_PER_LANGUAGE = 2_000  # labelled rows a language is learned from
-CHUNK = 1 << 18  # characters scored at once
+CHUNK = 1 << 16  # characters scored at once
 SMALL_TABLE = 100_000  # rows of a table of languages that is broadcast
 
 _BMP_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -94,10 +95,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each language has each bucket in this task's rows: one row for a language."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            total = totals.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-            for buckets in text_buckets(text):
-                total += np.bincount(buckets, minlength=len(total))
+        for part, texts in slices(batch):
+            for lang, text in zip(part.column("lang").to_pylist(), texts):
+                total = totals.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
+                for buckets in text_buckets(text):
+                    total += np.bincount(buckets, minlength=len(total))
     for lang, total in totals.items():
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen])], ["lang", "bucket", "n"])
@@ -207,10 +209,14 @@ def predictor(spark, model: Model):
     """Function of a text column giving a struct of lang_pred and score; the model is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(_RESULT)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = predict_texts(texts.to_list(), shared.value)
-        return pd.DataFrame({"lang_pred": languages, "score": scores})
+    @F.arrow_udf(_RESULT)
+    def predict(texts: pa.Array) -> pa.Array:
+        languages, scores = [], [np.zeros(0)]
+        for _, part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+            found = predict_texts(part, shared.value)
+            languages += found[0]
+            scores.append(found[1])
+        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
 
     return predict
 

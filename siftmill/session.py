@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 # joined back to per-key results with a shuffled join whose skewed partitions
 # are split at run time, also when that costs one more shuffle later.
 # A task is dealt few bytes, as these are compressed: repetitive rows, sorted and
-# grouped, take a hundred times that in memory.
+# grouped, take a hundred times that in memory. A batch for Python is bounded in
+# bytes, however long its texts are, as every worker and its executor hold one.
 ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -24,6 +25,7 @@ ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"

@@ -147,6 +147,18 @@ def test_tasks_are_dealt_few_compressed_bytes(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.col("id").cast("string"), 2500).alias("text"))
+    found = [row.n for row in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert len(found) > 1 and max(found) < 6 << 20
+
+
 @pytest.fixture()
 def without_broadcasts(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
