@@ -12,6 +12,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,13 @@ from siftmill.llm.pools import Numbers, Pool, slices, spread
 from siftmill.session import shared_folder
 
 LEXICON_SHARE = 1 << 19  # a word is frequent if it is found once in so many bytes
-MEMO_WORDS = 60_000  # parts of a generation; two generations are remembered
+MEMO_WORDS = 200_000  # words a worker remembers; beyond, the half that came least is forgotten
 MERGED_AT_ONCE = 1 << 14  # unseen words merged together
-# Python splits at these, the vocabulary's white space does not contain them.
-_NO_SPACE = "\x1c\x1d\x1e\x1f"
-# Marks what only the library may encode; white space, so no part begins with it.
-_WHOLE = "\n"
-# Fixed value: the vocabulary's own rule for words, matched by the same Unicode classes.
-_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORD_OR_END = regex.compile(r"\n|" + _WORD)
+# The vocabulary's own rule for words, matched by the same Unicode classes:
+# 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_STRETCH = regex.compile(r"\S+")
 
 
 def normalise(word: str) -> str:
@@ -229,10 +228,10 @@ def _byte_names() -> list[str]:
 class WordCodec:
     """Encodes texts as the tokenizers library does with a word BPE file, and decodes.
 
-    Text is cut at white space; the parts' words (letters, one digit, or other
-    signs in a row) are looked up in the lexicon and merged if unseen. Parts with
-    special tokens or unassigned characters are left to the library. Parts and
-    words seen are remembered, up to a bound.
+    All texts are cut together into words: letters, one digit, or other signs in
+    a row. Different words are looked up in the lexicon and merged if unseen;
+    words seen are remembered, up to a bound. Stretches between white space that
+    have special tokens or unassigned characters are left to the library.
     """
 
     def __init__(self, vocabulary: str, lexicon: Transducer | None = None):
@@ -251,112 +250,119 @@ class WordCodec:
         self.tokens = [""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.tokens[i] = name
-        # marks that the library's Unicode tables order in another way than Python's, or not at all
-        marks = (chr(c) for c in range(0x110000) if unicodedata.combining(chr(c)))
+        # characters that Python's Unicode tables don't have yet may be letters elsewhere;
+        # marks that the library's tables order in another way than Python's, or not at all
         norm = self.library.normalizer.normalize_str
-        self.unlike = {c for c in marks if any(norm(text) != normalise(text) for text in (f"a{c}\u0334", f"a\u0300{c}"))}
+        every = _every_character()
+        self.unlike = np.fromiter((unicodedata.category(c) == "Cn" for c in every), bool, len(every))
+        for c in filter(unicodedata.combining, every):
+            self.unlike[ord(c)] |= any(norm(text) != normalise(text) for text in (f"a{c}\u0334", f"a\u0300{c}"))
+        self.kinds = _kinds()
         self.lexicon = lexicon
-        self.parts, self.part_ids = Numbers(), Pool()
-        self.words, self.word_ids = Numbers(), Pool()
-        self._turn()
+        # words remembered, as UTF-8, their ids, and how often each came lately
+        self.parts, self.part_ids, self.uses = Numbers(), Pool(), np.zeros(0, np.int64)
 
     def _turn(self) -> None:
-        """Begins a new generation; parts and words that come again are taken over from the last."""
-        self.older = dict(self.parts), self.part_ids
-        self.older_words = dict(self.words), self.word_ids
-        self.parts, self.part_ids = Numbers(), Pool()
-        self.words, self.word_ids = Numbers(), Pool()
-
-    def _foreign(self, parts: list[str], joined: str) -> np.ndarray:
-        """Which parts only the library may encode: those marked, with special tokens or characters its tables lack.
-
-        Characters that Python's Unicode tables don't have yet may be letters elsewhere.
-        """
-        marks = [token for token in self.special if token in joined]
-        if not joined.isascii():
-            marks += [c for c in set(joined) if unicodedata.category(c) == "Cn" or c in self.unlike]
-        whole = np.fromiter((part[0] == _WHOLE for part in parts), bool, len(parts))
-        return whole | np.array([any(mark in part for mark in marks) for part in parts], bool) if marks else whole
-
-    def _learn_parts(self) -> None:
-        """Ids of new parts, those of the last generation taken over."""
-        new, self.parts.new = self.parts.new, []
-        known, pool = self.older
-        numbers = np.fromiter((known.get(part, -1) for part in new), np.int64, len(new))
-        again, unseen = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
-        taken, after = pool.gather(numbers[again])
-        made, made_sizes = self._cut([new[i] for i in unseen.tolist()])
-        sizes = np.concatenate((np.diff(after, prepend=0), made_sizes)).astype(np.int64)
-        back, stops = np.argsort(np.concatenate((again, unseen)), kind="stable"), np.cumsum(sizes)
-        ids = np.concatenate((taken, made))
-        self.part_ids.add(spread(ids, (stops - sizes)[back], stops[back])[0], sizes[back])
-
-    def _cut(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts one after the other, and how many each has; all are cut into words together, as no word goes across white space."""
-        if not parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        foreign = self._foreign(parts, " ".join(parts))
-        own = [part for part, other in zip(parts, foreign) if not other] if foreign.any() else parts
-        found = _WORD_OR_END.findall(normalise("\n".join([*own, ""])))
-        flat = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
-        end = self.words["\n"]
-        sizes = np.zeros(len(parts), np.int64)
-        ends = np.flatnonzero(flat == end)
-        sizes[~foreign] = np.diff(np.concatenate(([-1], ends))) - 1
-        flat = flat[flat != end]
-        if foreign.any():
-            places = np.cumsum(sizes)[foreign]
-            sizes[foreign] = 1
-            flat = np.insert(flat, places, [self.words[_WHOLE + part] for part, other in zip(parts, foreign) if other])
-        if self.words.new:
-            self._learn_words()
-        ids, ends = self.word_ids.gather(flat)
-        return ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))])
-
-    def _learn_words(self) -> None:
+        """Forgets the words that came least, and half of how often the others came."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: MEMO_WORDS // 2])
+        ids, ends = self.part_ids.gather(kept)
+        words = list(self.parts)
+        self.parts, self.part_ids, self.uses = Numbers(), Pool(), self.uses[kept] // 2
+        self.parts.update((words[old], new) for new, old in enumerate(kept.tolist()))
+        self.part_ids.add(ids, np.diff(ends, prepend=0))
+
+    def _foreign(self, text: str) -> bool:
+        """Whether only the library may encode it."""
+        return any(token in text for token in self.special) or (not text.isascii() and bool(self.unlike[_points(text)].any()))
+
+    def _cut(self, texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Words of all texts one after the other, as UTF-8, and where each text's words end."""
+        texts = [normalise(text) for text in texts]
+        points = _points("\n".join([*texts, ""]))
+        kinds = self.kinds[points]
+        first = kinds != np.concatenate(([_SPACE], kinds[:-1]))
+        first |= kinds == _DIGIT
+        first &= kinds != _SPACE
+        # 's and the like are words if the apostrophe begins one; the text's last sign is white space
+        at = np.flatnonzero(points == ord("'"))
+        at = at[first[at]]
+        for ending in _ENDINGS:
+            own = at[at + len(ending) < len(points)]
+            for i, letter in enumerate(ending):
+                own = own[points[own + 1 + i] == ord(letter)]
+            after = own + 1 + len(ending)
+            first[own + 1] = False
+            first[after[kinds[after] == _LETTER]] = True
+        starts = np.flatnonzero(first)
+        ends = np.searchsorted(starts, np.cumsum(np.fromiter((len(text) + 1 for text in texts), np.int64, len(texts))))
+        signs = kinds != _SPACE
+        points, first = points[signs], first[signs]
+        data = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        at = np.flatnonzero(first)
+        if len(data) > len(points):
+            sizes = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+            at = (np.cumsum(sizes, dtype=np.int64) - sizes)[at]
+        offsets = np.append(at, len(data)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), ends
+
+    def _learn(self, words: list[bytes]) -> None:
         """Ids of new words: from the lexicon where it has them, else merged."""
-        words, self.words.new = self.words.new, []
-        raw = [word.encode("utf-8", "surrogatepass") for word in words]
-        known = np.full(len(words), -1) if self.lexicon is None else self.lexicon.numbers(raw)
-        before, pool = self.older_words
-        numbers = np.fromiter((before.get(word, -1) for word in words), np.int64, len(words))
-        again = np.flatnonzero((known < 0) & (numbers >= 0))
-        unseen = np.flatnonzero((known < 0) & (numbers < 0))
-        foreign = np.array([i for i in unseen if words[i][0] == _WHOLE], int)
-        own = np.setdiff1d(unseen, foreign)
-        sizes = np.zeros(len(words), np.int64)
+        known = np.full(len(words), -1) if self.lexicon is None else self.lexicon.numbers(words)
+        seen, unseen = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, ids, sizes
-        if len(again):
-            taken, after = pool.gather(numbers[again])
-            found.append((again, taken, np.diff(after, prepend=0)))
-        seen = np.flatnonzero(known >= 0)
         if len(seen):
             starts, ends = self.lexicon.starts[known[seen]], self.lexicon.starts[known[seen] + 1]
             found.append((seen, spread(self.lexicon.ids, starts, ends)[0], ends - starts))
-        for at in range(0, len(own), MERGED_AT_ONCE):
-            part = own[at : at + MERGED_AT_ONCE]
-            found.append((part, *self.merges.merge([raw[i] for i in part])))
-        for i in foreign:
-            text = words[i].removeprefix(_WHOLE)  # nothing for the mark itself, which ends a part
-            ids = self.library.encode(text, add_special_tokens=False).ids if text else []
-            found.append((np.array([i]), np.array(ids, np.int64), np.array([len(ids)])))
+        for at in range(0, len(unseen), MERGED_AT_ONCE):
+            part = unseen[at : at + MERGED_AT_ONCE]
+            found.append((part, *self.merges.merge([words[i] for i in part.tolist()])))
         numbers, ids, sizes = (np.concatenate(x) for x in zip(*found))
         back, after = np.argsort(numbers, kind="stable"), np.cumsum(sizes)
-        self.word_ids.add(spread(ids, (after - sizes)[back], after[back])[0], sizes[back])
+        self.part_ids.add(spread(ids, (after - sizes)[back], after[back])[0], sizes[back])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's ids start (and the last's end)."""
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that need no library, and where each text's ids end."""
         if len(self.parts) > MEMO_WORDS:
             self._turn()
-        number, rows = self.parts.__getitem__, []
+        words, ends = self._cut(texts)
+        coded = words.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.parts.__getitem__, different), np.int64, len(different))
+        new, self.parts.new = self.parts.new, []
+        if new:
+            self._learn(new)
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        at = coded.indices.to_numpy()
+        self.uses[numbers] += np.bincount(at, minlength=len(different))
+        numbers = numbers[at]
+        ids, after = self.part_ids.gather(numbers)
+        return ids, np.concatenate(([0], after))[ends]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids start (and the last's end)."""
+        texts = [text or "" for text in texts]
+        if not self._foreign("\n".join(texts)):
+            ids, ends = self._encode(texts)
+            return ids, np.concatenate(([0], ends)).astype(np.int64)
+        # no word goes across white space: texts are cut there, and what is foreign goes to the library
+        pieces, foreign, bounds = [], [], [0]
         for text in texts:
-            row = _parts(text or "")
-            rows.append(np.fromiter(map(number, row), np.int64, len(row)))
-        if self.parts.new:
-            self._learn_parts()
-        ids, ends = self.part_ids.gather(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        after = np.concatenate(([0], np.cumsum([len(row) for row in rows]))).astype(np.int64)
-        return ids, np.concatenate(([0], ends))[after]
+            if self._foreign(text):
+                for other, run in groupby(_STRETCH.findall(text), self._foreign):
+                    run = list(run) if other else [" ".join(run)]
+                    pieces += run
+                    foreign += [other] * len(run)
+            else:
+                pieces.append(text)
+                foreign.append(False)
+            bounds.append(len(pieces))
+        alien = {piece: self.library.encode(piece, add_special_tokens=False).ids for piece in {p for p, other in zip(pieces, foreign) if other}}
+        ids, ends = self._encode([p for p, other in zip(pieces, foreign) if not other])
+        more = [alien[p] for p, other in zip(pieces, foreign) if other]
+        sizes = np.concatenate((np.diff(ends, prepend=0), list(map(len, more)))).astype(np.int64)
+        back, stops = np.argsort(np.argsort(foreign, kind="stable"), kind="stable"), np.cumsum(sizes)
+        ids, ends = spread(np.concatenate((ids, *(np.array(x, np.int32) for x in more))), (stops - sizes)[back], stops[back])
+        return ids, np.concatenate(([0], ends)).astype(np.int64)[bounds]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, special tokens included: this kind of vocabulary joins its tokens by spaces."""
@@ -377,15 +383,25 @@ def codec_of(vocabulary: str, lexicon: str | None = None) -> WordCodec:
     return _codecs[vocabulary, lexicon]
 
 
-def _parts(text: str) -> list[str]:
-    parts = text.split()
-    if any(c in text for c in _NO_SPACE):
-        hidden = text.translate({ord(c): 0xE000 + ord(c) for c in _NO_SPACE})
-        back = {0xE000 + ord(c): c for c in _NO_SPACE}
-        if not any(chr(c) in text for c in back):
-            return [part.translate(back) for part in hidden.split()]
-        return [_WHOLE + text]  # for the library: slower, and as exact
-    return parts
+def _points(text: str) -> np.ndarray:
+    """Its code points."""
+    if text.isascii():
+        return np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _every_character() -> str:
+    return np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is to the vocabulary's rule for words."""
+    kinds = np.full(0x110000, _SIGN, np.uint8)
+    every = _every_character()
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+")):
+        for run in regex.finditer(pattern, every):
+            kinds[run.start() : run.end()] = kind
+    return kinds
 
 
 def frequent_words(docs: DataFrame, *, text_col: str = "text", share: int = LEXICON_SHARE) -> DataFrame:
@@ -403,10 +419,9 @@ def compile_lexicon(texts: list[str], vocabulary: str) -> Transducer:
     """Transducer of the words of the given texts."""
     codec = WordCodec(vocabulary)
     codec.encode(texts)
-    words = [word for word in codec.words if word[0] != _WHOLE]
-    ids, ends = codec.word_ids.gather(np.array([codec.words[word] for word in words], np.int64))
+    ids, ends = codec.part_ids.gather(np.arange(len(codec.parts)))
     starts = np.concatenate(([0], ends))
-    return Transducer.compile((w.encode("utf-8", "surrogatepass"), ids[a:b].tolist()) for w, a, b in zip(words, starts[:-1], starts[1:]))
+    return Transducer.compile((word, ids[a:b].tolist()) for word, a, b in zip(codec.parts, starts[:-1], starts[1:]))
 
 
 def publish(spark: SparkSession, data: bytes, name: str) -> str:

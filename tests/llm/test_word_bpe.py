@@ -106,3 +106,29 @@ def test_marks_that_the_library_orders_otherwise():
     for text in ("a\u0899\u0337b", "a\u0337\u0899b \u0301x", "e\u0301 e\u0327\u0301"):
         ids, _ = codec.encode([text, "plain"])
         assert ids.tolist() == [i for t in (text, "plain") for i in codec.library.encode(t, add_special_tokens=False).ids]
+
+
+def test_memory_holds_words_not_stretches(monkeypatch):
+    """Words in ever new company are remembered once, and merged once while rarer ones are forgotten."""
+    words = [a + b for a in "bcdfghjklm" for b in ("arn", "oth", "emp")]
+    codec = WordCodec(VOCABULARY)
+    same(codec, [" ".join(f"{a}{sign}{b}" for b in words for sign in ("-", "...", "'s_")) for a in words])
+    assert len(codec.parts) <= len(words) + 5
+    merged = []
+    merge = codec.merges.merge
+    monkeypatch.setattr(codec.merges, "merge", lambda own: merged.extend(own) or merge(own))
+    monkeypatch.setattr(word_bpe, "MEMO_WORDS", 100)
+    for i in range(12):
+        rare = ["".join(chr(ord("a") + int(c)) for c in f"{i:02}{j:02}") for j in range(60)]
+        same(codec, [" ".join([*rare, *words, *(words if i < 11 else [f"{a}!{a}" for a in words])])])
+    assert len(codec.parts) <= 100 + 60 + 5
+    assert not set(merged) & {word.encode() for word in words}
+
+
+def test_words_begin_and_end_as_in_the_library():
+    texts = ["'s", "s", "''s", "!'s", "x's't", "it'", "s've", "'re've'll'd'm", "'resten 'llama 'dare", "'S 'RE 'ſ", "don't've", "a1'2b", "'́s 'ś", " \u0085x\x1c's\x1fy᠎", "", "'", "re", None, "İ's ΑΣ'Σ"]
+    codec = WordCodec(VOCABULARY, LEXICON)
+    same(codec, texts)
+    same(codec, [*texts, "<|endoftext|>'s <|endoftext|>", "a͸b 's", " <|endoftext|>", ""])
+    same(codec, [])
+    same(codec, [None, "", " \n"])
