@@ -3,10 +3,18 @@
 Rows of a key wait until the watermark has passed them and are then taken in
 order. What a key remembers is one small row, and for loops the observations
 it has shown. A key that has been idle long enough is forgotten.
+
+However many rows of a key wait or are given out, few lie in memory: waiting
+rows are sorted runs in the state store, merged as they are taken, and results
+leave a task in small parts.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import operator
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -21,11 +29,130 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 _TIME = "__time_ms"
 
+# Pickled bytes of a block of waiting rows, and of the rows sorted at once.
+BLOCK_BYTES = 1 << 16
+RUN_BYTES = 1 << 21
+
+# So many runs of one size are merged into one.
+FAN = 32
+
+# Rows measured at once, and rows given out at once.
+MEASURED_ROWS = 64
+GIVEN_ROWS = 1000
+
 # The driver starts a processor in a process of its own, which shipped files do
 # not reach, so the processors travel as code and not by name.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _give_out_in_parts() -> None:
+    """Let this worker give out results in parts: Spark's own way holds all rows of a task's timers at once."""
+    from pyspark.sql.pandas import serializers
+
+    def dump_stream(self, iterator, stream):
+        import pyarrow as pa
+
+        def batches():
+            for packed in iterator:
+                rows, kind = packed[0]
+                for part in _parts(rows):
+                    yield pa.RecordBatch.from_pylist(part, schema=pa.schema(list(kind))), kind
+
+        return serializers.ArrowStreamUDFSerializer.dump_stream(self, batches(), stream)
+
+    serializers.TransformWithStateInPySparkRowSerializer.dump_stream = dump_stream
+
+
+def _parts(rows: Iterator[Row]) -> Iterator[list[dict]]:
+    part, size = [], 0
+    for row in rows:
+        part.append(row.asDict(True))
+        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if len(part) == GIVEN_ROWS or size >= RUN_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+class _Waiting:
+    """Rows of a key that wait: sorted runs, cut into blocks of the state store.
+
+    The state's entry 0 tells of the runs, oldest first, and holds the newest
+    rows while they are few. Other entries are blocks. A run is its level, the
+    numbers of its first block and the one after its last, its earliest time and
+    its rows a block. Runs of one level are merged once there are many, so a
+    merge has few of them open, each with one block.
+    """
+
+    def __init__(self, handle, place: int) -> None:
+        number = T.StructType([T.StructField("number", T.LongType())])
+        self.entries = handle.getMapState("waiting", number, T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.order = operator.itemgetter(-1, place)  # time, then the order column
+
+    def appendList(self, rows: Sequence[tuple]) -> None:
+        unused, runs, newest = self._load(0) or (1, [], [])
+        newest = [*newest, *rows]
+        size = len(pickle.dumps(newest))
+        if size > BLOCK_BYTES:
+            newest.sort(key=self.order)
+            block_rows = max(1, len(newest) * BLOCK_BYTES // size)
+            unused = self._add(runs, unused, 0, iter(newest), block_rows)
+            newest = []
+            while len(runs) >= FAN and runs[-FAN][0] == runs[-1][0]:
+                merged = runs[-FAN:]
+                del runs[-FAN:]
+                rows = heapq.merge(*[self._drain(run, None) for run in merged], key=self.order)
+                unused = self._add(runs, unused, merged[0][0] + 1, rows, min(run[4] for run in merged))
+        self._store(0, (unused, runs, newest))
+
+    def take(self, until: int) -> Iterator[tuple]:
+        """Rows up to a time, in order; they have left the state once all were taken."""
+        self.earliest, head = None, self._load(0)
+        if head is None:
+            return
+        unused, runs, newest = head
+        ready = sorted((row for row in newest if row[-1] <= until), key=self.order)
+        yield from heapq.merge(*[self._drain(run, until) for run in runs if run[3] <= until], ready, key=self.order)
+        runs = [run for run in runs if run[1] < run[2]]
+        newest = [row for row in newest if row[-1] > until]
+        if runs or newest:
+            self._store(0, (unused, runs, newest))
+            self.earliest = min([run[3] for run in runs] + [row[-1] for row in newest])
+        else:
+            self.entries.removeKey((0,))
+
+    def _load(self, number: int):
+        found = self.entries.getValue((number,))
+        return None if found is None else pickle.loads(found[0])
+
+    def _store(self, number: int, value) -> None:
+        self.entries.updateValue((number,), (pickle.dumps(value),))
+
+    def _add(self, runs: list, first: int, level: int, rows: Iterator[tuple], block_rows: int) -> int:
+        """Store sorted rows as a run; gives the number after its last block."""
+        number, earliest = first, None
+        while block := list(itertools.islice(rows, block_rows)):
+            earliest = block[0][-1] if earliest is None else earliest
+            self._store(number, block)
+            number += 1
+        runs.append([level, first, number, earliest, block_rows])
+        return number
+
+    def _drain(self, run: list, until: int | None) -> Iterator[tuple]:
+        """Rows of a run up to a time, in order; they leave the state and the run."""
+        while run[1] < run[2]:
+            block = self._load(run[1])
+            ready = block if until is None else [row for row in block if row[-1] <= until]
+            yield from ready
+            if len(ready) < len(block):
+                run[3] = block[len(ready)][-1]
+                self._store(run[1], block[len(ready):])
+                return
+            self.entries.removeKey((run[1],))
+            run[1] += 1
+
+
 class _Replay(StatefulProcessor):
     """Buffers rows until the watermark passes them, then steps through them in order."""
 
@@ -35,9 +162,13 @@ class _Replay(StatefulProcessor):
     def __init__(self, keys: Sequence[str], fields: T.StructType, order: str, idle_ms: int) -> None:
         self.keys, self.fields, self.order, self.idle_ms = list(keys), fields, order, idle_ms
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        _give_out_in_parts()
+
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.waiting = _Waiting(handle, self.fields.fieldNames().index(self.order))
         self.memory = handle.getValueState("memory", self.memory_schema)
         self.latest = handle.getValueState("latest", T.StructType([T.StructField("ms", T.LongType())]))
         if self.keeps_seen:
@@ -45,47 +176,55 @@ class _Replay(StatefulProcessor):
             self.seen = handle.getMapState("seen", T.StructType([T.StructField("text", T.StringType())]), one)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        values = [self._plain(row) for row in rows]
+        rows = self._plain(rows)
+        values, size, earliest = [], 0, None
+        while part := list(itertools.islice(rows, MEASURED_ROWS)):
+            values += part
+            size += len(pickle.dumps(part))
+            first = min(row[-1] for row in part)
+            earliest = first if earliest is None else min(earliest, first)
+            if size >= RUN_BYTES:
+                self.waiting.appendList(values)
+                values, size = [], 0
         if values:
             self.waiting.appendList(values)
-            self.handle.registerTimer(min(row[-1] for row in values))
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for row in self.waiting.get() if self.waiting.exists() else ():
-            (ready if row[-1] <= watermark else later).append(tuple(row))
         names = self.fields.fieldNames()
-        place = names.index(self.order)
-        ready.sort(key=lambda row: (row[-1], row[place]))
-        emitted = []
         shown = Row(*self.keys, *names[:-1], *self.extra)
-        memory = self.memory.get() if ready else None
-        for row in ready:
+        memory, last = None, None
+        for row in self.waiting.take(watermark):
+            if last is None:
+                memory = self.memory.get()
+            last = row[-1]
             memory, result = self.step(memory, dict(zip(names, row)))
             if result is not None:
-                emitted.append(shown(*key, *row[:-1], *result))
-        self.waiting.clear()
-        if later:
-            self.waiting.appendList(later)
-            self.handle.registerTimer(min(row[-1] for row in later))
-        if ready:
+                yield shown(*key, *row[:-1], *result)
+        later = self.waiting.earliest
+        if later is not None:
+            self.handle.registerTimer(later)
+        if last is not None:
             self.memory.update(memory)
-            self.latest.update((ready[-1][-1],))
-            self.handle.registerTimer(ready[-1][-1] + self.idle_ms)
-        elif not later and self.latest.exists() and self.latest.get()[0] + self.idle_ms <= watermark:
+            self.latest.update((last,))
+            self.handle.registerTimer(last + self.idle_ms)
+        elif later is None and self.latest.exists() and self.latest.get()[0] + self.idle_ms <= watermark:
             self._forget()
-        return iter(emitted)
 
     def step(self, memory, row: dict):
         raise NotImplementedError
 
     extra: list[str] = []
 
-    def _plain(self, row: Row) -> tuple:
-        # not-a-number counts as null
-        return tuple(None if isinstance(v, float) and v != v else v for v in (row[name] for name in self.fields.fieldNames()))
+    def _plain(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        names = self.fields.fieldNames()
+        for row in rows:
+            found = dict(zip(row.__fields__, row))
+            # not-a-number counts as null
+            yield tuple([None if isinstance(v, float) and v != v else v for v in [found[name] for name in names]])
 
     def _forget(self) -> None:
         self.memory.clear()

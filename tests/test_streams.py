@@ -58,6 +58,132 @@ def test_rows_that_wait_are_stored_by_one_call():
     processor.handle.registerTimer.assert_called_once_with(10)
 
 
+class Entries(dict):
+    """A map state; ``most`` is the length of its largest entry."""
+
+    most = 0
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.most = max(self.most, len(value[0]))
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_waiting_rows_of_a_key_are_sorted_runs(monkeypatch, fan):
+    """Rows are taken in order whatever they were cut into; what lies in memory or in an entry doesn't grow with them."""
+    monkeypatch.setattr(replay, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(replay, "FAN", fan)
+    entries, dice = Entries(), random.Random(fan)
+    handle = type("Handle", (), {"getMapState": lambda self, *_: entries})()
+    opened, most = set(), 0
+    drain = replay._Waiting._drain
+
+    def counted(self, run, until):
+        nonlocal most
+        for row in drain(self, run, until):
+            opened.add(id(run))
+            most = max(most, len(opened))
+            yield row
+        opened.discard(id(run))
+
+    monkeypatch.setattr(replay._Waiting, "_drain", counted)
+    waiting, wanted, taken = replay._Waiting(handle, 0), [], []
+    for part in range(60):
+        # late rows, copies and rows of one time that come in another order
+        times = [part * 10 + dice.randint(0, 200) for _ in range(dice.choice([1, 3, 40]))]
+        rows = [(dice.randint(0, 5), f"{part} {n}", ms) for n, ms in enumerate(times)]
+        waiting.appendList(rows)
+        wanted += rows
+        if part % 7 == 6:
+            before = len(taken)
+            taken += waiting.take(part * 10)
+            wanted, due = [r for r in wanted if r[-1] > part * 10], [r for r in wanted if r[-1] <= part * 10]
+            assert taken[before:] == sorted(due, key=lambda row: (row[-1], row[0]))
+            assert waiting.earliest == min(row[-1] for row in wanted)
+    assert list(waiting.take(10**6)) == sorted(wanted, key=lambda row: (row[-1], row[0]))
+    assert waiting.earliest is None and not entries
+    assert entries.most < 1500 and most <= fan * 5
+
+
+def test_rows_of_a_key_are_not_gathered(monkeypatch):
+    """A long key goes to the state slice by slice, and its results come out while its rows are read."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(replay, "RUN_BYTES", 5000)
+    fields = T.StructType().add("x_ord", T.LongType()).add("xvalue", T.StringType()).add("x__time_ms", T.LongType())
+    processor = replay._Changes(["xk"], fields, "x_ord", 10, value="xvalue")
+    processor.handle, processor.waiting, processor.memory, processor.latest = (MagicMock() for _ in range(4))
+    rows = [Row(xk="a", x_ord=i, xvalue=f"value {i}", x__time_ms=i + 3) for i in range(2000)]
+    assert list(processor.handleInputRows(("a",), iter(rows), None)) == []
+    stored = [call.args[0] for call in processor.waiting.appendList.call_args_list]
+    assert len(stored) > 5 and max(map(len, stored)) < 400
+    assert [row for part in stored for row in part] == [tuple(row)[1:] for row in rows]
+    processor.handle.registerTimer.assert_called_once_with(3)
+
+    read = []
+    processor.memory.get.return_value = None
+    processor.waiting.take = lambda until: (read.append(row) or row for part in stored for row in part)
+    found = processor.handleExpiredTimer(("a",), MagicMock(), None)
+    assert next(found) == Row("xk", "x_ord", "xvalue")("a", 0, "value 0") and len(read) == 1
+
+
+def test_results_leave_a_task_in_parts(monkeypatch):
+    import io
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+    from pyspark.sql import Row
+    from pyspark.sql.pandas import serializers
+
+    kind = serializers.TransformWithStateInPySparkRowSerializer
+    monkeypatch.setattr(kind, "dump_stream", kind.dump_stream)
+    processor = replay._Changes(["xk"], T.StructType(), "x_ord", 10, value="xvalue")
+    cloudpickle.loads(cloudpickle.dumps(processor))  # as a worker does
+    shown, given = Row("a", "b"), pa.struct([("a", pa.int64()), ("b", pa.string())])
+    results = [[], [shown(i, str(i)) for i in range(2500)], [shown(None, None)]]
+    stream = io.BytesIO()
+    kind(10).dump_stream(iter([[(iter(rows), given)] for rows in results]), stream)
+    stream.seek(4)  # after the mark of the start
+    batches_found = list(pa.ipc.open_stream(stream))
+    assert [batch.num_rows for batch in batches_found] == [1000, 1000, 500, 1]
+    found = [tuple(row["_0"].values()) for batch in batches_found for row in batch.to_pylist()]
+    assert found == [tuple(row) for rows in results for row in rows]
+    monkeypatch.setattr(replay, "RUN_BYTES", 100)
+    assert [len(part) for part in replay._parts(shown(1, "x" * n) for n in (30, 30, 40, 1, 500))] == [3, 2]
+
+
+def test_a_hot_loop_in_many_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(replay, "RUN_BYTES", 2000)
+    monkeypatch.setattr(replay, "FAN", 3)
+    start = dt.datetime(2024, 1, 1)
+    kinds = T.StructType([*LOOP.fields, T.StructField("ts", T.TimestampNTZType())])
+    rows = [(*row, start + dt.timedelta(seconds=row[0])) for row in loop_rows(5, 1500)]
+    order = sorted(range(1500), key=lambda i: (i + (i * 7) % 101) // 500)  # late by 100 rows
+    for a in range(0, 1500, 500):
+        chosen = [rows[i] for i in order[a : a + 500]]
+        spark.createDataFrame(chosen, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = s.read_stream(spark, f"{tmp_path}/in", kinds, files_per_batch=1)
+    found = s.run_to_end(
+        replay.until_stable_loops_stream(stream, ["loop"], "is_head", ["what"], ORD, "ts", until_stable=3, delay="200 seconds")
+    )
+    numbered = changes.numbered_iterations(spark.createDataFrame(rows, kinds), ["loop"], "is_head")
+    numbered = numbered.withColumn("iteration", F.when(F.col("iteration") >= 0, F.col("iteration")))
+    wanted = changes.until_stable_loops(numbered, ["loop"], ["what"], is_head="is_head", until_stable=3)
+    wanted = wanted.where(F.col(ORD) <= 1499 - 200)  # the others still wait for the watermark
+    columns = [ORD, "loop", "what", "iteration"]
+    assert g.values(found, columns) == g.values(wanted, columns)
+    assert found.count() > 20
+
+
 def test_batches_of_one_file(spark, events):
     stream = s.read_stream(spark, events, SCHEMA, files_per_batch=1)
     found = s.run_to_end(s.dedup_stream(stream, ["scope", "name"]))
